@@ -2,15 +2,12 @@
 
 A *word* is 64 lowercase hex digits without the ``0x`` prefix. Values up to 2**256-1 do not fit
 any Spark numeric type, so the canonical form is a base-10 string. Everything here is built-in
-expression arithmetic: no UDF and no higher-order function, so it stays inside generated code.
+expression arithmetic, no UDF. Words below 2**64, nearly all there are, take a short path; the
+full-range path is evaluated for the others only.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +16,8 @@ INVERTED_HEX_DIGITS = HEX_DIGITS[::-1]
 ZERO_WORD = "0" * 64
 ZERO_HASH = "0x" + ZERO_WORD
 
-_LIMB = 10**27
+_LIMB = 10**9
+_CHUNK_BITS = 28
 
 
 def is_hex(text: Column, digits: int) -> Column:
@@ -55,56 +53,72 @@ def word_to_hash(word: Column) -> Column:
     return F.concat(F.lit("0x"), word)
 
 
-def _limb(value: int) -> Column:
-    return F.lit(Decimal(value)).cast("decimal(28,0)")
+def _integer(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` over a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _wide_text(word: Column, plus: Column | None) -> Column:
-    """Full-range path: eight 32-bit chunks weighted into three base-10**27 limbs.
 
-    Each limb sum stays below 8 * 2**32 * 10**27 < 10**38, so ``decimal(38,0)`` holds it exactly;
-    two carries then make the limbs canonical.
+def _wide_sql(plus: int) -> str:
+    """SQL lambda from a word to the base-10 text of its value plus ``plus``.
+
+    Five 56-bit pieces become ten 28-bit chunks; these are weighted into nine base-10**9 limbs
+    whose carries are settled last. A limb sum stays below 10 * 2**28 * 10**9 < 2**62, so bigint
+    arithmetic never overflows.
     """
-    chunks = [
-        F.conv(F.substr(word, F.lit(57 - 8 * i), F.lit(8)), 16, 10).cast("decimal(10,0)") for i in range(8)
-    ]
-    if plus is not None:
-        chunks[0] = (chunks[0] + plus).cast("decimal(10,0)")
+    spans = [(max(51 - 14 * i, 1), 65 - 14 * i - max(51 - 14 * i, 1)) for i in range(5)]
+    pieces = [f"bigint(conv(substr(w, {start}, {length}), 16, 10))" for start, length in spans]
+    mask = (1 << _CHUNK_BITS) - 1
+    chunks = [f"p[{i // 2}] & {mask}L" if i % 2 == 0 else f"shiftright(p[{i // 2}], {_CHUNK_BITS})" for i in range(10)]
+    chunks[0] = f"({chunks[0]}) + {plus}L"
     sums = []
-    for k in range(3):
-        weights = [(1 << (32 * i)) // _LIMB**k % _LIMB for i in range(8)]
-        terms = [c * F.lit(Decimal(w)).cast("decimal(27,0)") for c, w in zip(chunks, weights) if w]
-        sums.append(reduce(add, terms))
-    low = sums[0]
-    middle = sums[1] + F.call_function("div", low, _limb(_LIMB))
-    high = sums[2] + F.call_function("div", middle, _limb(_LIMB))
-    padded = [F.lpad((part % _limb(_LIMB)).cast("string"), 27, "0") for part in (middle, low)]
-    return F.ltrim(F.concat(high.cast("string"), *padded), F.lit("0"))
+    for k in range(9):
+        weights = [(1 << (_CHUNK_BITS * i)) // _LIMB**k % _LIMB for i in range(10)]
+        sums.append(" + ".join(f"c[{i}] * {weight}L" for i, weight in enumerate(weights) if weight))
+    carry, limbs = "0L", []
+    for k in range(9):
+        total = f"(s[{k}] + {carry})"
+        limbs.append(f"lpad(string({total} % {_LIMB}L), 9, '0')")
+        carry = f"({total} div {_LIMB}L)"
+    text = f"ltrim('0', concat({', '.join(reversed(limbs))}))"
+    settled = _let("s", f"array({', '.join(sums)})", text)
+    weighted = _let("c", f"array({', '.join(chunks)})", settled)
+    return f"w -> {_let('p', f'array({", ".join(pieces)})', weighted)}"
+
+
+def _wide_text(word: Column, plus: int = 0) -> Column:
+    """Full-range path, for the rare words of 2**64 and above."""
+    return F.get(F.call_function("transform", F.array(word), F.expr(_wide_sql(plus))), 0)
+
+
+def _is_narrow(word: Column) -> Column:
+    return F.startswith(word, F.lit("0" * 48))
 
 
-def _either(*texts: Column) -> Column:
-    """The one non-null text. ``concat_ws`` evaluates all its arguments, so (unlike ``coalesce``
-    or ``when``) shared subexpressions of the wide path are still computed only once."""
-    return F.nullif(F.concat_ws("", *texts), F.lit(""))
+def _low_text(word: Column) -> Column:
+    return F.conv(F.right(word, F.lit(16)), 16, 10)
 
 
 def uint256_text(word: Column) -> Column:
     """Unsigned word -> base-10 text. Values below 2**64 take a one-call fast path."""
-    narrow = F.startswith(word, F.lit("0" * 48))
-    narrow_text = F.when(narrow, F.conv(F.right(word, F.lit(16)), 16, 10))
-    return _either(narrow_text, _wide_text(F.when(~narrow, word), None))
+    wide = F.when(word.isNotNull(), _wide_text(word))
+    return F.when(_is_narrow(word), _low_text(word)).otherwise(wide)
 
 
 def int256_text(word: Column) -> Column:
     """Two's-complement word -> signed base-10 text."""
-    negative = F.substr(word, F.lit(1), F.lit(1)) >= F.lit("8")
-    magnitude = F.when(negative, F.translate(word, HEX_DIGITS, INVERTED_HEX_DIGITS)).otherwise(word)
-    plus = F.when(negative, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    sign = F.when(negative, F.lit("-"))
-    narrow = F.startswith(magnitude, F.lit("0" * 48))
-    low = F.conv(F.right(magnitude, F.lit(16)), 16, 10)
-    narrow_text = F.when(narrow, (low.cast("decimal(20,0)") + plus).cast("string"))
-    return _either(sign, narrow_text, _wide_text(F.when(~narrow, magnitude), plus))
+    inverted = F.translate(word, HEX_DIGITS, INVERTED_HEX_DIGITS)
+    low = _low_text(inverted).cast("decimal(20,0)") + F.lit(1)
+    minus = F.lit("-")
+    return (
+        F.when(_is_narrow(word), _low_text(word))
+        .when(F.startswith(word, F.lit("f" * 48)), F.concat(minus, low.cast("string")))
+        .when(word < F.lit("8"), _wide_text(word))
+        .when(word.isNotNull(), F.concat(minus, _wide_text(inverted, 1)))
+    )
 
 
 def bigint_word(value: Column) -> Column:

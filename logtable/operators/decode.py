@@ -55,13 +55,26 @@ def decode_errors(logs: DataFrame, registry: str) -> DataFrame:
     return classify(logs, registry).filter(F.col("problem").isNotNull()).withColumnRenamed("problem", "reason")
 
 
+def is_decodable(registry: str) -> Column:
+    """Recognised and without a problem, as one short-circuiting test of the raw fields."""
+    topics, data = F.col("topics"), F.col("data")
+    topic = first_topic(topics)
+    ok = F.lit(False)
+    for name, signature in SERVICE_SIGNATURES.items():
+        fits = (topic == signature.topic) & is_well_formed(signature, topics, data)
+        if name == ASSET_REGISTERED:
+            fits = fits & (F.lower("address") == registry.lower())
+        ok = ok | fits
+    return F.coalesce(ok, F.lit(False))
+
+
 def decoded_logs(logs: DataFrame, registry: str) -> DataFrame:
     """Valid service logs with their arguments as flat text columns; one narrow stage.
 
     Arguments of the kinds a row is not are null, and a word is decoded once even where two kinds
     share it. Columns nobody reads later are pruned together with their decoding.
     """
-    valid = classify(logs, registry).filter(F.col("kind").isNotNull() & F.col("problem").isNull())
+    valid = logs.filter(is_decodable(registry)).withColumn("kind", log_kind(F.col("topics")))
     kind = F.col("kind")
     first = words.topic_word(words.canonical_hex(F.get("topics", 1)))
     second = words.topic_word(words.canonical_hex(F.get("topics", 2)))

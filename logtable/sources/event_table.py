@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtable.schemas import CHAIN_ORDER, EVENT_COLUMNS, event_schema
 
@@ -52,7 +53,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches as one table, with the ``writer`` and ``batch`` that stored each row. Empty
     before the first batch."""
-    shape = event_schema().add("writer", "string").add("batch", "bigint")
+    shape = event_schema().add("writer", T.StringType()).add("batch", T.LongType())
     if not table_exists(spark, path):
         return spark.createDataFrame([], shape)
     return spark.read.schema(shape).parquet(path)
