@@ -121,17 +121,6 @@ def int256_text(word: Column) -> Column:
     )
 
 
-def bigint_word(value: Column) -> Column:
-    """A signed bigint as a 256-bit two's-complement word."""
-    fill = F.when(value < 0, F.lit("f" * 48)).otherwise(F.lit("0" * 48))
-    return F.concat(fill, F.lpad(F.lower(F.hex(value)), 16, "0"))
-
-
-def address_word(address: Column) -> Column:
-    """An address left-padded with zero bytes to one word."""
-    return F.concat(F.lit("0" * 24), F.substr(address, F.lit(3)))
-
-
 def short_hash(text: Column) -> Column:
     """Display form: first six characters, an ellipsis, last four; short strings unchanged."""
     short = F.concat(F.left(text, F.lit(6)), F.lit("…"), F.right(text, F.lit(4)))

@@ -158,7 +158,8 @@ def cursor_page(events: DataFrame, where: EventFilter = EventFilter(), cursor: s
     ranked = top.withColumn("place", F.row_number().over(Window.orderBy(*newest_first())))
     whole = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     text = F.concat_ws(":", F.col("block_number"), F.col("log_index"), F.col("tx_hash"))
-    url_safe = F.translate(F.base64(F.encode(text, "utf-8")), "+/", "-_")
+    # Spark may break base64 text into lines; characters without a counterpart are dropped.
+    url_safe = F.translate(F.base64(F.encode(text, "utf-8")), "+/\r\n", "-_")
     has_more = F.max("place").over(whole) > size
     last_kept = F.max(F.when(F.col("place") == size, url_safe)).over(whole)
     return (

@@ -6,11 +6,11 @@ contract would have emitted for it, hex-encoded like the real thing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtable.functions.signatures import SIGNATURES
-from logtable.functions.words import ZERO_WORD, address_word, bigint_word
+from logtable.functions.words import ZERO_WORD
 from logtable.sources.assets import DEFAULT_REGISTRY, default_assets
 
 FIRST_BLOCK = 100
@@ -24,235 +24,220 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _div(value: Column, by: int) -> Column:
-    return F.call_function("div", value, F.lit(by).cast("bigint"))
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
-def _hash(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit("0x"), F.sha2(F.concat(F.lit(prefix), value.cast("string")), 256))
+_AGGREGATOR_SQL = f"array({_quoted([a['aggregator'] for a in default_assets()])})"
+_ASSET_SQL = f"array({_quoted([a['asset_id'] for a in default_assets()])})"
 
 
-def _address(prefix: str, value: Column) -> Column:
-    return F.left(_hash(prefix, value), F.lit(42))
+def _hash(text: str) -> str:
+    return f"concat('0x', sha2(concat({text}), 256))"
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
+def _address(text: str) -> str:
+    return f"left({_hash(text)}, 42)"
 
 
-def aggregator(index: Column) -> Column:
+def _aggregator(index: str) -> str:
     """Contract address by number; the first ten are configured, later ones are not."""
-    known = [a["aggregator"] for a in default_assets()]
-    return F.when(index < len(known), _pick(known, F.least(index, F.lit(len(known) - 1)))).otherwise(
-        _address("agg-", index)
-    )
+    return f"coalesce(get({_AGGREGATOR_SQL}, int({index})), {_address(f"'agg-', {index}")})"
+
+
+def _asset(index: str) -> str:
+    return f"get({_ASSET_SQL}, int({index}))"
+
 
+def _topic(event: str) -> str:
+    return f"'{SIGNATURES[event].topic}'"
 
-def asset(index: Column) -> Column:
-    return _pick([a["asset_id"] for a in default_assets()], index)
 
+def _number_word(value: str) -> str:
+    """A signed bigint as a 256-bit two's-complement word."""
+    return f"concat(if({value} < 0, '{'f' * 48}', '{'0' * 48}'), lpad(lower(hex({value})), 16, '0'))"
 
-def _topic(name: str) -> Column:
-    return F.lit(SIGNATURES[name].topic)
 
+def _address_word(address: str) -> str:
+    return f"concat('{'0' * 24}', substr({address}, 3))"
 
-def _word_topic(word: Column) -> Column:
-    return F.concat(F.lit("0x"), word)
+
+def _topics(event: str, *words: str) -> str:
+    return f"array({', '.join([_topic(event), *(f"concat('0x', {w})" for w in words)])})"
 
 
 def _first_arrivals(events: DataFrame) -> DataFrame:
     """One log per event row, in the order of event ids."""
-    event_id, user_id = F.col("event_id"), F.col("user_id")
-    emitter = aggregator(user_id % AGGREGATORS)
-    requester = _address("user-", user_id)
-    request_word = F.when(user_id % 13 == 0, F.lit(HOT_REQUEST_WORD)).otherwise(
-        bigint_word(_div(event_id, 10))
-    )
-    cents = F.round(F.col("value") * 100).cast("bigint") * 1_000_000
-    price_word = bigint_word(F.when(event_id % 11 == 0, -cents).otherwise(cents))
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    number = event_id % 3 + 10
-    new_asset = _hash("asset-", F.concat_ws("-", number, event_id % 5))
-    request_topic = _word_topic(request_word)
-    requester_topic = _word_topic(address_word(requester))
-    registration = F.array(
-        _topic("AssetRegistered"), new_asset, _word_topic(address_word(aggregator(number)))
-    )
-    kind, variant = F.col("event_type"), event_id % 4
-    nothing = F.array().cast("array<string>")
-    topics = (
-        F.when(kind == "click", F.array(_topic("PriceRequested"), request_topic, requester_topic))
-        .when(kind == "purchase", F.array(_topic("PriceFulfilled"), request_topic))
-        .when(kind == "signup", registration)
-        .when(kind == "view", F.array(_topic("OwnershipTransferred"), requester_topic, _word_topic(address_word(emitter))))
-        .when(variant == 1, F.array(_topic("PriceFulfilled"), request_topic))
-        .when(variant == 2, registration)
-        .when(variant == 3, F.array(_topic("PriceRequested"), request_topic))
-        .otherwise(nothing)
+    prepared = events.selectExpr(
+        "event_id",
+        "event_type",
+        "cast(ts as timestamp) as observed_at",
+        f"{_aggregator(f'user_id % {AGGREGATORS}')} as emitter",
+        f"{_address("'user-', user_id")} as requester",
+        f"if(user_id % 13 = 0, '{HOT_REQUEST_WORD}', {_number_word('event_id div 10')}) as request_word",
+        "if(event_id % 11 = 0, -1, 1) * cast(round(value * 100) as bigint) * 1000000 as price",
+        f"{_aggregator('event_id % 3 + 10')} as new_aggregator",
+        f"substr({_hash("'asset-', event_id % 3 + 10, '-', event_id % 5")}, 3) as new_asset",
     )
-    short_data = F.lit("0x" + "00" * 31)
-    data = (
-        F.when(kind == "purchase", F.concat(F.lit("0x"), price_word, bigint_word(seconds)))
-        .when((kind == "error") & (variant == 1), short_data)
-        .otherwise(F.lit("0x"))
-    )
-    block = F.lit(FIRST_BLOCK) + _div(event_id, LOGS_PER_BLOCK)
-    return events.select(
-        (event_id * 2).alias("arrival_seq"),
-        F.when(kind == "signup", F.lit(DEFAULT_REGISTRY)).otherwise(emitter).alias("address"),
-        topics.alias("topics"),
-        data.alias("data"),
-        block.cast("bigint").alias("block_number"),
-        _hash("block-", block).alias("block_hash"),
-        _hash("tx-", _div(event_id, 4)).alias("tx_hash"),
-        (event_id % LOGS_PER_BLOCK).cast("int").alias("log_index"),
-        F.col("ts").cast("timestamp").alias("observed_at"),
+    registration = _topics("AssetRegistered", "new_asset", _address_word("new_aggregator"))
+    requested = _topics("PriceRequested", "request_word", _address_word("requester"))
+    fulfilled = _topics("PriceFulfilled", "request_word")
+    transferred = _topics("OwnershipTransferred", _address_word("requester"), _address_word("emitter"))
+    topics = f"""case event_type
+        when 'click' then {requested} when 'purchase' then {fulfilled}
+        when 'signup' then {registration} when 'view' then {transferred}
+        else case event_id % 4 when 1 then {fulfilled} when 2 then {registration}
+          when 3 then {_topics("PriceRequested", "request_word")} else cast(array() as array<string>) end end"""
+    seconds = _number_word("unix_seconds(observed_at)")
+    data = f"""case when event_type = 'purchase' then concat('0x', {_number_word("price")}, {seconds})
+        when event_type = 'error' and event_id % 4 = 1 then '0x{"00" * 31}' else '0x' end"""
+    block = f"{FIRST_BLOCK} + event_id div {LOGS_PER_BLOCK}"
+    return prepared.selectExpr(
+        "event_id * 2 as arrival_seq",
+        f"if(event_type = 'signup', '{DEFAULT_REGISTRY}', emitter) as address",
+        f"{topics} as topics",
+        f"{data} as data",
+        f"cast({block} as bigint) as block_number",
+        f"{_hash(f"'block-', {block}")} as block_hash",
+        f"{_hash("'tx-', event_id div 4")} as tx_hash",
+        f"cast(event_id % {LOGS_PER_BLOCK} as int) as log_index",
+        "observed_at",
     )
 
 
+def _delivered(logs: DataFrame, deliveries: str) -> DataFrame:
+    """One row per delivery of each log. The encoded fields pass through the same ``explode`` as
+    the arrivals, so that filters on them read finished values instead of encoding again."""
+    placed = ("block_number", "block_hash", "tx_hash", "log_index")
+    fields = ("arrival_seq", "address", "topics", "data", *placed, "observed_at")
+    sent = logs.selectExpr(*placed, f"explode({deliveries}) as d")
+    return sent.select(*(f if f in placed else F.col(f"d.{f}").alias(f) for f in fields))
+
+
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
     """RAW_LOG over ``events``; every fifth log is delivered a second time, twenty events and a
-    minute later. Both deliveries come out of one scan, and the encoded fields pass through the
-    same ``explode``, so that filters on them read finished values instead of encoding again."""
-    logs = _first_arrivals(table(spark, folder, "events"))
-    encoded = ("address", "topics", "data")
-    later = F.col("observed_at") + F.expr("INTERVAL 60 SECONDS")
-    first = F.struct("arrival_seq", "observed_at", *encoded)
-    again = F.struct(
-        (F.col("arrival_seq") + 41).alias("arrival_seq"), later.alias("observed_at"), *encoded
-    )
-    repeated = F.col("arrival_seq") % 10 == 0
-    arrivals = F.when(repeated, F.array(first, again)).otherwise(F.array(first))
-    placed = ("block_number", "block_hash", "tx_hash", "log_index")
-    delivered = logs.select(*placed, F.explode(arrivals).alias("arrival"))
-    return delivered.select(
-        "arrival.arrival_seq",
-        "arrival.address",
-        "arrival.topics",
-        "arrival.data",
-        *placed,
-        "arrival.observed_at",
+    minute later. Both deliveries come out of one scan."""
+    encoded = "address, topics, data"
+    first = f"struct(arrival_seq, observed_at, {encoded})"
+    again = (
+        "struct(arrival_seq + 41 as arrival_seq, observed_at + interval 60 seconds as observed_at, "
+        f"{encoded})"
     )
+    deliveries = f"if(arrival_seq % 10 = 0, array({first}, {again}), array({first}))"
+    return _delivered(_first_arrivals(table(spark, folder, "events")), deliveries)
 
 
-def _admin_variants() -> list[tuple[str, str, list[Column], list[Column]]]:
+def _admin_variants() -> list[tuple[str, str, list[str], list[str]]]:
     """(event, emitter, indexed words, data words) by order number."""
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    owner = [address_word(_address("owner-", v % 7)) for v in (key, customer)]
-    reporter = address_word(_address("reporter-", customer % 50))
-    sets = [address_word(_address("set-", v % 5)) for v in (key, customer)]
-    new_aggregator = [address_word(_address("agg-new-", v)) for v in (customer, key)]
-    word = F.substr(asset(customer % 10), F.lit(3))
-    numbers = [bigint_word(v) for v in (customer, key, cents)]
+    owner = [_address_word(_address(f"'owner-', {v} % 7")) for v in ("o_orderkey", "o_custkey")]
+    reporter = _address_word(_address("'reporter-', o_custkey % 50"))
+    sets = [_address_word(_address(f"'set-', {v} % 5")) for v in ("o_orderkey", "o_custkey")]
+    new_aggregator = [_address_word(_address(f"'agg-new-', {v}")) for v in ("o_custkey", "o_orderkey")]
+    word = f"substr({_asset('o_custkey % 10')}, 3)"
+    customer, order = _number_word("o_custkey"), _number_word("o_orderkey")
+    cents = _number_word("cast(round(o_totalprice * 100) as bigint)")
     return [
         ("AssetUpdated", "registry", [word, *new_aggregator], []),
         ("OwnershipTransferStarted", "any", owner, []),
         ("OwnershipTransferred", "any", owner, []),
-        ("MaxAgeChanged", "aggregator", [], [numbers[0], numbers[1]]),
-        ("ReporterSetChanged", "aggregator", sets, []),
-        ("RequestFeeChanged", "aggregator", [], [numbers[1], numbers[2]]),
+        ("MaxAgeChanged", "own", [], [customer, order]),
+        ("ReporterSetChanged", "own", sets, []),
+        ("RequestFeeChanged", "own", [], [order, cents]),
         ("ReporterAdded", "reporter_set", [reporter], []),
         ("ReporterRemoved", "reporter_set", [reporter], []),
-        ("ThresholdChanged", "reporter_set", [], [numbers[0], numbers[1]]),
+        ("ThresholdChanged", "reporter_set", [], [customer, order]),
     ]
 
 
 def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
     """RAW_LOG over ``orders``: one administrative contract event per order."""
-    orders = table(spark, folder, "orders")
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    reporter_set = _address(REPORTER_SET_NAME, F.lit(""))
-    own = aggregator(customer % 10)
     emitters = {
-        "registry": F.lit(DEFAULT_REGISTRY),
-        "aggregator": own,
-        "reporter_set": reporter_set,
-        "any": F.when(customer % 3 == 0, F.lit(DEFAULT_REGISTRY)).when(customer % 3 == 1, own).otherwise(reporter_set),
+        "registry": f"'{DEFAULT_REGISTRY}'",
+        "own": _aggregator("o_custkey % 10"),
+        "reporter_set": _address(f"'{REPORTER_SET_NAME}'"),
     }
-    topics, data, address = F.lit(None).cast("array<string>"), F.lit("0x"), F.lit(None).cast("string")
-    variants = _admin_variants()
-    for number, (event, emitter, indexed, words) in enumerate(variants):
-        chosen = key % len(variants) == number
-        topics = F.when(chosen, F.array(_topic(event), *map(_word_topic, indexed))).otherwise(topics)
-        data = F.when(chosen, F.concat(F.lit("0x"), *words)).otherwise(data)
-        address = F.when(chosen, emitters[emitter]).otherwise(address)
-    block = F.lit(FIRST_BLOCK) + _div(key, LOGS_PER_BLOCK)
-    return orders.select(
-        key.alias("arrival_seq"),
-        address.alias("address"),
-        topics.alias("topics"),
-        data.alias("data"),
-        block.cast("bigint").alias("block_number"),
-        _hash("block-", block).alias("block_hash"),
-        _hash("adm-", key).alias("tx_hash"),
-        (key % LOGS_PER_BLOCK).cast("int").alias("log_index"),
-        F.col("o_orderdate").cast("timestamp").alias("observed_at"),
+    emitters["any"] = f"""case o_custkey % 3 when 0 then {emitters["registry"]}
+        when 1 then {emitters["own"]} else {emitters["reporter_set"]} end"""
+    variants = list(enumerate(_admin_variants()))
+    choice = f"case o_orderkey % {len(variants)}"
+    topics = " ".join(f"when {n} then {_topics(event, *words)}" for n, (event, _, words, _) in variants)
+    data = " ".join(f"when {n} then concat('0x', {', '.join(words)})" for n, (_, _, _, words) in variants if words)
+    address = " ".join(f"when {n} then {emitters[emitter]}" for n, (_, emitter, _, _) in variants)
+    block = f"{FIRST_BLOCK} + o_orderkey div {LOGS_PER_BLOCK}"
+    logs = table(spark, folder, "orders").selectExpr(
+        "o_orderkey as arrival_seq",
+        f"{choice} {address} end as address",
+        f"{choice} {topics} end as topics",
+        f"{choice} {data} else '0x' end as data",
+        f"cast({block} as bigint) as block_number",
+        f"{_hash(f"'block-', {block}")} as block_hash",
+        f"{_hash("'adm-', o_orderkey")} as tx_hash",
+        f"cast(o_orderkey % {LOGS_PER_BLOCK} as int) as log_index",
+        "cast(o_orderdate as timestamp) as observed_at",
     )
+    return _delivered(logs, "array(struct(arrival_seq, observed_at, address, topics, data))")
 
 
 def wide_words(spark: SparkSession, folder: str) -> DataFrame:
     """One 256-bit word per event: full-range, 128-bit, 64-bit and zero words in turn."""
-    event_id = F.col("event_id")
-    full = F.sha2(F.concat(F.lit("word-"), event_id.cast("string")), 256)
-    word = (
-        F.when(event_id % 4 == 0, full)
-        .when(event_id % 4 == 1, F.concat(F.lit("0" * 32), F.left(full, F.lit(32))))
-        .when(event_id % 4 == 2, F.concat(F.lit("0" * 48), F.left(full, F.lit(16))))
-        .otherwise(F.lit(ZERO_WORD))
+    return (
+        table(spark, folder, "events")
+        .selectExpr("event_id", "sha2(concat('word-', event_id), 256) as h")
+        .selectExpr(
+            "event_id",
+            f"""case event_id % 4 when 0 then h when 1 then concat('{"0" * 32}', left(h, 32))
+                when 2 then concat('{"0" * 48}', left(h, 16)) else '{ZERO_WORD}' end as word""",
+        )
     )
-    return table(spark, folder, "events").select("event_id", word.alias("word"))
 
 
 def source_quotes(spark: SparkSession, folder: str) -> DataFrame:
-    moment = F.col("ts").cast("timestamp")
-    return table(spark, folder, "events").select(
-        asset(F.col("user_id") % 10).alias("asset_id"),
-        F.col("event_type").alias("source"),
-        F.col("value").alias("price"),
-        (moment + F.expr("INTERVAL 5 SECONDS")).alias("fetched_at"),
-        moment.alias("source_observed_at"),
+    return table(spark, folder, "events").selectExpr(
+        f"{_asset('user_id % 10')} as asset_id",
+        "event_type as source",
+        "value as price",
+        "cast(ts as timestamp) + interval 5 seconds as fetched_at",
+        "cast(ts as timestamp) as source_observed_at",
     )
 
 
 def heartbeat_schedule(spark: SparkSession) -> DataFrame:
     """Interval and deviation per configured asset; zeros switch a rule off for some."""
-    rows = [
-        (a["asset_id"], 3600 * (i % 4), 500 * (i % 3)) for i, a in enumerate(default_assets())
-    ]
+    rows = [(a["asset_id"], 3600 * (i % 4), 500 * (i % 3)) for i, a in enumerate(default_assets())]
     return spark.createDataFrame(rows, "asset_id string, interval_sec int, deviation_bps int")
 
 
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
     """SUBMISSION over ``orders``."""
-    key = F.col("o_orderkey")
-    status = F.col("o_orderstatus")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint") * 1_000_000
-    failed = status == "F"
-    return table(spark, folder, "orders").select(
-        F.when(key % 10 == 0, F.lit("0")).otherwise(key.cast("string")).alias("req_id"),
-        asset(F.col("o_custkey") % 10).alias("asset_id"),
-        _hash("sub-", key).alias("tx_hash"),
-        cents.cast("string").alias("submitted_price"),
-        F.col("o_orderdate").cast("timestamp").alias("submitted_at"),
-        F.when(status == "P", "PENDING").when(failed, "FAILED").otherwise("CONFIRMED").alias("status"),
-        (key % 3).cast("int").alias("retry_count"),
-        F.when(failed, "reverted").otherwise("").alias("last_error"),
+    return table(spark, folder, "orders").selectExpr(
+        "if(o_orderkey % 10 = 0, '0', string(o_orderkey)) as req_id",
+        f"{_asset('o_custkey % 10')} as asset_id",
+        f"{_hash("'sub-', o_orderkey")} as tx_hash",
+        "string(cast(round(o_totalprice * 100) as bigint) * 1000000) as submitted_price",
+        "cast(o_orderdate as timestamp) as submitted_at",
+        "case o_orderstatus when 'P' then 'PENDING' when 'F' then 'FAILED' else 'CONFIRMED' end as status",
+        "cast(o_orderkey % 3 as int) as retry_count",
+        "if(o_orderstatus = 'F', 'reverted', '') as last_error",
     )
 
 
 def customer_assets(spark: SparkSession, folder: str) -> DataFrame:
     """An asset configuration over ``customer`` with wrong and repeated entries in it."""
-    key = F.col("c_custkey")
-    asset_id = _hash("cfg-", key)
-    address = F.when(key % 10 == 3, _address("shared-", _div(key, 100))).otherwise(_address("cfg-", key))
-    return table(spark, folder, "customer").select(
-        F.concat(F.lit("C"), key.cast("string")).alias("symbol"),
-        F.when(key % 7 == 0, F.left(asset_id, F.lit(60))).otherwise(asset_id).alias("asset_id"),
-        F.when(key % 9 == 0, F.substr(address, F.lit(3)))
-        .when(key % 2 == 0, F.concat(F.lit("0x"), F.upper(F.substr(address, F.lit(3)))))
-        .otherwise(address)
-        .alias("aggregator"),
+    own = _address("'cfg-', c_custkey")
+    shared = _address("'shared-', c_custkey div 100")
+    return (
+        table(spark, folder, "customer")
+        .selectExpr(
+            "c_custkey",
+            f"{_hash("'cfg-', c_custkey")} as full_id",
+            f"if(c_custkey % 10 = 3, {shared}, {own}) as address",
+        )
+        .selectExpr(
+            "concat('C', c_custkey) as symbol",
+            "if(c_custkey % 7 = 0, left(full_id, 60), full_id) as asset_id",
+            """case when c_custkey % 9 = 0 then substr(address, 3)
+                when c_custkey % 2 = 0 then concat('0x', upper(substr(address, 3))) else address end as aggregator""",
+        )
     )
 
 
