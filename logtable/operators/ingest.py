@@ -66,9 +66,21 @@ def assemble(resolved: DataFrame) -> DataFrame:
     )
 
 
-def events_from_logs(logs: DataFrame, assets: DataFrame, registry: str, live_mapping: bool = True) -> DataFrame:
-    """The whole batch path: decode, keep first arrivals, resolve assets, assemble."""
+def own_assets(events: DataFrame) -> DataFrame:
+    """No look-up: registrations carry their asset, price events get none."""
+    own = F.when(F.col("kind") == ASSET_REGISTERED, F.col("registered_asset"))
+    return events.withColumn("asset_id", own)
+
+
+def events_from_logs(logs: DataFrame, assets: DataFrame | None, registry: str, live_mapping: bool = True) -> DataFrame:
+    """The whole batch path: decode, keep first arrivals, resolve assets, assemble.
+
+    ``live_mapping`` follows registrations as they happen; otherwise configuration alone counts.
+    Without ``assets`` nothing is resolved, which saves its shuffles where assets play no part.
+    """
     unique = first_arrivals(decoded_logs(logs, registry))
+    if assets is None:
+        return assemble(own_assets(unique))
     resolve = resolve_asof if live_mapping else resolve_static
     return assemble(resolve(unique, assets))
 

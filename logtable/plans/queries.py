@@ -66,6 +66,11 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.events_from_logs(feed.raw_logs(spark, folder), default_assets(spark), REGISTRY)
 
 
+def assetless_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The same events for queries that look at no asset of a price event."""
+    return ingest.events_from_logs(feed.raw_logs(spark, folder), None, REGISTRY)
+
+
 def micros(column: str) -> Column:
     return F.unix_micros(column).alias(f"{column}_us")
 
@@ -120,7 +125,7 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def seed_assets(spark: SparkSession, folder: str) -> DataFrame:
-    stored = events(spark, folder).filter(F.col("kind") == ASSET_REGISTERED)
+    stored = assetless_events(spark, folder).filter(F.col("kind") == ASSET_REGISTERED)
     seeds = ingest.seed_events(spark, asset_source.default_assets(), F.timestamp_seconds(F.lit(0)))
     new = ingest.insert_if_absent(seeds, stored, arrival=None).select(*stored.columns)
     return stored.unionByName(new).select(
@@ -241,7 +246,7 @@ def kind_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def short_hash(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder)
+    rows = assetless_events(spark, folder)
     return rows.select(
         "tx_hash",
         "log_index",
@@ -347,13 +352,13 @@ def list_deep_page(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def page_meta(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of([PRICE_REQUESTED])
-    return listing.page_meta(events(spark, folder), where, Page(2, 30))
+    return listing.page_meta(assetless_events(spark, folder), where, Page(2, 30))
 
 
 @query
 def cursor_page(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of([PRICE_REQUESTED])
-    rows = events(spark, folder)
+    rows = assetless_events(spark, folder)
     first = listing.cursor_page(rows, where, "", 50).select("next_cursor").first()
     page = listing.cursor_page(rows, where, first["next_cursor"], 50)
     return page.select("block_number", "log_index", "tx_hash", "has_more", "next_cursor")
@@ -372,7 +377,7 @@ def after_position(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def high_water(spark: SparkSession, folder: str) -> DataFrame:
-    return listing.high_water(events(spark, folder))
+    return listing.high_water(assetless_events(spark, folder))
 
 
 # --- requests ---------------------------------------------------------------------------------
@@ -415,7 +420,7 @@ def events_for_request(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def request_fulfil_join(spark: SparkSession, folder: str) -> DataFrame:
-    return requests.request_fulfil_join(events(spark, folder))
+    return requests.request_fulfil_join(assetless_events(spark, folder))
 
 
 # --- fan-out and counters -----------------------------------------------------------------------
@@ -446,7 +451,7 @@ def deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def events_seen(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.events_seen(events(spark, folder))
+    return metrics.events_seen(assetless_events(spark, folder))
 
 
 @query
@@ -465,12 +470,12 @@ def current_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def latest_price(spark: SparkSession, folder: str) -> DataFrame:
-    return state.latest_price(events(spark, folder))
+    return state.latest_price(assetless_events(spark, folder))
 
 
 @query
 def fulfilled_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return state.fulfilled_requests(events(spark, folder))
+    return state.fulfilled_requests(assetless_events(spark, folder))
 
 
 @query
