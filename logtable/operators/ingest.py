@@ -21,7 +21,9 @@ from logtable.schemas import (
     PRICE_REQUESTED,
     REQUIRED_EVENT_COLUMNS,
     event_schema,
+    struct_of,
 )
+from logtable.session import small_table
 
 # Where a configured asset's synthetic registration sits, and its hash prefix.
 SEED_BLOCK = 1
@@ -118,7 +120,8 @@ def seed_events(spark: SparkSession, assets: Iterable[Mapping[str, str]], observ
         (a["aggregator"].lower(), seed_hash(a["asset_id"], a["aggregator"]), a["asset_id"].lower())
         for a in assets
     ]
-    seeds = spark.createDataFrame(rows, "contract_address string, tx_hash string, asset_id string")
+    shape = struct_of("contract_address string, tx_hash string, asset_id string")
+    seeds = small_table(spark, rows, shape)
     typed = {field.name: field.dataType for field in event_schema().fields}
     columns = {
         "kind": F.lit(ASSET_REGISTERED),

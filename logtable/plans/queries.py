@@ -66,6 +66,13 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.events_from_logs(feed.raw_logs(spark, folder), default_assets(spark), REGISTRY)
 
 
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table written once and read back, for queries that go over it several times."""
+    path = shared_dir(spark, "events")
+    event_table.write_events(events(spark, folder), path)
+    return event_table.read_events(spark, path)
+
+
 def assetless_events(spark: SparkSession, folder: str) -> DataFrame:
     """The same events for queries that look at no asset of a price event."""
     return ingest.events_from_logs(feed.raw_logs(spark, folder), None, REGISTRY)
@@ -158,10 +165,8 @@ def row_constraints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def event_table_scan(spark: SparkSession, folder: str) -> DataFrame:
-    path = shared_dir(spark, "events")
-    event_table.write_events(events(spark, folder), path)
     where = listing.EventFilter.of([PRICE_FULFILLED], from_block=110)
-    return flat(event_table.read_events(spark, path).filter(where.predicate()))
+    return flat(stored_events(spark, folder).filter(where.predicate()))
 
 
 # --- decoding ---------------------------------------------------------------------------------
@@ -529,7 +534,7 @@ def heartbeat_due(spark: SparkSession, folder: str) -> DataFrame:
     aggregates = aggregates.withColumn("median_price", F.round("median_price", 4))
     number = words.numeric_companion(F.col("price_fulfilled.price"))
     onchain = (
-        events(spark, folder)
+        stored_events(spark, folder)
         .filter((F.col("kind") == PRICE_FULFILLED) & F.col("asset_id").isNotNull())
         .select("asset_id", F.col("observed_at").alias("written_at"), (number.cast("double") / 1e8).alias("price"))
     )
@@ -617,8 +622,8 @@ def _event_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def _replayed(spark: SparkSession, folder: str, where: listing.EventFilter, overlap: int) -> DataFrame:
     """History up to a middle block, then a live stream that starts ``overlap`` blocks earlier."""
-    rows = events(spark, folder)
-    middle = middle_block(feed.raw_logs(spark, folder))
+    rows = stored_events(spark, folder)
+    middle = middle_block(feed.raw_logs(spark, folder).select("block_number"))
     stored = rows.filter((F.col("block_number") < middle) | ((F.col("block_number") == middle) & (F.col("log_index") <= 3)))
     live = _event_stream(spark, rows.filter(F.col("block_number") >= middle - overlap))
     subscription = subscribe.subscribe(stored, live, where)
@@ -638,20 +643,20 @@ def boundary_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def live_subscription(spark: SparkSession, folder: str) -> DataFrame:
-    live = _event_stream(spark, events(spark, folder))
+    live = _event_stream(spark, stored_events(spark, folder))
     return flat(_drained(subscribe.subscribe(live, live, listing.EventFilter.of([PRICE_FULFILLED], WETH)).live, "live"))
 
 
 @query
 def streaming_fan_out(spark: SparkSession, folder: str) -> DataFrame:
-    live = _event_stream(spark, events(spark, folder))
+    live = _event_stream(spark, stored_events(spark, folder))
     sent = _drained(subscribe.live_fan_out(live, feed.subscriptions(spark)), "sent")
     return sent.select("sub_id", "kind", "asset_id", "tx_hash", "log_index")
 
 
 @query
 def streaming_request_status(spark: SparkSession, folder: str) -> DataFrame:
-    live = _event_stream(spark, events(spark, folder))
+    live = _event_stream(spark, stored_events(spark, folder))
     table = shared_dir(spark, "status")
     running = stream_status.start_status_table(
         stream_status.live_request_status(live), table, shared_dir(spark, "checkpoint"), available_now=True

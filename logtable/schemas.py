@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _ddl(text: str) -> T.StructType:
+def struct_of(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
@@ -77,8 +77,8 @@ REQUIRED_EVENT_COLUMNS = (
 
 
 def raw_log_schema() -> T.StructType:
-    return _ddl(RAW_LOG_DDL)
+    return struct_of(RAW_LOG_DDL)
 
 
 def event_schema() -> T.StructType:
-    return _ddl(EVENT_DDL)
+    return struct_of(EVENT_DDL)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -47,3 +50,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="logtable-")
         spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """Driver-side configuration as a table whose size the planner knows, so that joins with it
+    are broadcast exactly when it is small enough."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.names]
+    shape = to_arrow_schema(schema)
+    arrays = [pa.array(list(values), field.type) for values, field in zip(columns, shape)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=shape), schema)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import InvalidArgument
-from logtable.schemas import ASSET_DDL
+from logtable.schemas import ASSET_DDL, struct_of
+from logtable.session import small_table
 
 # The registry contract and the default assets (symbol, asset id, aggregator).
 DEFAULT_REGISTRY = "0x89a6c12a403733c6a817472cec46a530581cb7ef"
@@ -47,7 +48,7 @@ def parse_assets(text: str) -> list[dict[str, str]]:
 
 
 def assets_frame(spark: SparkSession, assets: Sequence[dict[str, str]]) -> DataFrame:
-    return spark.createDataFrame([tuple(a[f] for f in _FIELDS) for a in assets], ASSET_DDL)
+    return small_table(spark, [tuple(a[f] for f in _FIELDS) for a in assets], struct_of(ASSET_DDL))
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from logtable.functions.signatures import SIGNATURES
 from logtable.functions.words import ZERO_WORD
+from logtable.schemas import SUBSCRIPTION_DDL, struct_of
+from logtable.session import small_table
 from logtable.sources.assets import DEFAULT_REGISTRY, default_assets
 
 FIRST_BLOCK = 100
@@ -24,6 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small inputs come as fewer splits than there are cores; their narrow source rows are dealt
+    out before the costly encoding and decoding. Inputs with splits enough stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if splits < cores else rows
+
+
 def _quoted(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -124,7 +134,7 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
         f"{encoded})"
     )
     deliveries = f"if(arrival_seq % 10 = 0, array({first}, {again}), array({first}))"
-    return _delivered(_first_arrivals(table(spark, folder, "events")), deliveries)
+    return _delivered(_first_arrivals(spread(table(spark, folder, "events"))), deliveries)
 
 
 def _admin_variants() -> list[tuple[str, str, list[str], list[str]]]:
@@ -164,7 +174,7 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
     data = " ".join(f"when {n} then concat('0x', {', '.join(words)})" for n, (_, _, _, words) in variants if words)
     address = " ".join(f"when {n} then {emitters[emitter]}" for n, (_, emitter, _, _) in variants)
     block = f"{FIRST_BLOCK} + o_orderkey div {LOGS_PER_BLOCK}"
-    logs = table(spark, folder, "orders").selectExpr(
+    logs = spread(table(spark, folder, "orders")).selectExpr(
         "o_orderkey as arrival_seq",
         f"{choice} {address} end as address",
         f"{choice} {topics} end as topics",
@@ -181,7 +191,7 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
 def wide_words(spark: SparkSession, folder: str) -> DataFrame:
     """One 256-bit word per event: full-range, 128-bit, 64-bit and zero words in turn."""
     return (
-        table(spark, folder, "events")
+        spread(table(spark, folder, "events"))
         .selectExpr("event_id", "sha2(concat('word-', event_id), 256) as h")
         .selectExpr(
             "event_id",
@@ -204,7 +214,7 @@ def source_quotes(spark: SparkSession, folder: str) -> DataFrame:
 def heartbeat_schedule(spark: SparkSession) -> DataFrame:
     """Interval and deviation per configured asset; zeros switch a rule off for some."""
     rows = [(a["asset_id"], 3600 * (i % 4), 500 * (i % 3)) for i, a in enumerate(default_assets())]
-    return spark.createDataFrame(rows, "asset_id string, interval_sec int, deviation_bps int")
+    return small_table(spark, rows, struct_of("asset_id string, interval_sec int, deviation_bps int"))
 
 
 def submissions(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,6 +255,6 @@ def subscriptions(spark: SparkSession) -> DataFrame:
     """Four filters: everything, one kind, one asset, both."""
     first = default_assets()[0]["asset_id"]
     rows = [(1, [], None), (2, ["PRICE_REQUESTED"], None), (3, [], first), (4, ["PRICE_REQUESTED"], first)]
-    return spark.createDataFrame(rows, "sub_id int, kinds array<string>, asset_id string")
+    return small_table(spark, rows, struct_of(SUBSCRIPTION_DDL))
 
 
