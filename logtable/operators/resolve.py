@@ -50,6 +50,22 @@ def _on_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def relevant_history(stored: DataFrame, low: int, high: int) -> DataFrame:
+    """The stored registrations that events in blocks ``low`` to ``high`` can see: the last one
+    per aggregator before ``low``, and all from there to ``high``. The first part is an
+    aggregation that shrinks on the map side, so history does not travel."""
+    registrations = stored.filter(F.col("kind") == ASSET_REGISTERED).select(
+        *CHAIN_ORDER, "kind", "asset_registered"
+    )
+    last = (
+        registrations.filter(F.col("block_number") < low)
+        .groupBy(F.col("asset_registered.aggregator"))
+        .agg(F.max_by(F.struct(*registrations.columns), F.struct(*CHAIN_ORDER)).alias("last"))
+        .select("last.*")
+    )
+    return last.unionByName(registrations.filter(F.col("block_number").between(low, high)))
+
+
 def resolve_asof(
     events: DataFrame,
     assets: DataFrame,

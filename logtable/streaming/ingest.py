@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ from pyspark.sql.streaming import StreamingQuery
 from logtable.operators.decode import classify, decoded_logs
 from logtable.operators.ingest import assemble, insert_if_absent, satisfies_constraints
 from logtable.operators.metrics import ingest_counters
-from logtable.operators.resolve import resolve_asof
-from logtable.schemas import ASSET_REGISTERED, EVENT_KEY, raw_log_schema
+from logtable.operators.resolve import relevant_history, resolve_asof
+from logtable.schemas import EVENT_KEY, raw_log_schema
 from logtable.sources.event_table import read_batches, without_batch, write_batch
 
+# A key is about a hundred bytes, so this many stay within a few dozen megabytes.
+BROADCAST_ROWS = 200_000
+
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """RAW_LOG files as they appear. Any other streaming source of that shape will do."""
@@ -25,14 +29,31 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.parquet(path)
 
 
-def _near(stored: DataFrame, decoded: DataFrame, reorg_window: int) -> DataFrame:
-    """Stored rows within the window around the batch's blocks; file statistics skip the rest."""
-    span = decoded.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).first()
-    if span["low"] is None:
-        return stored.limit(0)
-    return stored.filter(
-        F.col("block_number").between(span["low"] - reorg_window, span["high"] + reorg_window)
-    )
+class Extent(NamedTuple):
+    """How many decoded rows a batch has, and the blocks they span."""
+
+    rows: int
+    low: int
+    high: int
+
+
+def extent(decoded: DataFrame) -> Extent:
+    row = decoded.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("block_number").alias("low"), F.max("block_number").alias("high")
+    ).first()
+    return Extent(row["rows"], row["low"] or 0, row["high"] or 0)
+
+
+def _stored_keys(stored: DataFrame, decoded: DataFrame, size: Extent, reorg_window: int | None) -> DataFrame:
+    """The stored keys that the batch can meet. A batch of bounded size is sent to the table, which
+    is then only scanned; a larger one leaves the choice to the planner."""
+    keys = stored
+    if reorg_window is not None:
+        keys = keys.filter(F.col("block_number").between(size.low - reorg_window, size.high + reorg_window))
+    keys = keys.select(*EVENT_KEY)
+    if size.rows <= BROADCAST_ROWS:
+        keys = keys.join(F.broadcast(decoded.select(*EVENT_KEY)), list(EVENT_KEY), "left_semi")
+    return keys
 
 
 def new_events(
@@ -40,14 +61,14 @@ def new_events(
 ) -> DataFrame:
     """The events of one batch that are not stored yet, with assets as known at each of them.
 
-    By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near:
-    the same transaction cannot reappear further away than the chain can reorganise, so with a
-    window of at least that depth the result is the same and far less of the table is read.
+    By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near,
+    which file statistics turn into a short scan: the same transaction cannot reappear further
+    away than the chain can reorganise, so a window of at least that depth gives the same result.
     """
     decoded = decoded_logs(logs, registry)
-    known = stored if reorg_window is None else _near(stored, decoded, reorg_window)
-    fresh = insert_if_absent(decoded, known)
-    history = stored.filter(F.col("kind") == ASSET_REGISTERED)
+    size = extent(decoded)
+    fresh = insert_if_absent(decoded, _stored_keys(stored, decoded, size, reorg_window))
+    history = relevant_history(stored, size.low, size.high)
     return assemble(resolve_asof(fresh, assets, history)).filter(satisfies_constraints())
 
 

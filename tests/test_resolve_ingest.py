@@ -74,6 +74,17 @@ def test_stored_registrations_inform_later_batches(spark, assets):
     assert resolved(spark, assets, request(9), request(50), history=history) == {(9, 0): None, (50, 0): NEW_ASSET}
 
 
+@pytest.mark.parametrize("low", [0, 15, 25, 35, 99])
+def test_relevant_history_is_enough(spark, assets, low):
+    stored = events(
+        spark, *(event("ASSET_REGISTERED", block=b, asset="0x" + f"{b:064x}", contract=NEW_AGG) for b in (10, 20, 30, 40))
+    )
+    logs = [request(b) for b in range(low, low + 20)]
+    relevant = resolve.relevant_history(stored, low, low + 19)
+    assert resolved(spark, assets, *logs, history=relevant) == resolved(spark, assets, *logs, history=stored)
+    assert relevant.count() <= 3
+
+
 def test_address_scope(spark, assets):
     frame = raw(spark, request(1), request(2, address=WETH_AGG.upper().replace("0X", "0x")), registration(NEW_ASSET, 3))
     kept = resolve.address_scope(frame, assets, REGISTRY).collect()
