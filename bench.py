@@ -27,7 +27,7 @@ HEADLINE = (
     "resolve_asset_asof",
     "insert_if_absent",
     "event_table_scan",
-    "payload_json_text",
+    "payload_json",
     "list_deep_page",
     "cursor_page",
     "page_meta",

@@ -226,7 +226,7 @@ def statements() -> dict[str, str]:
         "insert_if_absent": f"""{evt} SELECT kind, tx_hash, log_index, 2 * event_id AS arrival_seq FROM evt, middle WHERE block_number > middle.block""",
         "seed_assets": f"""{evt} SELECT tx_hash, block_number, log_index, contract_address, asset_id, block_hash FROM evt WHERE kind = 'ASSET_REGISTERED'
             UNION ALL SELECT seed, CAST(1 AS BIGINT), CAST(0 AS INTEGER), aggregator, asset_id, '{_ZEROS}' FROM assets""",
-        "to_wire_events": f"""{evt} SELECT contract_address, tx_hash, block_hash, block_number, log_index, observed_at_us, CAST(0 AS INTEGER) AS confirmations,
+        "to_wire": f"""{evt} SELECT contract_address, tx_hash, block_hash, block_number, log_index, observed_at_us, CAST(0 AS INTEGER) AS confirmations,
             CAST(CASE kind WHEN 'PRICE_REQUESTED' THEN 1 WHEN 'PRICE_FULFILLED' THEN 2 ELSE 3 END AS INTEGER) AS kind,
             CASE WHEN kind = 'PRICE_REQUESTED' THEN {payload} END AS price_requested,
             CASE WHEN kind = 'PRICE_FULFILLED' THEN {payload} END AS price_fulfilled,
@@ -244,7 +244,7 @@ def statements() -> dict[str, str]:
             -- adding one to a hash never carries past its last eight digits here
             neg AS (SELECT event_id, negative, CASE WHEN negative THEN left(inverse, 56) || lpad(lower(to_hex(tail)), 8, '0') ELSE word END AS magnitude FROM low)
             SELECT event_id, CASE WHEN negative THEN '-' ELSE '' END || {_big('magnitude')} AS value FROM neg""",
-        "payload_json_text": f"{evt} SELECT tx_hash, log_index, {payload} AS payload FROM evt",
+        "payload_json": f"{evt} SELECT tx_hash, log_index, {payload} AS payload FROM evt",
         "payload_roundtrip": f"{evt} SELECT kind, tx_hash, log_index, req_id, coalesce(asset_id, '{_ZEROS}') AS asset_id, requester, price, \"timestamp\", CAST(NULL AS VARCHAR) AS round_id, aggregator FROM evt",
         "short_hash": f"{evt} SELECT tx_hash, log_index, {_SHORT.format('tx_hash')} AS short_tx, {_SHORT.format('req_id')} AS short_req FROM evt",
         "decode_errors": f"{src} SELECT arrival_seq, {_KIND} AS kind, emitter AS address, tx_hash, log_index, {_PROBLEM} AS reason FROM arrivals WHERE {_PROBLEM} IS NOT NULL",
@@ -300,6 +300,11 @@ def statements() -> dict[str, str]:
             SELECT address AS contract_address, parameter, value FROM last WHERE value IS NOT NULL""",
         "median_price": f"{agg} SELECT asset_id, aggregated_sec, median_price, sources FROM aggregates",
         "latest_aggregate": f"{agg} SELECT asset_id, median_price, aggregated_sec FROM aggregates WHERE median_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY aggregated_sec DESC) = 1",
+        "price_subscription": f"""{agg}, rounds AS (SELECT asset_id, median_price, aggregated_sec FROM aggregates WHERE median_price IS NOT NULL),
+            half AS (SELECT (min(aggregated_sec) + max(aggregated_sec)) / 2.0 AS sec FROM rounds),
+            wanted AS (SELECT r.*, aggregated_sec > half.sec AS live FROM rounds r JOIN assets a ON a.asset_id = r.asset_id AND a.ix < 4, half)
+            SELECT asset_id, median_price, aggregated_sec FROM wanted WHERE live
+            UNION ALL SELECT asset_id, max_by(median_price, aggregated_sec), max(aggregated_sec) FROM wanted WHERE NOT live GROUP BY asset_id""",
         "heartbeat_due": f"""{agg}, writes AS (SELECT asset_id, observed_at_us AS us, CAST(CAST(price AS BIGINT) AS DOUBLE) / 1e8 AS price FROM evt WHERE kind = 'PRICE_FULFILLED' AND asset_id IS NOT NULL),
             seen AS (SELECT a.asset_id, a.aggregated_sec, a.median_price, w.price AS onchain_price, a.aggregated_sec - w.us // 1000000 AS elapsed_sec,
                 3600 * (s.ix % 4) AS every, 500 * (s.ix % 3) AS bps

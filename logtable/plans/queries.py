@@ -7,16 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.functions import words
+from logtable.functions import payloads, words
 from logtable.functions.arguments import Page
-from logtable.functions.payloads import (
-    PAYLOAD_COLUMN,
-    kind_name,
-    kind_number,
-    parse_payload,
-    payload_json,
-    to_wire,
-)
 from logtable.functions.signatures import SERVICE_SIGNATURES, SIGNATURES
 from logtable.operators import decode, fanout, ingest, listing, metrics, prices, requests, resolve, state
 from logtable.operators import submissions as submission_ops
@@ -141,8 +133,8 @@ def seed_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def to_wire_events(spark: SparkSession, folder: str) -> DataFrame:
-    wire = to_wire(events(spark, folder))
+def to_wire(spark: SparkSession, folder: str) -> DataFrame:
+    wire = payloads.to_wire(events(spark, folder))
     return wire.select(
         "meta.contract_address",
         "meta.tx_hash",
@@ -152,7 +144,7 @@ def to_wire_events(spark: SparkSession, folder: str) -> DataFrame:
         F.unix_micros("meta.observed_at").alias("observed_at_us"),
         "meta.confirmations",
         "kind",
-        *(F.to_json(name).alias(name) for name in PAYLOAD_COLUMN.values()),
+        *(F.to_json(name).alias(name) for name in payloads.PAYLOAD_COLUMN.values()),
     )
 
 
@@ -213,18 +205,18 @@ def int256_decode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def payload_json_text(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).select("tx_hash", "log_index", payload_json().alias("payload"))
+def payload_json(spark: SparkSession, folder: str) -> DataFrame:
+    return events(spark, folder).select("tx_hash", "log_index", payloads.payload_json().alias("payload"))
 
 
 @query
 def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder).withColumn("text", payload_json())
+    rows = events(spark, folder).withColumn("text", payloads.payload_json())
     rows = rows.select(
         "kind",
         "tx_hash",
         "log_index",
-        *(parse_payload(kind, F.col("text")).alias(kind.lower()) for kind in KINDS),
+        *(payloads.parse_payload(kind, F.col("text")).alias(kind.lower()) for kind in KINDS),
     )
     requested, fulfilled = F.col("price_requested"), F.col("price_fulfilled")
     registered_asset = F.col("asset_registered.asset_id")
@@ -245,8 +237,8 @@ def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def kind_mapping(spark: SparkSession, folder: str) -> DataFrame:
     rows = decode.classify(feed.raw_logs(spark, folder), REGISTRY)
-    number = kind_number(F.coalesce("kind", F.lit("")))
-    return rows.select("arrival_seq", number.alias("kind_number"), kind_name(number).alias("kind_name"))
+    number = payloads.kind_number(F.coalesce("kind", F.lit("")))
+    return rows.select("arrival_seq", number.alias("kind_number"), payloads.kind_name(number).alias("kind_name"))
 
 
 @query
@@ -665,6 +657,24 @@ def streaming_request_status(spark: SparkSession, folder: str) -> DataFrame:
     return _status_columns(stream_status.read_status_table(spark, table), "req_id")
 
 
+@query
+def price_subscription(spark: SparkSession, folder: str) -> DataFrame:
+    rounds = shared_dir(spark, "rounds")
+    _aggregates(spark, folder).filter("median_price is not null").drop("sources").write.parquet(rounds)
+    aggregates = spark.read.parquet(rounds)
+    span = aggregates.agg(F.min("aggregated_at"), F.max("aggregated_at")).first()
+    known = aggregates.filter(F.col("aggregated_at") <= span[0] + (span[1] - span[0]) / 2)
+    live = spark.readStream.schema(aggregates.schema).parquet(rounds)
+    wanted = [a["asset_id"] for a in asset_source.default_assets()[:4]]
+    snapshot, updates = subscribe.subscribe_prices(known, live, wanted)
+    rows = snapshot.unionByName(_drained(updates, "updates"))
+    return rows.select(
+        "asset_id",
+        F.round("median_price", 4).alias("median_price"),
+        F.unix_seconds("aggregated_at").alias("aggregated_sec"),
+    )
+
+
 @query
 def watch_ownership(spark: SparkSession, folder: str) -> DataFrame:
     incoming, files = _arriving(spark, feed.admin_logs(spark, folder), "arrival_seq", "admin")

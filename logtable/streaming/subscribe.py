@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logtable.operators.fanout import fan_out, matches
 from logtable.operators.listing import EventFilter, Position, after_position, high_water_mark, replay_history
+from logtable.operators.prices import latest_aggregate
 
 
 class Subscription(NamedTuple):
@@ -36,6 +39,22 @@ def subscribe(stored: DataFrame, live: DataFrame, where: EventFilter = EventFilt
     return Subscription(history, live_events(live, where, mark), mark)
 
 
+def subscribe_prices(
+    aggregates: DataFrame, live: DataFrame, asset_ids: Iterable[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The current aggregate of every wanted asset, and a stream of its later ones."""
+    wanted = list(asset_ids)
+    snapshot = latest_aggregate(aggregates, wanted)
+    shown = snapshot.select("asset_id", F.col("aggregated_at").alias("shown_at"))
+    updates = (
+        live.filter(F.col("asset_id").isin(*(a.lower() for a in wanted)))
+        .join(shown, "asset_id", "left")
+        .filter(F.col("shown_at").isNull() | (F.col("aggregated_at") > F.col("shown_at")))
+        .select("asset_id", "median_price", "aggregated_at")
+    )
+    return snapshot, updates
+
+
 def live_fan_out(live: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Every live event once per matching subscription (stream-static join)."""
     return fan_out(live, subscriptions)
