@@ -569,8 +569,14 @@ def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, batc
     return folder, files
 
 
+def _delivered_logs(spark: SparkSession, folder: str) -> tuple[str, int]:
+    path = shared_dir(spark, "delivered")
+    feed.raw_logs(spark, folder).write.parquet(path)
+    return _arriving(spark, spark.read.parquet(path), "arrival_seq", "logs")
+
+
 def _ingested(spark: SparkSession, folder: str, runs: int = 1) -> DataFrame:
-    incoming, files = _arriving(spark, feed.raw_logs(spark, folder), "arrival_seq", "logs")
+    incoming, files = _delivered_logs(spark, folder)
     table, checkpoint = shared_dir(spark, "table"), shared_dir(spark, "checkpoint")
     for _ in range(runs):
         logs = stream_ingest.log_stream(spark, incoming, files)
@@ -602,7 +608,7 @@ def _drained(stream: DataFrame, label: str) -> DataFrame:
 
 @query
 def streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    incoming, files = _arriving(spark, feed.raw_logs(spark, folder), "arrival_seq", "logs")
+    incoming, files = _delivered_logs(spark, folder)
     decoded = decode.decoded_logs(stream_ingest.log_stream(spark, incoming, files), REGISTRY)
     return _drained(stream_ingest.unique_events(decoded), "unique").select("kind", "tx_hash", "log_index", "req_id")
 

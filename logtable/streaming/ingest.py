@@ -56,22 +56,6 @@ def _stored_keys(stored: DataFrame, decoded: DataFrame, size: Extent, reorg_wind
     return keys
 
 
-def new_events(
-    logs: DataFrame, stored: DataFrame, assets: DataFrame, registry: str, reorg_window: int | None = None
-) -> DataFrame:
-    """The events of one batch that are not stored yet, with assets as known at each of them.
-
-    By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near,
-    which file statistics turn into a short scan: the same transaction cannot reappear further
-    away than the chain can reorganise, so a window of at least that depth gives the same result.
-    """
-    decoded = decoded_logs(logs, registry)
-    size = extent(decoded)
-    fresh = insert_if_absent(decoded, _stored_keys(stored, decoded, size, reorg_window))
-    history = relevant_history(stored, size.low, size.high)
-    return assemble(resolve_asof(fresh, assets, history)).filter(satisfies_constraints())
-
-
 def ingest_batch(
     logs: DataFrame,
     batch: int,
@@ -82,11 +66,24 @@ def ingest_batch(
     registry: str,
     reorg_window: int | None = None,
 ) -> None:
-    """Stores one micro-batch. Running the same batch again rewrites the same rows."""
+    """Stores the events of one micro-batch that are not stored yet, with assets as known at each
+    of them. Running the same batch again rewrites the same rows.
+
+    By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near,
+    which file statistics turn into a short scan: the same transaction cannot reappear further
+    away than the chain can reorganise, so a window of at least that depth gives the same result.
+    """
     spark = logs.sparkSession
     stored = without_batch(read_batches(spark, table), writer, batch)
-    events = new_events(logs, stored, assets(spark), registry, reorg_window)
-    write_batch(events, table, writer, batch)
+    decoded = decoded_logs(logs, registry)
+    size = extent(decoded)
+    fresh = insert_if_absent(decoded, _stored_keys(stored, decoded, size, reorg_window)).persist()
+    try:
+        history = relevant_history(stored, size.low, size.high)
+        events = assemble(resolve_asof(fresh, assets(spark), history))
+        write_batch(events.filter(satisfies_constraints()), table, writer, batch)
+    finally:
+        fresh.unpersist()
 
 
 def start_ingest(
