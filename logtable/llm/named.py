@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logtable.llm import chat
+from logtable.llm import chat, mixing, warc
+from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +27,35 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(all_turns))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages and reads the archives back."""
+    path = shared_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "damage"
+    )
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each document's words a balanced mix of all sources takes."""
+    path = shared_dir(spark, "mix-sizes")
+    docs = table(spark, sf_dir, "documents")
+    docs.select(F.col("doc_id").alias("row_key"), "source", mixing.word_count(F.col("text")).alias("size")).write.parquet(path)
+    return mixing.mix(spark.read.parquet(path)).select(
+        F.col("row_key").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        "copies",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_warc": op2_warc,
+        "op8_source_mixing": op8_source_mixing,
     }
 
 
@@ -52,8 +80,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM ordered GROUP BY conv_id
 """
 
+OP2_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM payloads
+), typed AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 AND kept IS NOT NULL AND (page_id IS NULL OR page_id < kept)
+                 THEN kept END AS refers_to FROM kept
+)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+       CAST(NULL AS VARCHAR) AS damage
+FROM typed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": OP1_SQL,
+        "op2_warc": OP2_SQL,
     }
