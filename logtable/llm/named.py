@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import chat, mixing, warc
+from logtable.llm import bitslice, chat, hnsw, mixing, shards, warc
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    vectors = shards.clean_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every fiftieth vector."""
+    vectors = shards.clean_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return bitslice.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each document's words a balanced mix of all sources takes."""
     path = shared_dir(spark, "mix-sizes")
@@ -55,7 +67,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_warc": op2_warc,
+        "op3_hnsw": op3_hnsw,
         "op8_source_mixing": op8_source_mixing,
+        "op10_bitsliced_topk": op10_bitsliced_topk,
     }
 
 
@@ -95,9 +109,23 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM typed
 """
 
+OP10_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": OP1_SQL,
         "op2_warc": OP2_SQL,
+        "op10_bitsliced_topk": OP10_SQL,
     }
