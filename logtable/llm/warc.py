@@ -9,7 +9,7 @@ page id is the response and the others are revisits without a payload.
 number, verifies numbers and total length, and takes the chunk framing off. A record that fails
 verification comes back with a null payload and the reason in ``damage``.
 
-The files are Spark text output whose line separator is the blank line pair that ends a WARC record, so
+The files are gzipped Spark text output whose line separator is the blank line pair that ends a WARC record, so
 they are committed task by task and can lie in any store that Spark reaches.
 
 Defined cases: null html is an empty payload; a null page id is kept, never refers to itself and is never
@@ -20,6 +20,7 @@ give an empty archive. Other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -140,7 +141,9 @@ def write_archive(
 
     # the text sink writes the bytes of a string as they are
     lines = marked.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(
+        path, compression="gzip"
+    )
 
 
 def _page(name: bytes | None) -> int | None:
@@ -198,7 +201,7 @@ def _scan(files: DataFrame, segments: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                yield _batch(list(_parsed(content.as_py(), segments)), _ARROW)
+                yield _batch(list(_parsed(gzip.decompress(content.as_py()), segments)), _ARROW)
 
     return files.mapInArrow(scan, SEGMENT)
 
