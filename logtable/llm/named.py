@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import bitslice, chat, hnsw, mixing, shards, warc
+from logtable.llm import bitslice, chat, hnsw, mixing, packing, shards, simhash, warc
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,17 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces, and the place of each piece in its sequence."""
+    return packing.packed(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each document's words a balanced mix of all sources takes."""
     path = shared_dir(spark, "mix-sizes")
@@ -68,6 +79,8 @@ def queries() -> dict[str, Query]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_warc": op2_warc,
         "op3_hnsw": op3_hnsw,
+        "op5_simhash": op5_simhash,
+        "op6_packing": op6_packing,
         "op8_source_mixing": op8_source_mixing,
         "op10_bitsliced_topk": op10_bitsliced_topk,
     }
