@@ -60,7 +60,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words - known.keys())
+        new = list(words.difference(known))
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
             new = list(words)
