@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import bitslice, chat, hnsw, mixing, packing, shards, simhash, warc
+from logtable.llm import bitslice, chat, hnsw, mixing, packing, shards, simhash, toxicity, warc
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,16 @@ def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+        F.size("passages").cast("bigint").alias("n_passages"),
+    )
+
+
 def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every fiftieth vector."""
     vectors = shards.clean_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -82,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op8_source_mixing": op8_source_mixing,
+        "op9_toxicity": op9_toxicity,
         "op10_bitsliced_topk": op10_bitsliced_topk,
     }
 
