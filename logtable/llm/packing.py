@@ -18,9 +18,11 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,16 @@ CAPACITY = 1024
 END_TOKEN = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 _SPACES = re.compile(r"\s\s")
 
 
+def _stem(word: str) -> int:
+    """How many letters stand before a tail of marks; 0 if the word is not so."""
+    stem = word.rstrip(string.punctuation)
+    return len(stem) if len(stem) < len(word) and stem.isalpha() else 0
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -64,7 +72,13 @@ class Encoder:
         if len(known) + len(new) > WORDS_KEPT:
             known.clear()
             new = list(words)
-        known.update(zip(new, self._encode([before + w for w in new])))
+        # letters and the marks behind them are tokens of their own, and fewer texts apart
+        cuts = [_stem(w) for w in new]
+        parts = list({part for w, cut in zip(new, cuts) for part in ((before + w[:cut], w[cut:]) if cut else (before + w,))})
+        ids = dict(zip(parts, self._encode(parts)))
+        known.update(
+            (w, ids[before + w[:cut]] + ids[w[cut:]] if cut else ids[before + w]) for w, cut in zip(new, cuts)
+        )
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [bool(_SPACES.search(t)) for t in texts]
@@ -85,6 +99,12 @@ class Encoder:
         ]
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def _runs(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Places of runs of texts of about so many characters."""
     start, held = 0, 0
@@ -107,7 +127,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENI
     end = np.array([END_TOKEN], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = _encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
