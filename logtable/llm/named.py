@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import bitslice, chat, hnsw, mixing, packing, shards, simhash, toxicity, warc
+from logtable.llm import bitslice, chat, hnsw, mixing, packing, pii, shards, simhash, toxicity, warc
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,16 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.found(docs, pii.fit(docs))
+    # a comma stands before each span, so that a kind's name counts once for each of its spans
+    marked = F.concat(F.lit(","), "spans")
+    counts = [F.regexp_count(marked, F.lit(f",{kind}:")).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,6 +99,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_warc": op2_warc,
         "op3_hnsw": op3_hnsw,
+        "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
         "op8_source_mixing": op8_source_mixing,
