@@ -58,11 +58,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the first column (text) of each batch with the signed fingerprint."""
-    for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column(0)], np.uint64).view(np.int64)
-        yield pa.record_batch([pa.array(prints), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
+def fingerprinted(frame: DataFrame, name: str = "fp") -> DataFrame:
+    """The columns of ``frame`` behind the (signed) fingerprint of its column ``text``."""
+    at = frame.columns.index("text")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(prints), *batch.columns], names=[name, *batch.schema.names])
+
+    return frame.mapInArrow(run, f"`{name}` bigint, {shape}")
 
 
 def _byte(fp: Column, at: int) -> Column:
@@ -134,9 +140,9 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """``fp, doc_id`` rows of a written table -> ``fp, component_id`` per distinct fingerprint, written too.
+    """``fp, doc_id`` rows of a written table -> ``fp, root, component_id`` per distinct fingerprint, written too.
 
-    ``component_id`` is the smallest document id reachable through links, the own ones included.
+    ``root`` is the smallest fingerprint of the class, ``component_id`` the smallest document id in it.
     """
     spark = rows.sparkSession
     path = shared_dir(spark, "simhash-classes")
@@ -147,7 +153,7 @@ def classes(rows: DataFrame) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    member.join(least, "root").select("fp", "component_id").write.parquet(f"{path}/classes")
+    member.join(least, "root").select("fp", "root", "component_id").write.parquet(f"{path}/classes")
     return spark.read.parquet(f"{path}/classes")
 
 
@@ -155,10 +161,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` -> ``doc_id, fp, component_id``, a row per document."""
     spark = docs.sparkSession
     path = shared_dir(spark, "simhash-prints")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs.select("text", "doc_id").mapInArrow(fingerprints, f"fp bigint, doc_id {kind}").write.parquet(path)
+    fingerprinted(docs.select("doc_id", "text")).select("fp", "doc_id").write.parquet(path)
     rows = spark.read.parquet(path)
-    return rows.join(classes(rows), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes(rows).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

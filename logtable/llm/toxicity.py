@@ -207,22 +207,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     chosen = sampled(known, TRAIN_DOCS, "doc_id")
     path = shared_dir(spark, "toxic-sample")
-    # at most 2 * TRAIN_DOCS rows of two numbers are broadcast
-    docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("words")
-    ).limit(4 * TRAIN_DOCS).write.parquet(path)
-    sample = spark.read.parquet(path)
+    # at most 2 * TRAIN_DOCS rows of two numbers are broadcast; of repeated ids one text is learned from
+    docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic")
+    ).select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("words")).write.parquet(f"{path}/docs")
+    sample = spark.read.parquet(f"{path}/docs")
     size = {(r["words"], r["toxic"]): r["n"] for r in sample.groupBy("words", "toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = size.get((True, 1), 0), size.get((True, 0), 0)
     all_toxic, all_rows = sum(n for (_, t), n in size.items() if t), sum(size.values())
     share = min(max(all_toxic / all_rows, 1e-6), 1 - 1e-6) if all_rows else 0.0
     if not n_toxic or not n_other:
         return Model({}, 1.0, 1.0, math.log(share / (1 - share)) if share else -math.inf, 0.0)
-    counted = (
-        sample.filter("words").select("text", "toxic")
-        .mapInArrow(_counts, "token string, toxic bigint, other bigint, uses bigint")
-        .groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "uses")))
-    )
+    sample.filter("words").select("text", "toxic").mapInArrow(
+        _counts, "token string, toxic bigint, other bigint, uses bigint"
+    ).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "uses"))).write.parquet(f"{path}/tokens")
+    counted = spark.read.parquet(f"{path}/tokens")
     delta, z = _log_odds(F.col("toxic"), F.col("other"), n_toxic, n_other)
     scored_ = counted.select("token", "toxic", "uses", delta.alias("score"), z.alias("z"))
     lexicon = (
