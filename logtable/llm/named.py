@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import bitslice, chat, hnsw, mixing, packing, pii, shards, simhash, toxicity, warc
+from logtable.llm import bitslice, chat, hnsw, mixing, packing, pii, shards, simhash, toxicity, warc, weak_labels
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from heuristic votes alone."""
+    docs = table(spark, sf_dir, "documents")
+    return weak_labels.scored(docs, weak_labels.fit(docs)).select("doc_id", "posterior", "score", "predicted")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each document's words a balanced mix of all sources takes."""
     path = shared_dir(spark, "mix-sizes")
@@ -102,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op8_source_mixing": op8_source_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_bitsliced_topk": op10_bitsliced_topk,
