@@ -15,6 +15,7 @@ document follows from its id and size, so reruns agree on any partitioning.
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
@@ -142,9 +143,27 @@ def rounded(sizes: list[int], rates: list[float]) -> list[int]:
         n = min(MAX_COPIES, max(0, round(owed / size))) if size else 0
         owed -= n * size
         copies.append(n)
+    _settled(sizes, copies, owed)
     return copies
 
 
+def _settled(sizes: list[int], copies: list[int], owed: float) -> None:
+    """Where the last documents are too long to even out what is owed, one copy more of a document and one
+    fewer of another, or one of both alone, come closer."""
+    more = sorted({0: -1, **{n: i for i, n in enumerate(sizes) if copies[i] < MAX_COPIES}}.items())
+    fewer = {0: -1, **{n: i for i, n in enumerate(sizes) if copies[i] > 0}}
+    best, change = abs(owed), None
+    for n, j in fewer.items():
+        at = bisect.bisect_left(more, (owed + n, -2))
+        for m, i in more[max(0, at - 1) : at + 1]:
+            if abs(owed - m + n) < best and i != j:
+                best, change = abs(owed - m + n), (i, j)
+    if change:
+        for place, step in zip(change, (1, -1)):
+            if place >= 0:
+                copies[place] += step
+
+
 def mix(rows: DataFrame) -> DataFrame:
     """``row_key, source, size`` rows -> also ``source_size, target, copies`` (and the key's columns).
 

@@ -65,7 +65,14 @@ def test_rates_are_the_entropy_optimum(spark):
 
 def test_bounds_of_rounding():
     assert mixing.rounded([10, 5, 0], [3.0, 3.0, 3.0]) == [3, 3, 0]
-    assert mixing.rounded([10, 10], [0.5, 0.5]) == [0, 1]
+    assert sum(mixing.rounded([10, 10], [0.5, 0.5])) == 1
+    draw = random.Random(8)
+    for _ in range(200):
+        sizes = sorted((draw.randrange(50, 900) for _ in range(12)), reverse=True)
+        rates = [draw.uniform(0, 3) for _ in sizes]
+        copies = mixing.rounded(sizes, rates)
+        assert all(0 <= c <= 3 for c in copies)
+        assert abs(sum(c * n for c, n in zip(copies, sizes)) - sum(r * n for r, n in zip(rates, sizes))) <= 60
 
 
 def test_no_rows_empty_texts_and_clashing_columns(spark):
