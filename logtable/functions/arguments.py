@@ -22,19 +22,19 @@ class InvalidArgument(ValueError):
 def check_asset_id(text: str) -> str:
     lowered = text.lower()
     if not _HASH.fullmatch(lowered):
-        raise InvalidArgument("asset_id must be a 0x-prefixed 32-byte hex string")
+        raise InvalidArgument("an asset id is 0x and 64 hex digits")
     return lowered
 
 
 def check_req_id(text: str | None) -> str:
     trimmed = (text or "").strip()
     if not trimmed:
-        raise InvalidArgument("req_id is required")
+        raise InvalidArgument("no request id given")
     if not _INTEGER.fullmatch(trimmed):
-        raise InvalidArgument("req_id must be a base-10 uint256")
+        raise InvalidArgument("a request id is a decimal number below 2**256")
     value = int(trimmed)
     if not 0 <= value < 1 << 256:
-        raise InvalidArgument("req_id must be a base-10 uint256")
+        raise InvalidArgument("a request id is a decimal number below 2**256")
     return str(value)
 
 

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import check_asset_id, valid_kinds
-from logtable.schemas import EVENT_KEY
+from logtable.schemas import EVENT_KEY, KINDS
 
-_ANY = "*"
+# What a key holds where a subscription leaves the kind or the asset open. No kind and no asset is empty.
+_ANY = ""
+# Each key is dealt into so many parts, and subscriptions are repeated for each of them, so that the key that
+# all events share does not meet in one partition. On a stream nothing splits it at run time.
+SALTS = 32
 
 
 def matches(kinds: Sequence[str] = (), asset_id: str | None = None) -> Column:
@@ -26,8 +30,10 @@ def matches(kinds: Sequence[str] = (), asset_id: str | None = None) -> Column:
 
 
 def _subscription_keys(subscriptions: DataFrame) -> DataFrame:
-    """One row per (subscription, wanted kind): the key an event must present."""
-    kinds = F.when(F.size("kinds") > 0, F.array_distinct("kinds")).otherwise(F.array(F.lit(_ANY)))
+    """One row per (subscription, wanted kind): the key an event must present. The rule is that of
+    ``matches``: unknown kinds are dropped, none left and an empty or absent asset accept everything."""
+    known = F.array_intersect(F.coalesce("kinds", F.array().cast("array<string>")), F.array(*map(F.lit, KINDS)))
+    kinds = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit(_ANY)))
     return subscriptions.select(
         "sub_id",
         F.explode(kinds).alias("wanted_kind"),
@@ -36,14 +42,21 @@ def _subscription_keys(subscriptions: DataFrame) -> DataFrame:
 
 
 def _event_keys() -> Column:
-    """The four keys an event answers to: its kind or any, its asset or any. A null asset gives
-    null keys, which equal nothing."""
-    keys = [
-        F.struct(kind.alias("wanted_kind"), asset.alias("wanted_asset"))
-        for kind in (F.col("kind"), F.lit(_ANY))
-        for asset in (F.col("asset_id"), F.lit(_ANY))
-    ]
-    return F.array(*keys)
+    """The keys an event answers to: its kind or any, its asset or any. Nothing answers for a null
+    kind, an unknown kind answers to any only, and so does an absent asset."""
+    kinds = F.when(F.col("kind").isin(*KINDS), F.array("kind", F.lit(_ANY))).when(
+        F.col("kind").isNotNull(), F.array(F.lit(_ANY))
+    )
+    asset = F.nullif(F.lower("asset_id"), F.lit(_ANY))
+    assets = F.when(asset.isNotNull(), F.array(asset, F.lit(_ANY))).otherwise(F.array(F.lit(_ANY)))
+    pairs = F.transform(
+        kinds, lambda k: F.transform(assets, lambda a: F.struct(k.alias("wanted_kind"), a.alias("wanted_asset")))
+    )
+    return F.flatten(pairs)
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64(*EVENT_KEY), F.lit(SALTS)).cast("int")
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -53,12 +66,11 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     Spark broadcasts the subscriptions when they are small and otherwise shuffles, with skewed
     keys split at run time. Works on a streaming ``events`` too.
     """
-    keyed = events.filter(F.col("kind").isNotNull()).withColumn("key", F.explode(_event_keys()))
+    keyed = events.withColumn("key", F.explode(_event_keys())).withColumn("salt", _salt())
     keyed = keyed.withColumn("wanted_kind", F.col("key.wanted_kind"))
     keyed = keyed.withColumn("wanted_asset", F.col("key.wanted_asset")).drop("key")
-    return keyed.join(_subscription_keys(subscriptions), ["wanted_kind", "wanted_asset"]).drop(
-        "wanted_kind", "wanted_asset"
-    )
+    salted = _subscription_keys(subscriptions).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.join(salted, ["wanted_kind", "wanted_asset", "salt"]).drop("wanted_kind", "wanted_asset", "salt")
 
 
 def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -72,6 +84,6 @@ def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
         .groupBy("wanted_kind", "wanted_asset")
         .agg(F.count(F.lit(1)).alias("subscribers"))
     )
-    keyed = events.select(*EVENT_KEY, F.explode(_event_keys()).alias("key")).select(*EVENT_KEY, "key.*")
+    keyed = events.select(*EVENT_KEY, F.explode_outer(_event_keys()).alias("key")).select(*EVENT_KEY, "key.*")
     reached = keyed.join(audience, ["wanted_kind", "wanted_asset"], "left")
     return reached.groupBy(*EVENT_KEY).agg(F.coalesce(F.sum("subscribers"), F.lit(0)).alias("delivered"))

@@ -78,13 +78,14 @@ def events_from_logs(logs: DataFrame, assets: DataFrame | None, registry: str, l
     """The whole batch path: decode, keep first arrivals, resolve assets, assemble.
 
     ``live_mapping`` follows registrations as they happen; otherwise configuration alone counts.
+    Rows that break a constraint are left out, as on the stream.
     Without ``assets`` nothing is resolved, which saves its shuffles where assets play no part.
     """
     unique = first_arrivals(decoded_logs(logs, registry))
     if assets is None:
-        return assemble(own_assets(unique))
+        return assemble(own_assets(unique)).filter(satisfies_constraints())
     resolve = resolve_asof if live_mapping else resolve_static
-    return assemble(resolve(unique, assets))
+    return assemble(resolve(unique, assets)).filter(satisfies_constraints())
 
 
 def satisfies_constraints() -> Column:

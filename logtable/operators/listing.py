@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from logtable.functions.arguments import InvalidArgument, Page, check_asset_id, valid_kinds
 from logtable.schemas import CHAIN_ORDER
 
-# Up to here a page is found with one bounded top-k; deeper pages are located by block counts.
-TOP_K_ROWS = 20_000
 BLOCKS_PER_COUNT = 1024
 
 
@@ -57,14 +55,12 @@ def oldest_first() -> list[Column]:
 
 def list_events(events: DataFrame, where: EventFilter = EventFilter(), page: Page = Page()) -> DataFrame:
     """One newest-first page."""
-    matching = events.filter(where.predicate())
-    if page.offset + page.limit <= TOP_K_ROWS:
-        return matching.orderBy(*newest_first()).offset(page.offset).limit(page.limit)
-    return deep_page(matching, page)
+    return deep_page(events.filter(where.predicate()), page)
 
 
 def deep_page(matching: DataFrame, page: Page, blocks_per_count: int = BLOCKS_PER_COUNT) -> DataFrame:
-    """The same page as a top-k would give, for offsets too large to hold in one task.
+    """The page a top-k would give, at any depth and without holding what precedes it in one task.
+    Stored rows have a block number; a row without one has no place and is on no page.
 
     Counts per block range say which ranges the page touches and how many rows precede each; only
     those ranges are then ranked, each on its own.

@@ -184,7 +184,8 @@ _SHORT = "CASE WHEN length({0}) < 14 THEN {0} ELSE left({0}, 6) || '…' || righ
 
 _SUBS = f"""
 subs(sub_id, kind_wanted, asset_wanted) AS (VALUES (CAST(1 AS INTEGER), NULL, NULL), (2, 'PRICE_REQUESTED', NULL),
-  (3, NULL, '{WETH}'), (4, 'PRICE_REQUESTED', '{WETH}')),
+  (3, NULL, '{WETH}'), (4, 'PRICE_REQUESTED', '{WETH}'),
+  (5, NULL, '{WETH}'), (6, 'PRICE_REQUESTED', NULL), (7, 'PRICE_REQUESTED', NULL), (8, NULL, '{WETH}')),
 sent AS (SELECT s.sub_id, e.kind, e.asset_id, e.tx_hash, e.log_index FROM evt e JOIN subs s
   ON (s.kind_wanted IS NULL OR s.kind_wanted = e.kind) AND (s.asset_wanted IS NULL OR s.asset_wanted = e.asset_id))"""
 
@@ -256,7 +257,7 @@ def statements() -> dict[str, str]:
         "resolve_asset_asof": every,
         "dedup_first": f"""{src} SELECT tx_hash, log_index, arrival_seq, {_KIND} AS kind, seen_us AS observed_at_us FROM arrivals
             WHERE event_type IN ('click', 'purchase', 'signup') QUALIFY row_number() OVER (PARTITION BY tx_hash, log_index ORDER BY arrival_seq) = 1""",
-        "list_events": f"{flat} WHERE {price_kinds} AND asset_id = '{WETH}' AND block_number BETWEEN 101 AND 1000000 {_NEWEST} LIMIT 200",
+        "list_events": f"{flat} WHERE {price_kinds} AND asset_id = '{WETH}' AND block_number >= 101 {_NEWEST} LIMIT 200",
         "list_by_kind": f"{flat} WHERE kind = 'PRICE_REQUESTED'",
         "list_by_asset": f"{flat} WHERE asset_id = '{WETH}'",
         "list_block_range": f"{flat}, middle WHERE block_number BETWEEN 101 AND middle.block",

@@ -53,21 +53,25 @@ def default_assets(spark: SparkSession) -> DataFrame:
     return asset_source.assets_frame(spark, asset_source.default_assets())
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table, straight from raw logs."""
-    return ingest.events_from_logs(feed.raw_logs(spark, folder), default_assets(spark), REGISTRY)
+# Where the event table of an input lies, by application and input files.
+_STORED: dict[tuple, str] = {}
 
 
-def stored_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table written once and read back, for queries that go over it several times."""
-    path = shared_dir(spark, "events")
-    event_table.write_events(events(spark, folder), path)
-    return event_table.read_events(spark, path)
+def _input_state(spark: SparkSession, folder: str) -> tuple:
+    """One row that changes with the source files: how many there are, and a sum over path, size and time."""
+    files = spark.read.format("binaryFile").load(f"{folder}/events.parquet").select("path", "length", "modificationTime")
+    mark = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    return tuple(files.agg(F.count(F.lit(1)), mark).first())
 
 
-def assetless_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The same events for queries that look at no asset of a price event."""
-    return ingest.events_from_logs(feed.raw_logs(spark, folder), None, REGISTRY)
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table: built from raw logs once per application and input, then only read."""
+    key = (spark.sparkContext.applicationId, folder, *_input_state(spark, folder))
+    if key not in _STORED:
+        path = shared_dir(spark, "events")
+        event_table.write_events(ingest.events_from_logs(feed.raw_logs(spark, folder), default_assets(spark), REGISTRY), path)
+        _STORED[key] = path
+    return event_table.read_events(spark, _STORED[key])
 
 
 def micros(column: str) -> Column:
@@ -124,7 +128,7 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def seed_assets(spark: SparkSession, folder: str) -> DataFrame:
-    stored = assetless_events(spark, folder).filter(F.col("kind") == ASSET_REGISTERED)
+    stored = stored_events(spark, folder).filter(F.col("kind") == ASSET_REGISTERED)
     seeds = ingest.seed_events(spark, asset_source.default_assets(), F.timestamp_seconds(F.lit(0)))
     new = ingest.insert_if_absent(seeds, stored, arrival=None).select(*stored.columns)
     return stored.unionByName(new).select(
@@ -134,7 +138,7 @@ def seed_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def to_wire(spark: SparkSession, folder: str) -> DataFrame:
-    wire = payloads.to_wire(events(spark, folder))
+    wire = payloads.to_wire(stored_events(spark, folder))
     return wire.select(
         "meta.contract_address",
         "meta.tx_hash",
@@ -181,7 +185,7 @@ def decode_price_fulfilled(spark: SparkSession, folder: str) -> DataFrame:
     rows = decode.decode_event(feed.raw_logs(spark, folder), SERVICE_SIGNATURES[PRICE_FULFILLED])
     usd = words.numeric_companion(F.col("price")).alias("price_number")
     return rows.select(
-        "address", "tx_hash", "log_index", "req_id", "price", "timestamp", usd.cast("bigint").alias("price_number")
+        "address", "tx_hash", "log_index", "req_id", "price", "timestamp", usd.try_cast("bigint").alias("price_number")
     )
 
 
@@ -206,12 +210,12 @@ def int256_decode(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def payload_json(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).select("tx_hash", "log_index", payloads.payload_json().alias("payload"))
+    return stored_events(spark, folder).select("tx_hash", "log_index", payloads.payload_json().alias("payload"))
 
 
 @query
 def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder).withColumn("text", payloads.payload_json())
+    rows = stored_events(spark, folder).withColumn("text", payloads.payload_json())
     rows = rows.select(
         "kind",
         "tx_hash",
@@ -243,7 +247,7 @@ def kind_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def short_hash(spark: SparkSession, folder: str) -> DataFrame:
-    rows = assetless_events(spark, folder)
+    rows = stored_events(spark, folder)
     return rows.select(
         "tx_hash",
         "log_index",
@@ -308,54 +312,54 @@ def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def list_events(spark: SparkSession, folder: str) -> DataFrame:
-    where = listing.EventFilter.of([PRICE_REQUESTED, PRICE_FULFILLED], WETH, 101, 1_000_000)
-    return flat(listing.list_events(events(spark, folder), where, Page(1, 200)))
+    where = listing.EventFilter.of([PRICE_REQUESTED, PRICE_FULFILLED], WETH, 101)
+    return flat(listing.list_events(stored_events(spark, folder), where, Page(1, 200)))
 
 
 @query
 def list_by_kind(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of([PRICE_REQUESTED, "NOT_A_KIND"])
-    return flat(events(spark, folder).filter(where.predicate()))
+    return flat(stored_events(spark, folder).filter(where.predicate()))
 
 
 @query
 def list_by_asset(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of(asset_id=WETH.upper().replace("0X", "0x"))
-    return flat(events(spark, folder).filter(where.predicate()))
+    return flat(stored_events(spark, folder).filter(where.predicate()))
 
 
 @query
 def list_block_range(spark: SparkSession, folder: str) -> DataFrame:
-    rows = events(spark, folder)
+    rows = stored_events(spark, folder)
     where = listing.EventFilter.of(from_block=101, to_block=middle_block(feed.raw_logs(spark, folder)))
     return flat(rows.filter(where.predicate()))
 
 
 @query
 def list_default_page(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(listing.list_events(events(spark, folder), page=Page(1, 5000)))
+    return flat(listing.list_events(stored_events(spark, folder), page=Page(1, 5000)))
 
 
 @query
 def list_page_2(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(listing.list_events(events(spark, folder), page=Page(2, 150)))
+    return flat(listing.list_events(stored_events(spark, folder), page=Page(2, 150)))
 
 
 @query
 def list_deep_page(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(listing.deep_page(events(spark, folder), Page(3, 130), blocks_per_count=16))
+    return flat(listing.deep_page(stored_events(spark, folder), Page(3, 130), blocks_per_count=16))
 
 
 @query
 def page_meta(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of([PRICE_REQUESTED])
-    return listing.page_meta(assetless_events(spark, folder), where, Page(2, 30))
+    return listing.page_meta(stored_events(spark, folder), where, Page(2, 30))
 
 
 @query
 def cursor_page(spark: SparkSession, folder: str) -> DataFrame:
     where = listing.EventFilter.of([PRICE_REQUESTED])
-    rows = assetless_events(spark, folder)
+    rows = stored_events(spark, folder)
     first = listing.cursor_page(rows, where, "", 50).select("next_cursor").first()
     page = listing.cursor_page(rows, where, first["next_cursor"], 50)
     return page.select("block_number", "log_index", "tx_hash", "has_more", "next_cursor")
@@ -363,18 +367,18 @@ def cursor_page(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def replay_history(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(listing.replay_history(events(spark, folder), listing.EventFilter.of(from_block=110)))
+    return flat(listing.replay_history(stored_events(spark, folder), listing.EventFilter.of(from_block=110)))
 
 
 @query
 def after_position(spark: SparkSession, folder: str) -> DataFrame:
     mark = listing.Position(150, 3)
-    return flat(events(spark, folder).filter(listing.after_position(mark)))
+    return flat(stored_events(spark, folder).filter(listing.after_position(mark)))
 
 
 @query
 def high_water(spark: SparkSession, folder: str) -> DataFrame:
-    return listing.high_water(assetless_events(spark, folder))
+    return listing.high_water(stored_events(spark, folder))
 
 
 # --- requests ---------------------------------------------------------------------------------
@@ -396,28 +400,28 @@ def _status_columns(rows: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def request_status(spark: SparkSession, folder: str) -> DataFrame:
-    return _status_columns(requests.request_status(events(spark, folder)), "req_id")
+    return _status_columns(requests.request_status(stored_events(spark, folder)), "req_id")
 
 
 @query
 def request_status_by_contract(spark: SparkSession, folder: str) -> DataFrame:
-    rows = requests.request_status(events(spark, folder), by_contract=True)
+    rows = requests.request_status(stored_events(spark, folder), by_contract=True)
     return _status_columns(rows, "req_id", "contract_address")
 
 
 @query
 def get_request(spark: SparkSession, folder: str) -> DataFrame:
-    return _status_columns(requests.get_request(events(spark, folder), f" {HOT_REQUEST} "), "req_id")
+    return _status_columns(requests.get_request(stored_events(spark, folder), f" {HOT_REQUEST} "), "req_id")
 
 
 @query
 def events_for_request(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(requests.events_for_request(events(spark, folder), HOT_REQUEST))
+    return flat(requests.events_for_request(stored_events(spark, folder), HOT_REQUEST))
 
 
 @query
 def request_fulfil_join(spark: SparkSession, folder: str) -> DataFrame:
-    return requests.request_fulfil_join(assetless_events(spark, folder))
+    return requests.request_fulfil_join(stored_events(spark, folder))
 
 
 # --- fan-out and counters -----------------------------------------------------------------------
@@ -425,7 +429,7 @@ def request_fulfil_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def subscription_match(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).select(
+    return stored_events(spark, folder).select(
         "tx_hash",
         "log_index",
         fanout.matches().alias("any_event"),
@@ -437,18 +441,18 @@ def subscription_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fan_out(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fanout.fan_out(events(spark, folder), feed.subscriptions(spark))
+    rows = fanout.fan_out(stored_events(spark, folder), feed.subscriptions(spark))
     return rows.select("sub_id", "kind", "asset_id", "tx_hash", "log_index")
 
 
 @query
 def deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    return fanout.deliveries(events(spark, folder), feed.subscriptions(spark))
+    return fanout.deliveries(stored_events(spark, folder), feed.subscriptions(spark))
 
 
 @query
 def events_seen(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.events_seen(assetless_events(spark, folder))
+    return metrics.events_seen(stored_events(spark, folder))
 
 
 @query
@@ -467,12 +471,12 @@ def current_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def latest_price(spark: SparkSession, folder: str) -> DataFrame:
-    return state.latest_price(assetless_events(spark, folder))
+    return state.latest_price(stored_events(spark, folder))
 
 
 @query
 def fulfilled_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return state.fulfilled_requests(assetless_events(spark, folder))
+    return state.fulfilled_requests(stored_events(spark, folder))
 
 
 @query

@@ -44,7 +44,8 @@ def parse_assets(text: str) -> list[dict[str, str]]:
         raise InvalidArgument("assets must be a JSON array") from error
     if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
         raise InvalidArgument("assets must be a JSON array of objects")
-    return [{field: str(entry.get(field, "")) for field in _FIELDS} for entry in entries]
+    # JSON null is an absent field
+    return [{f: "" if entry.get(f) is None else str(entry[f]) for f in _FIELDS} for entry in entries]
 
 
 def assets_frame(spark: SparkSession, assets: Sequence[dict[str, str]]) -> DataFrame:

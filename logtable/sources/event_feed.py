@@ -26,14 +26,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Small inputs come as fewer splits than there are cores; their narrow source rows are dealt
-    out before the costly encoding and decoding. Inputs with splits enough stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
-    return rows.repartition(cores) if splits < cores else rows
-
-
 def _quoted(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -134,7 +126,7 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
         f"{encoded})"
     )
     deliveries = f"if(arrival_seq % 10 = 0, array({first}, {again}), array({first}))"
-    return _delivered(_first_arrivals(spread(table(spark, folder, "events"))), deliveries)
+    return _delivered(_first_arrivals(table(spark, folder, "events")), deliveries)
 
 
 def _admin_variants() -> list[tuple[str, str, list[str], list[str]]]:
@@ -174,7 +166,7 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
     data = " ".join(f"when {n} then concat('0x', {', '.join(words)})" for n, (_, _, _, words) in variants if words)
     address = " ".join(f"when {n} then {emitters[emitter]}" for n, (_, emitter, _, _) in variants)
     block = f"{FIRST_BLOCK} + o_orderkey div {LOGS_PER_BLOCK}"
-    logs = spread(table(spark, folder, "orders")).selectExpr(
+    logs = table(spark, folder, "orders").selectExpr(
         "o_orderkey as arrival_seq",
         f"{choice} {address} end as address",
         f"{choice} {topics} end as topics",
@@ -191,7 +183,7 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
 def wide_words(spark: SparkSession, folder: str) -> DataFrame:
     """One 256-bit word per event: full-range, 128-bit, 64-bit and zero words in turn."""
     return (
-        spread(table(spark, folder, "events"))
+        table(spark, folder, "events")
         .selectExpr("event_id", "sha2(concat('word-', event_id), 256) as h")
         .selectExpr(
             "event_id",
@@ -252,9 +244,12 @@ def customer_assets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession) -> DataFrame:
-    """Four filters: everything, one kind, one asset, both."""
+    """Everything, one kind, one asset, both; and the odd ones: an unknown kind alone and beside a
+    repeated known one, an empty asset, no kinds at all."""
     first = default_assets()[0]["asset_id"]
-    rows = [(1, [], None), (2, ["PRICE_REQUESTED"], None), (3, [], first), (4, ["PRICE_REQUESTED"], first)]
+    kind, unknown = "PRICE_REQUESTED", "NOT_A_KIND"
+    rows = [(1, [], None), (2, [kind], None), (3, [], first), (4, [kind], first)]
+    rows += [(5, [unknown], first), (6, [unknown, kind, kind], None), (7, [kind], ""), (8, None, first.upper())]
     return small_table(spark, rows, struct_of(SUBSCRIPTION_DDL))
 
 

@@ -17,9 +17,6 @@ from logtable.operators.resolve import relevant_history, resolve_asof
 from logtable.schemas import EVENT_KEY, raw_log_schema
 from logtable.sources.event_table import read_batches, without_batch, write_batch
 
-# A key is about a hundred bytes, so this many stay within a few dozen megabytes.
-BROADCAST_ROWS = 200_000
-
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """RAW_LOG files as they appear. Any other streaming source of that shape will do."""
@@ -30,30 +27,23 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
 
 
 class Extent(NamedTuple):
-    """How many decoded rows a batch has, and the blocks they span."""
+    """The blocks that the decoded rows of a batch span."""
 
-    rows: int
     low: int
     high: int
 
 
 def extent(decoded: DataFrame) -> Extent:
-    row = decoded.agg(
-        F.count(F.lit(1)).alias("rows"), F.min("block_number").alias("low"), F.max("block_number").alias("high")
-    ).first()
-    return Extent(row["rows"], row["low"] or 0, row["high"] or 0)
+    row = decoded.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).first()
+    return Extent(row["low"] or 0, row["high"] or 0)
 
 
-def _stored_keys(stored: DataFrame, decoded: DataFrame, size: Extent, reorg_window: int | None) -> DataFrame:
-    """The stored keys that the batch can meet. A batch of bounded size is sent to the table, which
-    is then only scanned; a larger one leaves the choice to the planner."""
+def _stored_keys(stored: DataFrame, size: Extent, reorg_window: int | None) -> DataFrame:
+    """The stored keys that the batch can meet; how they meet is the planner's choice."""
     keys = stored
     if reorg_window is not None:
         keys = keys.filter(F.col("block_number").between(size.low - reorg_window, size.high + reorg_window))
-    keys = keys.select(*EVENT_KEY)
-    if size.rows <= BROADCAST_ROWS:
-        keys = keys.join(F.broadcast(decoded.select(*EVENT_KEY)), list(EVENT_KEY), "left_semi")
-    return keys
+    return keys.select(*EVENT_KEY)
 
 
 def ingest_batch(
@@ -75,15 +65,16 @@ def ingest_batch(
     """
     spark = logs.sparkSession
     stored = without_batch(read_batches(spark, table), writer, batch)
-    decoded = decoded_logs(logs, registry)
+    decoded = decoded_logs(logs, registry).persist()
     size = extent(decoded)
-    fresh = insert_if_absent(decoded, _stored_keys(stored, decoded, size, reorg_window)).persist()
+    fresh = insert_if_absent(decoded, _stored_keys(stored, size, reorg_window)).persist()
     try:
         history = relevant_history(stored, size.low, size.high)
         events = assemble(resolve_asof(fresh, assets(spark), history))
         write_batch(events.filter(satisfies_constraints()), table, writer, batch)
     finally:
         fresh.unpersist()
+        decoded.unpersist()
 
 
 def start_ingest(

@@ -54,11 +54,6 @@ def test_pages(many, order, page):
         assert positions(listing.deep_page(many, page, blocks_per_count=width)) == expected
 
 
-def test_deep_offsets_leave_the_top_k(many, monkeypatch, order):
-    monkeypatch.setattr(listing, "TOP_K_ROWS", 10)
-    assert positions(listing.list_events(many, page=Page(5, 100))) == order[400:500]
-
-
 def test_filters(spark):
     frame = events(
         spark, event(block=10), event(block=11, asset=OTHER), event("PRICE_FULFILLED", block=12), event(block=13, asset=None)
@@ -167,5 +162,8 @@ def test_fan_out(spark):
     assert {r["block_number"]: r["delivered"] for r in reached.collect()} == {1: 3, 2: 2, 3: 1, 4: 2}
     nobody = fanout.deliveries(frame, subs.filter("sub_id = 3"))
     assert sorted(r["delivered"] for r in nobody.collect()) == [0, 0, 1, 1]
+    odd = [(1, ["NOT_A_KIND"], None), (2, ["NOT_A_KIND", "PRICE_REQUESTED", "PRICE_REQUESTED"], ""), (3, ["*"], WETH.upper()), (4, [None], None)]
+    sent = fanout.fan_out(frame, spark.createDataFrame(odd, shape)).groupBy("sub_id").count()
+    assert dict(map(tuple, sent.collect())) == {1: 4, 2: 2, 3: 2, 4: 4}
     both = fanout.fan_out(frame, spark.createDataFrame([(9, ["PRICE_REQUESTED", "PRICE_FULFILLED"], WETH)], shape))
     assert both.count() == 2 and F.col("sub_id") is not None
