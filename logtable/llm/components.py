@@ -22,13 +22,13 @@ def _written(frame: DataFrame) -> tuple[DataFrame, tuple]:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("b"), F.col("a"))).distinct()
+    both = edges.union(edges.select(F.col("b"), F.col("a")))  # edges are distinct, larger node first
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     handed = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return handed.union(least.select("a", F.col("m").alias("b"))).distinct()
