@@ -53,10 +53,6 @@ def word_to_hash(word: Column) -> Column:
     return F.concat(F.lit("0x"), word)
 
 
-def _integer(value: int) -> Column:
-    return F.lit(value).cast("bigint")
-
-
 def _let(name: str, value: str, body: str) -> str:
     """SQL for ``body`` over a value that is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"

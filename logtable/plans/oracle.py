@@ -296,7 +296,9 @@ def statements() -> dict[str, str]:
             SELECT address, block_number, log_index, tx_hash, CASE event WHEN 'MaxAgeChanged' THEN 'max_age' WHEN 'RequestFeeChanged' THEN 'request_fee' WHEN 'ThresholdChanged' THEN 'threshold'
                 WHEN 'ReporterSetChanged' THEN 'reporter_set' WHEN 'OwnershipTransferStarted' THEN 'pending_owner' ELSE 'owner' END AS parameter, argument_2 AS value
               FROM admin WHERE event NOT IN ('AssetUpdated', 'ReporterAdded', 'ReporterRemoved')
-            UNION ALL SELECT address, block_number, log_index, tx_hash, 'pending_owner', NULL FROM admin WHERE event = 'OwnershipTransferred'),
+            UNION ALL SELECT address, block_number, log_index, tx_hash, 'pending_owner', NULL FROM admin WHERE event = 'OwnershipTransferred'
+            UNION ALL SELECT emitter, block_number, log_index, tx_hash, 'owner', emitter FROM src WHERE event_type = 'view'
+            UNION ALL SELECT emitter, block_number, log_index, tx_hash, 'pending_owner', NULL FROM src WHERE event_type = 'view'),
             last AS (SELECT * FROM settings QUALIFY row_number() OVER (PARTITION BY address, parameter {_NEWEST}) = 1)
             SELECT address AS contract_address, parameter, value FROM last WHERE value IS NOT NULL""",
         "median_price": f"{agg} SELECT asset_id, aggregated_sec, median_price, sources FROM aggregates",
@@ -320,7 +322,8 @@ def statements() -> dict[str, str]:
         "replay_then_live": f"{flat} WHERE {price_kinds} AND block_number >= 110",
         "boundary_dedup": flat,
         "live_subscription": f"{flat} WHERE kind = 'PRICE_FULFILLED' AND asset_id = '{WETH}'",
-        "watch_ownership": f"{adm} SELECT address, tx_hash, log_index, argument_1 AS previous_owner, argument_2 AS new_owner FROM admin WHERE event = 'OwnershipTransferred' AND block_number >= 101",
+        "watch_ownership": f"""{adm} SELECT address, tx_hash, log_index, argument_1 AS previous_owner, argument_2 AS new_owner FROM admin WHERE event = 'OwnershipTransferred' AND block_number >= 101
+            UNION ALL SELECT emitter, tx_hash, log_index, requester, emitter FROM arrivals WHERE event_type = 'view' AND block_number >= 101""",
     }
     sql["streaming_ingest"] = sql["streaming_resume"] = flat
     sql["streaming_fan_out"] = sent

@@ -486,7 +486,8 @@ def current_reporters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def current_admin_state(spark: SparkSession, folder: str) -> DataFrame:
-    return state.current_parameters(feed.admin_logs(spark, folder))
+    logs = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    return state.current_parameters(logs)
 
 
 # --- prices and submissions ---------------------------------------------------------------------
@@ -579,26 +580,34 @@ def _delivered_logs(spark: SparkSession, folder: str) -> tuple[str, int]:
     return _arriving(spark, spark.read.parquet(path), "arrival_seq", "logs")
 
 
-def _ingested(spark: SparkSession, folder: str, runs: int = 1) -> DataFrame:
-    incoming, files = _delivered_logs(spark, folder)
-    table, checkpoint = shared_dir(spark, "table"), shared_dir(spark, "checkpoint")
-    for _ in range(runs):
-        logs = stream_ingest.log_stream(spark, incoming, files)
-        running = stream_ingest.start_ingest(
-            logs, table, checkpoint, default_assets, REGISTRY, available_now=True
-        )
-        running.awaitTermination()
-    return event_table.read_batches(spark, table)
+def _ingest_run(spark: SparkSession, incoming: str, files: int, table: str, checkpoint: str, writer: str) -> None:
+    logs = stream_ingest.log_stream(spark, incoming, files)
+    stream_ingest.start_ingest(
+        logs, table, checkpoint, default_assets, REGISTRY, writer=writer, available_now=True
+    ).awaitTermination()
 
 
 @query
 def streaming_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(_ingested(spark, folder))
+    incoming, files = _delivered_logs(spark, folder)
+    table = shared_dir(spark, "table")
+    _ingest_run(spark, incoming, files, table, shared_dir(spark, "checkpoint"), "ingest")
+    return flat(event_table.read_batches(spark, table))
 
 
 @query
 def streaming_resume(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(_ingested(spark, folder, runs=2))
+    """Files arrive between two runs of one writer; then a second writer goes over all of them again."""
+    delivered = shared_dir(spark, "delivered")
+    feed.raw_logs(spark, folder).write.parquet(delivered)
+    rows = spark.read.parquet(delivered)
+    middle = sum(rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()) // 2
+    incoming, table, checkpoint = (shared_dir(spark, label) for label in ("logs", "table", "checkpoint"))
+    for part in (F.col("arrival_seq") <= middle, F.col("arrival_seq") > middle):
+        rows.filter(part).write.mode("append").parquet(incoming)
+        _ingest_run(spark, incoming, 4, table, checkpoint, "ingest")
+    _ingest_run(spark, incoming, 4, table, shared_dir(spark, "checkpoint"), "again")
+    return flat(event_table.read_batches(spark, table))
 
 
 def _drained(stream: DataFrame, label: str) -> DataFrame:
@@ -687,7 +696,8 @@ def price_subscription(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def watch_ownership(spark: SparkSession, folder: str) -> DataFrame:
-    incoming, files = _arriving(spark, feed.admin_logs(spark, folder), "arrival_seq", "admin")
+    changes = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    incoming, files = _arriving(spark, changes, "arrival_seq", "admin")
     logs = decode.filter_topics(
         stream_ingest.log_stream(spark, incoming, files), SIGNATURES["OwnershipTransferred"], from_block=101
     )

@@ -12,9 +12,9 @@ from logtable.operators.requests import request_status
 from logtable.sources.event_table import batch_path
 
 
-def live_request_status(events: DataFrame) -> DataFrame:
+def live_request_status(events: DataFrame, by_contract: bool = False) -> DataFrame:
     """``request_status`` as a running aggregation; run it in update mode."""
-    return request_status(events)
+    return request_status(events, by_contract=by_contract)
 
 
 def _store_changes(changes: DataFrame, batch: int, *, table: str, writer: str) -> None:
@@ -33,9 +33,10 @@ def start_status_table(
     return (writing.trigger(availableNow=True) if available_now else writing).start()
 
 
-def read_status_table(spark: SparkSession, table: str, key: str = "req_id") -> DataFrame:
-    """The latest state per key."""
+def read_status_table(spark: SparkSession, table: str, *keys: str) -> DataFrame:
+    """The latest state per request id, or per the keys that the status was kept by."""
     changes = spark.read.parquet(table)
-    columns = [c for c in changes.columns if c not in (key, "writer", "batch")]
-    latest = changes.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("latest"))
-    return latest.select(key, "latest.*")
+    keys = keys or ("req_id",)
+    columns = [c for c in changes.columns if c not in (*keys, "writer", "batch")]
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("latest"))
+    return latest.select(*keys, "latest.*")

@@ -13,6 +13,7 @@ SAMPLE = (
     "list_events", "decode_price_fulfilled", "decode_admin_events", "uint256_decode", "int256_decode",
     "resolve_asset_asof", "insert_if_absent", "request_status", "deliveries", "median_price",
     "current_admin_state", "asset_violations", "streaming_ingest", "boundary_dedup",
+    "list_deep_page", "cursor_page", "get_request", "fan_out", "streaming_fan_out", "watch_ownership", "streaming_resume",
 )
 
 
