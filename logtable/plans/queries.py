@@ -53,25 +53,55 @@ def default_assets(spark: SparkSession) -> DataFrame:
     return asset_source.assets_frame(spark, asset_source.default_assets())
 
 
-# Where the event table of an input lies, by application and input files.
+# Where the tables made of an input lie, by application, table and input files.
 _STORED: dict[tuple, str] = {}
 
 
-def _input_state(spark: SparkSession, folder: str) -> tuple:
+def _input_state(spark: SparkSession, folder: str, source: str) -> tuple:
     """One row that changes with the source files: how many there are, and a sum over path, size and time."""
-    files = spark.read.format("binaryFile").load(f"{folder}/events.parquet").select("path", "length", "modificationTime")
+    files = spark.read.format("binaryFile").load(f"{folder}/{source}.parquet").select("path", "length", "modificationTime")
     mark = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
     return tuple(files.agg(F.count(F.lit(1)), mark).first())
 
 
-def stored_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table: built from raw logs once per application and input, then only read."""
-    key = (spark.sparkContext.applicationId, folder, *_input_state(spark, folder))
+def _once(spark: SparkSession, folder: str, source: str, label: str, write: Callable[[str], None]) -> str:
+    """The path of a table that is written once per application and input."""
+    key = (spark.sparkContext.applicationId, label, folder, *_input_state(spark, folder, source))
     if key not in _STORED:
-        path = shared_dir(spark, "events")
-        event_table.write_events(ingest.events_from_logs(feed.raw_logs(spark, folder), default_assets(spark), REGISTRY), path)
+        path = shared_dir(spark, label)
+        write(path)
         _STORED[key] = path
-    return event_table.read_events(spark, _STORED[key])
+    return _STORED[key]
+
+
+def _landed(spark: SparkSession, folder: str, source: str, label: str, rows: Callable, order: str) -> DataFrame:
+    """Source rows as they land: a table in files of consecutive rows."""
+
+    def write(path: str) -> None:
+        rows(spark, folder).repartitionByRange(order).write.parquet(path)
+
+    return spark.read.parquet(_once(spark, folder, source, label, write))
+
+
+def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed(spark, folder, "events", "raw-logs", feed.raw_logs, "block_number")
+
+
+def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed(spark, folder, "orders", "admin-logs", feed.admin_logs, "block_number")
+
+
+def wide_words(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed(spark, folder, "events", "wide-words", feed.wide_words, "event_id")
+
+
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table: built from raw logs once per application and input, then only read."""
+
+    def write(path: str) -> None:
+        event_table.write_events(ingest.events_from_logs(raw_logs(spark, folder), default_assets(spark), REGISTRY), path)
+
+    return event_table.read_events(spark, _once(spark, folder, "events", "events", write))
 
 
 def micros(column: str) -> Column:
@@ -106,7 +136,7 @@ def middle_block(rows: DataFrame) -> int:
 
 @query
 def address_scope(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder)
+    logs = raw_logs(spark, folder)
     scoped = resolve.address_scope(logs, default_assets(spark), REGISTRY)
     return scoped.select("arrival_seq", "address", "tx_hash", "log_index")
 
@@ -118,7 +148,7 @@ def asset_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder)
+    logs = raw_logs(spark, folder)
     middle = middle_block(logs)
     decoded = decode.decoded_logs(logs, REGISTRY)
     stored = ingest.first_arrivals(decoded.filter(F.col("block_number") <= middle))
@@ -154,7 +184,7 @@ def to_wire(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def row_constraints(spark: SparkSession, folder: str) -> DataFrame:
-    classified = decode.classify(feed.raw_logs(spark, folder), REGISTRY)
+    classified = decode.classify(raw_logs(spark, folder), REGISTRY)
     rows = classified.withColumnRenamed("address", "contract_address")
     return ingest.constraint_violations(rows).select("arrival_seq", "kind")
 
@@ -170,19 +200,19 @@ def event_table_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def classify_logs(spark: SparkSession, folder: str) -> DataFrame:
-    classified = decode.classify(feed.raw_logs(spark, folder), REGISTRY)
+    classified = decode.classify(raw_logs(spark, folder), REGISTRY)
     return classified.select("arrival_seq", F.coalesce("kind", F.lit("unknown")).alias("kind"), "problem")
 
 
 @query
 def decode_price_requested(spark: SparkSession, folder: str) -> DataFrame:
-    rows = decode.decode_event(feed.raw_logs(spark, folder), SERVICE_SIGNATURES[PRICE_REQUESTED])
+    rows = decode.decode_event(raw_logs(spark, folder), SERVICE_SIGNATURES[PRICE_REQUESTED])
     return rows.select("address", "tx_hash", "log_index", "req_id", "requester", micros("observed_at"))
 
 
 @query
 def decode_price_fulfilled(spark: SparkSession, folder: str) -> DataFrame:
-    rows = decode.decode_event(feed.raw_logs(spark, folder), SERVICE_SIGNATURES[PRICE_FULFILLED])
+    rows = decode.decode_event(raw_logs(spark, folder), SERVICE_SIGNATURES[PRICE_FULFILLED])
     usd = words.numeric_companion(F.col("price")).alias("price_number")
     return rows.select(
         "address", "tx_hash", "log_index", "req_id", "price", "timestamp", usd.try_cast("bigint").alias("price_number")
@@ -191,20 +221,20 @@ def decode_price_fulfilled(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def decode_asset_registered(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder).filter(F.lower("address") == REGISTRY)
+    logs = raw_logs(spark, folder).filter(F.lower("address") == REGISTRY)
     rows = decode.decode_event(logs, SERVICE_SIGNATURES[ASSET_REGISTERED])
     return rows.select("address", "tx_hash", "log_index", "asset_id", "aggregator", micros("observed_at"))
 
 
 @query
 def uint256_decode(spark: SparkSession, folder: str) -> DataFrame:
-    rows = feed.wide_words(spark, folder)
+    rows = wide_words(spark, folder)
     return rows.select("event_id", words.uint256_text(F.col("word")).alias("value"))
 
 
 @query
 def int256_decode(spark: SparkSession, folder: str) -> DataFrame:
-    rows = feed.wide_words(spark, folder)
+    rows = wide_words(spark, folder)
     return rows.select("event_id", words.int256_text(F.col("word")).alias("value"))
 
 
@@ -240,7 +270,7 @@ def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def kind_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    rows = decode.classify(feed.raw_logs(spark, folder), REGISTRY)
+    rows = decode.classify(raw_logs(spark, folder), REGISTRY)
     number = payloads.kind_number(F.coalesce("kind", F.lit("")))
     return rows.select("arrival_seq", number.alias("kind_number"), payloads.kind_name(number).alias("kind_name"))
 
@@ -258,21 +288,21 @@ def short_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def decode_errors(spark: SparkSession, folder: str) -> DataFrame:
-    errors = decode.decode_errors(feed.raw_logs(spark, folder), REGISTRY)
+    errors = decode.decode_errors(raw_logs(spark, folder), REGISTRY)
     return errors.select("arrival_seq", "kind", "address", "tx_hash", "log_index", "reason")
 
 
 @query
 def filter_topics(spark: SparkSession, folder: str) -> DataFrame:
     signature = SERVICE_SIGNATURES[PRICE_REQUESTED]
-    logs = feed.raw_logs(spark, folder)
+    logs = raw_logs(spark, folder)
     kept = decode.filter_topics(logs, signature, {"req_id": [HOT_REQUEST, "1", "2"]}, from_block=101)
     return kept.select("arrival_seq", "address", "tx_hash", "log_index")
 
 
 @query
 def decode_admin_events(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    logs = raw_logs(spark, folder).unionByName(admin_logs(spark, folder))
     rows = decode.decode_many(logs)
     return rows.select(
         "address",
@@ -289,21 +319,21 @@ def decode_admin_events(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def resolve_asset_static(spark: SparkSession, folder: str) -> DataFrame:
-    unique = ingest.first_arrivals(decode.decoded_logs(feed.raw_logs(spark, folder), REGISTRY))
+    unique = ingest.first_arrivals(decode.decoded_logs(raw_logs(spark, folder), REGISTRY))
     rows = resolve.resolve_static(unique, default_assets(spark))
     return rows.select("kind", "contract_address", "tx_hash", "log_index", "asset_id")
 
 
 @query
 def resolve_asset_asof(spark: SparkSession, folder: str) -> DataFrame:
-    unique = ingest.first_arrivals(decode.decoded_logs(feed.raw_logs(spark, folder), REGISTRY))
+    unique = ingest.first_arrivals(decode.decoded_logs(raw_logs(spark, folder), REGISTRY))
     rows = resolve.resolve_asof(unique, default_assets(spark))
     return rows.select("kind", "contract_address", "tx_hash", "log_index", "asset_id")
 
 
 @query
 def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
-    unique = ingest.first_arrivals(decode.decoded_logs(feed.raw_logs(spark, folder), REGISTRY))
+    unique = ingest.first_arrivals(decode.decoded_logs(raw_logs(spark, folder), REGISTRY))
     return unique.select("tx_hash", "log_index", "arrival_seq", "kind", micros("observed_at"))
 
 
@@ -331,7 +361,7 @@ def list_by_asset(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def list_block_range(spark: SparkSession, folder: str) -> DataFrame:
     rows = stored_events(spark, folder)
-    where = listing.EventFilter.of(from_block=101, to_block=middle_block(feed.raw_logs(spark, folder)))
+    where = listing.EventFilter.of(from_block=101, to_block=middle_block(raw_logs(spark, folder)))
     return flat(rows.filter(where.predicate()))
 
 
@@ -457,7 +487,7 @@ def events_seen(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def decode_error_count(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.decode_error_count(feed.raw_logs(spark, folder), REGISTRY)
+    return metrics.decode_error_count(raw_logs(spark, folder), REGISTRY)
 
 
 # --- contract state ---------------------------------------------------------------------------
@@ -465,7 +495,7 @@ def decode_error_count(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def current_assets(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    logs = raw_logs(spark, folder).unionByName(admin_logs(spark, folder))
     return state.current_assets(logs, REGISTRY)
 
 
@@ -481,12 +511,12 @@ def fulfilled_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def current_reporters(spark: SparkSession, folder: str) -> DataFrame:
-    return state.current_reporters(feed.admin_logs(spark, folder))
+    return state.current_reporters(admin_logs(spark, folder))
 
 
 @query
 def current_admin_state(spark: SparkSession, folder: str) -> DataFrame:
-    logs = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    logs = raw_logs(spark, folder).unionByName(admin_logs(spark, folder))
     return state.current_parameters(logs)
 
 
@@ -575,9 +605,7 @@ def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, batc
 
 
 def _delivered_logs(spark: SparkSession, folder: str) -> tuple[str, int]:
-    path = shared_dir(spark, "delivered")
-    feed.raw_logs(spark, folder).write.parquet(path)
-    return _arriving(spark, spark.read.parquet(path), "arrival_seq", "logs")
+    return _arriving(spark, raw_logs(spark, folder), "arrival_seq", "logs")
 
 
 def _ingest_run(spark: SparkSession, incoming: str, files: int, table: str, checkpoint: str, writer: str) -> None:
@@ -598,9 +626,7 @@ def streaming_ingest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def streaming_resume(spark: SparkSession, folder: str) -> DataFrame:
     """Files arrive between two runs of one writer; then a second writer goes over all of them again."""
-    delivered = shared_dir(spark, "delivered")
-    feed.raw_logs(spark, folder).write.parquet(delivered)
-    rows = spark.read.parquet(delivered)
+    rows = raw_logs(spark, folder)
     middle = sum(rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()) // 2
     incoming, table, checkpoint = (shared_dir(spark, label) for label in ("logs", "table", "checkpoint"))
     for part in (F.col("arrival_seq") <= middle, F.col("arrival_seq") > middle):
@@ -634,7 +660,7 @@ def _event_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
 def _replayed(spark: SparkSession, folder: str, where: listing.EventFilter, overlap: int) -> DataFrame:
     """History up to a middle block, then a live stream that starts ``overlap`` blocks earlier."""
     rows = stored_events(spark, folder)
-    middle = middle_block(feed.raw_logs(spark, folder).select("block_number"))
+    middle = middle_block(raw_logs(spark, folder).select("block_number"))
     stored = rows.filter((F.col("block_number") < middle) | ((F.col("block_number") == middle) & (F.col("log_index") <= 3)))
     live = _event_stream(spark, rows.filter(F.col("block_number") >= middle - overlap))
     subscription = subscribe.subscribe(stored, live, where)
@@ -696,7 +722,7 @@ def price_subscription(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def watch_ownership(spark: SparkSession, folder: str) -> DataFrame:
-    changes = feed.raw_logs(spark, folder).unionByName(feed.admin_logs(spark, folder))
+    changes = raw_logs(spark, folder).unionByName(admin_logs(spark, folder))
     incoming, files = _arriving(spark, changes, "arrival_seq", "admin")
     logs = decode.filter_topics(
         stream_ingest.log_stream(spark, incoming, files), SIGNATURES["OwnershipTransferred"], from_block=101
