@@ -81,8 +81,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from heuristic votes alone."""
-    docs = table(spark, sf_dir, "documents")
-    return weak_labels.scored(docs, weak_labels.fit(docs)).select("doc_id", "posterior", "score", "predicted")
+    seen = weak_labels.looked(table(spark, sf_dir, "documents"))
+    return weak_labels.scored(seen, weak_labels.fit(seen)).select("doc_id", "posterior", "score", "predicted")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,21 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _PLAIN = re.compile(r"[(\"'«]*[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\"'»]*\Z")
 
 
+def _counts(word: str) -> tuple[int, ...]:
+    """Bucket, letters, capitals, marks, plain or not, ends a sentence or not, characters."""
+    stem = word[:-1] if word[-1] in ".," else word
+    if stem.isalpha() and (stem.islower() or len(word) < 2 or not word.isupper()):
+        # most words: letters, and a full stop or a comma at most
+        capitals = 0 if stem.islower() else len(_CAPITALS.findall(stem))
+        bucket = xxhash.xxh64_intdigest(word[-1] if len(stem) < len(word) else word.lower()) % BUCKETS
+        return bucket, len(stem), capitals, 0, 1, word[-1] == ".", len(word)
+    shape = "A" if word.isupper() and len(word) > 1 else ""
+    tail = "".join(c for c in word[-4:] if not c.isalnum())
+    bucket = xxhash.xxh64_intdigest(f"{shape}{tail}" if shape or tail else word.lower()) % BUCKETS
+    counts = (len(p.findall(word)) for p in (_LETTERS, _CAPITALS, _MARKS))
+    return bucket, *counts, bool(_PLAIN.match(word)), word[-1] in ".!?", len(word)
+
+
 class Words:
     """What a task knows of words: bucket, then counts of letters, capitals, marks, plain words, sentence ends."""
 
@@ -55,13 +70,10 @@ class Words:
             new = set(words)
         while len(self.places) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for word in new:
-            shape = "A" if word.isupper() and len(word) > 1 else ""
-            tail = "".join(c for c in word[-4:] if not c.isalnum())
-            bucket = xxhash.xxh64_intdigest(f"{shape}{tail}" if shape or tail else word.lower()) % BUCKETS
-            counts = (len(p.findall(word)) for p in (_LETTERS, _CAPITALS, _MARKS))
-            self.rows[len(self.places)] = (bucket, *counts, bool(_PLAIN.match(word)), word[-1] in ".!?", len(word))
-            self.places[word] = len(self.places)
+        start = len(self.places)
+        if new:
+            self.rows[start : start + len(new)] = [_counts(word) for word in new]
+            self.places.update(zip(new, range(start, start + len(new))))
         return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
 
@@ -161,56 +173,60 @@ def score_of(at: np.ndarray, w: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
-def fit(docs: DataFrame) -> tuple[Labels, np.ndarray]:
-    """``doc_id, text`` -> labeller model and scorer."""
+def looked(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` -> ``doc_id, votes, at``, written once: every text is gone through a single time."""
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            cast = [list(look(t.as_py(), known)[0]) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(cast, pa.list_(pa.int32()))], names=["votes"])
+            seen = [look(t.as_py(), known) for t in batch.column(1)]
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    pa.array([v for v, _ in seen], pa.list_(pa.int32())),
+                    pa.array([at.astype(np.int32) for _, at in seen], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "votes", "at"],
+            )
 
-    counted = docs.select("text").mapInArrow(vote, "votes array<int>").groupBy("votes").agg(F.count("*").alias("n"))
-    rows = sorted((tuple(r["votes"]), r["n"]) for r in counted.collect())  # at most 3^7
-    patterns = np.array([r[0] for r in rows], np.int64).reshape(-1, len(LABELLERS))
-    labels = expectation_maximisation(patterns, np.array([r[1] for r in rows], float))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    path = shared_dir(docs.sparkSession, "quality-looks")
+    docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, votes array<int>, at array<int>").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in batches:
-            seen = [look(t.as_py(), known) for t in batch.column(0)]
-            at = pa.array([x.tolist() for _, x in seen], pa.list_(pa.int32()))
-            yield pa.record_batch([at, pa.array(_posteriors(labels, [v for v, _ in seen]))], names=["at", "good"])
 
-    path = shared_dir(docs.sparkSession, "quality-sample")
-    sample = sampled(docs.select("doc_id", "text"), TRAIN_DOCS, "doc_id", "text").select("text")
-    sample.mapInArrow(prepare, "at array<int>, good double").write.parquet(path)
+def fit(seen: DataFrame) -> tuple[Labels, np.ndarray]:
+    """Rows of ``looked`` -> labeller model and scorer."""
+    counted = seen.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^7 rows
+    rows = sorted((tuple(r["votes"]), r["n"]) for r in counted)
+    patterns = np.array([r[0] for r in rows], np.int64).reshape(-1, len(LABELLERS))
+    labels = expectation_maximisation(patterns, np.array([r[1] for r in rows], float))
     # at most 2 * TRAIN_DOCS lists of bucket numbers
-    held = sorted((r["at"], r["good"]) for r in docs.sparkSession.read.parquet(path).collect())
-    return labels, train([np.array(at, np.int64) for at, _ in held], np.array([g for _, g in held]))
+    held = sorted((r["at"], tuple(r["votes"])) for r in sampled(seen, TRAIN_DOCS, "doc_id", "at").collect())
+    good = _posteriors(labels, [v for _, v in held])
+    return labels, train([np.array(at, np.int64) for at, _ in held], good)
 
 
-def scored(docs: DataFrame, model: tuple[Labels, np.ndarray]) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, votes, posterior, score, predicted`` (1 good, 0 bad)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def scored(seen: DataFrame, model: tuple[Labels, np.ndarray]) -> DataFrame:
+    """Rows of ``looked`` -> ``doc_id, votes, posterior, score, predicted`` (1 good, 0 bad)."""
+    kind = seen.schema["doc_id"].dataType.simpleString()
     labels, w = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            seen = [look(t.as_py(), known) for t in batch.column(1)]
-            score = np.array([score_of(at, w) for _, at in seen], np.float64)
+            votes = batch.column(1).to_pylist()
+            score = np.array([score_of(at.values.to_numpy(), w) for at in batch.column(2)], np.float64)
             yield pa.record_batch(
                 [
                     batch.column(0),
-                    pa.array([list(v) for v, _ in seen], pa.list_(pa.int32())),
-                    pa.array(_posteriors(labels, [v for v, _ in seen])),
-                    pa.array(score),
+                    pa.array(votes, pa.list_(pa.int32())),
+                    pa.array(_posteriors(labels, votes)),
+                    pa.array(score, pa.float64()),
                     pa.array((score >= 0.5).astype(np.int32)),
                 ],
                 names=["doc_id", "votes", "posterior", "score", "predicted"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return seen.select("doc_id", "votes", "at").mapInArrow(
         run, f"doc_id {kind}, votes array<int>, posterior double, score double, predicted int"
     )

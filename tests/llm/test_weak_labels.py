@@ -51,8 +51,8 @@ def test_query_against_labels_it_has_not_seen(spark):
 def test_odd_rows(spark):
     rows = [(1, None), (None, ""), (2, "ok words here."), (2, "ok words here."), (3, "x" * 300_000), (4, "A b " * 100_000)]
     frame = spark.createDataFrame(rows, SHAPE).withColumn("votes", F.lit(1)).withColumn("score", F.lit(1))
-    model = weak_labels.fit(frame)
-    found = weak_labels.scored(frame, model).collect()
+    seen = weak_labels.looked(frame)
+    found = weak_labels.scored(seen, weak_labels.fit(seen)).collect()
     assert len(found) == 6 and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in found)
-    none = frame.limit(0)
+    none = weak_labels.looked(frame.limit(0))
     assert weak_labels.scored(none, weak_labels.fit(none)).collect() == []
