@@ -3,7 +3,9 @@
 The patterns give e-mail and IP addresses, card and phone numbers of whole texts, leftmost and not
 overlapping per kind; a match that fails its check is dropped. These spans label windows of a bounded sample
 of documents (``TRAIN_DOCS``, ``TRAIN_WINDOWS``), with variants that the patterns don't know (phones without
-a country code, cards with other separators), and the tagger is trained on them.
+a country code, cards with other separators), and the tagger is trained on them. The windows are the distinct
+ones of least hash, with and without a span apart and a few of each sort per document, so neither the order of
+files nor the length of texts decides which are seen.
 
 A text is decoded in windows that overlap by half. All windows that hold a digit or an at sign are decoded:
 no span of these kinds is without one. The spans of all windows of a text are reconciled together: those cut
@@ -24,10 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logtable.llm import tagger
 from logtable.llm.sampling import sampled
+from logtable.session import shared_dir
 
 Span = tuple[int, int, str]  # start, end (exclusive), kind
 
@@ -35,6 +40,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 80, 40
 TRAIN_DOCS = 20_000
 TRAIN_WINDOWS = 1_500
+#: Windows that one document can offer with a span, and as many without.
+DOC_WINDOWS = 8
 TRAIN_PASSES = 14_000
 #: Mean marginal probability of a span that counts. Whether a number passes Luhn can't be seen by its classes,
 #: so a card is rarely sure, and the check decides.
@@ -158,27 +165,58 @@ def _variants(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
             yield text[:a] + new + text[b:], _sorted([*moved, (a, a + len(new), kind)])
 
 
-def fit(docs: DataFrame) -> tagger.Weights | None:
-    """The tagger, trained on windows of a sample of ``doc_id, text`` rows; None without labelled spans."""
+def training_windows(docs: DataFrame) -> list[tuple[str, str]]:
+    """(part, spans) of at most ``TRAIN_WINDOWS`` windows of a sample of ``doc_id, text`` rows.
+
+    Half of the places, or more if that is their share, are for windows with a span; what one sort leaves free
+    goes to the other.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, spans = [], []
+            rows: list[tuple[int, str, str]] = []
             for text in batch.column(0).to_pylist():
                 if not text or not _SIGNS.search(text):
                     continue
-                known = base_spans(text)
-                for start in _window_starts(text)[::2] or []:
+                known, ends = base_spans(text), []
+                for _, b, _ in known:
+                    ends.append(max(b, ends[-1] if ends else 0))
+                begins = [a for a, _, _ in known]
+                own: tuple[dict, dict] = ({}, {})
+                for start in _window_starts(text)[::2]:
                     part = text[start : start + WINDOW]
-                    inside = [(a - start, b - start, k) for a, b, k in known if a < start + WINDOW and b > start]
-                    parts.append(part)
-                    spans.append(",".join(f"{k}:{a}:{b}" for a, b, k in inside))
-            yield pa.record_batch([pa.array(parts, pa.string()), pa.array(spans, pa.string())], names=["part", "spans"])
-
+                    near = known[bisect.bisect_right(ends, start) : bisect.bisect_left(begins, start + WINDOW)]
+                    spans = ",".join(f"{k}:{a - start}:{b - start}" for a, b, k in near if b > start)
+                    own[bool(spans)][part, spans] = xxhash.xxh64_intdigest(f"{part}\0{spans}") >> 1
+                for found in own:
+                    rows += sorted((mark, *window) for window, mark in found.items())[:DOC_WINDOWS]
+            marks, parts, spans = zip(*rows) if rows else ((), (), ())
+            columns = [pa.array(marks, pa.int64()), pa.array(parts, pa.string()), pa.array(spans, pa.string())]
+            yield pa.record_batch(columns, names=["mark", "part", "spans"])
+
+    spark = docs.sparkSession
+    path = shared_dir(spark, "pii-windows")
     sample = sampled(docs.select("doc_id", "text"), TRAIN_DOCS, "doc_id", "text")
-    rows = sample.select("text").mapInArrow(take, "part string, spans string").limit(TRAIN_WINDOWS).collect()
+    sample.select("text").mapInArrow(take, "mark bigint, part string, spans string").distinct().write.parquet(path)
+    windows = spark.read.parquet(path)
+    labelled = F.col("spans") != ""
+    n_labelled, n_all = windows.agg(F.count_if(labelled), F.count("*")).first()
+    n_other, places = n_all - n_labelled, min(TRAIN_WINDOWS, n_all)
+    with_span = max(places // 2, places * n_labelled // max(n_all, 1), places - n_other)
+    with_span = min(with_span, n_labelled)
+    order = ["mark", "part", "spans"]
+    chosen = [
+        r
+        for sort, n in ((labelled, with_span), (~labelled, places - with_span))
+        for r in windows.filter(sort).orderBy(*order).limit(n).collect()
+    ]
+    return [(r["part"], r["spans"]) for r in chosen]
+
+
+def fit(docs: DataFrame) -> tagger.Weights | None:
+    """The tagger, trained on ``training_windows``; None without labelled spans."""
     parts, tags = [], []
-    for part, joined in sorted({(r["part"], r["spans"]) for r in rows}):
+    for part, joined in sorted(training_windows(docs)):
         spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in joined.split(",") if s)]
         whole = all(0 <= a and b <= WINDOW for a, b, _ in spans)
         for text, own in [(part, spans), *(_variants(part, spans) if whole else ())]:

@@ -131,6 +131,18 @@ def test_adds_what_the_patterns_miss_and_leaves_clean_texts_alone(docs, model):
     assert extra <= 2
 
 
+def test_training_windows_do_not_hang_on_the_order_of_files(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_WINDOWS", 60)
+    numbers = [(i, f"lot {i} of version 3.{i}" + " pad" * 15, 0) for i in range(400)]
+    long_one = [(1000, " ".join(f"row {i} has {i * 7} parts and more" for i in range(3000)), 0)]
+    mails = [(2000 + i, f"write to user{i}@mail{i}.example.com", 0) for i in range(50)]
+    rows = numbers + long_one + mails
+    picked = [pii.training_windows(spark.createDataFrame(r, SHAPE).coalesce(1)) for r in (rows, rows[::-1])]
+    assert sorted(picked[0]) == sorted(picked[1]) and len(picked[0]) == 60
+    assert sum(bool(spans) for _, spans in picked[0]) == 30
+    assert sum(part in long_one[0][1] for part, _ in picked[0]) <= pii.DOC_WINDOWS
+
+
 def test_odd_rows_and_redaction(spark, model):
     mail = "pad " * 30 + "a.b@c.de" + " pad" * 30
     rows = [(1, mail, len(mail)), (None, None, None), (2, "", 0), (2, "", 0), (3, "x@y.z,+1 (456) 555-2186", 0), (4, "é " * 100_000 + "1.2.3.4", 200_007)]
