@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from logtable.functions.keccak import keccak256
 from logtable.functions.payloads import hash_or_null
-from logtable.functions.words import ZERO_HASH
-from logtable.operators.decode import decoded_logs
+from logtable.functions.words import ZERO_HASH, canonical_hex
+from logtable.operators.decode import classify, decoded_logs
 from logtable.operators.resolve import resolve_asof, resolve_static
 from logtable.schemas import (
     ASSET_REGISTERED,
@@ -78,14 +78,14 @@ def events_from_logs(logs: DataFrame, assets: DataFrame | None, registry: str, l
     """The whole batch path: decode, keep first arrivals, resolve assets, assemble.
 
     ``live_mapping`` follows registrations as they happen; otherwise configuration alone counts.
-    Rows that break a constraint are left out, as on the stream.
+    Deliveries that break a constraint do not take part, as on the stream; ``quarantined`` has them.
     Without ``assets`` nothing is resolved, which saves its shuffles where assets play no part.
     """
-    unique = first_arrivals(decoded_logs(logs, registry))
+    unique = first_arrivals(decoded_logs(logs, registry).filter(satisfies_constraints()))
     if assets is None:
-        return assemble(own_assets(unique)).filter(satisfies_constraints())
+        return assemble(own_assets(unique))
     resolve = resolve_asof if live_mapping else resolve_static
-    return assemble(resolve(unique, assets)).filter(satisfies_constraints())
+    return assemble(resolve(unique, assets))
 
 
 def satisfies_constraints() -> Column:
@@ -100,6 +100,19 @@ def constraint_violations(events: DataFrame) -> DataFrame:
     return events.filter(~satisfies_constraints())
 
 
+def quarantined(logs: DataFrame, registry: str) -> DataFrame:
+    """Recognised logs that cannot be stored, each delivery with its ``reason``: a decode error, or the
+    required columns it lacks."""
+    raw = {"contract_address": "address"}
+    hexes = ("contract_address", "tx_hash", "block_hash")
+    values = {name: F.col(raw.get(name, name)) for name in REQUIRED_EVENT_COLUMNS if name != "kind"}
+    values |= {name: canonical_hex(values[name]) for name in hexes}
+    missing = F.concat_ws(", ", *(F.when(value.isNull(), name) for name, value in values.items()))
+    lacks = F.when(F.col("kind").isNotNull() & (missing != ""), F.concat(F.lit("missing "), missing))
+    rows = classify(logs, registry).withColumn("reason", F.coalesce("problem", lacks))
+    return rows.drop("problem").filter(F.col("reason").isNotNull())
+
+
 def insert_if_absent(batch: DataFrame, stored: DataFrame, arrival: str | None = "arrival_seq") -> DataFrame:
     """The rows of ``batch`` that are new: first arrival per log, not yet stored.
 

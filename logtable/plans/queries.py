@@ -99,7 +99,9 @@ def stored_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table: built from raw logs once per application and input, then only read."""
 
     def write(path: str) -> None:
-        event_table.write_events(ingest.events_from_logs(raw_logs(spark, folder), default_assets(spark), REGISTRY), path)
+        logs = raw_logs(spark, folder)
+        ingest.quarantined(logs, REGISTRY).write.parquet(event_table.quarantine_path(path))
+        event_table.write_events(ingest.events_from_logs(logs, default_assets(spark), REGISTRY), path)
 
     return event_table.read_events(spark, _once(spark, folder, "events", "events", write))
 

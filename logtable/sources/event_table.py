@@ -37,6 +37,11 @@ def batch_path(path: str, writer: str, batch: int) -> str:
     return f"{path.rstrip('/')}/writer={writer}/batch={batch}"
 
 
+def quarantine_path(path: str) -> str:
+    """Where the rows that the table at ``path`` cannot hold are written, a folder beside it."""
+    return f"{path.rstrip('/')}-quarantine"
+
+
 def write_batch(events: DataFrame, path: str, writer: str, batch: int) -> None:
     ordered = events.sortWithinPartitions("kind", *CHAIN_ORDER)
     ordered.write.mode("overwrite").partitionBy("kind").parquet(batch_path(path, writer, batch))

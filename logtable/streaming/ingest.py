@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logtable.operators.decode import classify, decoded_logs
-from logtable.operators.ingest import assemble, insert_if_absent, satisfies_constraints
+from logtable.operators.ingest import assemble, insert_if_absent, quarantined, satisfies_constraints
 from logtable.operators.metrics import ingest_counters
 from logtable.operators.resolve import relevant_history, resolve_asof
 from logtable.schemas import EVENT_KEY, raw_log_schema
-from logtable.sources.event_table import read_batches, without_batch, write_batch
+from logtable.sources.event_table import batch_path, quarantine_path, read_batches, without_batch, write_batch
 
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -62,16 +62,18 @@ def ingest_batch(
     By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near,
     which file statistics turn into a short scan: the same transaction cannot reappear further
     away than the chain can reorganise, so a window of at least that depth gives the same result.
+    Logs that cannot be stored go to the quarantine beside the table, in a folder per batch too.
     """
     spark = logs.sparkSession
     stored = without_batch(read_batches(spark, table), writer, batch)
-    decoded = decoded_logs(logs, registry).persist()
+    quarantined(logs, registry).write.mode("overwrite").parquet(batch_path(quarantine_path(table), writer, batch))
+    decoded = decoded_logs(logs, registry).filter(satisfies_constraints()).persist()
     size = extent(decoded)
     fresh = insert_if_absent(decoded, _stored_keys(stored, size, reorg_window)).persist()
     try:
         history = relevant_history(stored, size.low, size.high)
         events = assemble(resolve_asof(fresh, assets(spark), history))
-        write_batch(events.filter(satisfies_constraints()), table, writer, batch)
+        write_batch(events, table, writer, batch)
     finally:
         fresh.unpersist()
         decoded.unpersist()

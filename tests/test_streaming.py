@@ -73,6 +73,21 @@ def test_the_same_batch_twice(spark, tmp_path):
     assert stored(spark, table) == once
 
 
+def test_incomplete_first_delivery_gives_way_and_is_quarantined(spark, tmp_path):
+    good = log("PriceRequested", 1, REQUESTER, seq=2)
+    lacking = (1, *good[1:5], None, *good[6:])
+    malformed = log("PriceRequested", 1, tx="0x" + "cc" * 32, seq=3)
+    logs = raw(spark, lacking, good, malformed)
+    batch = events_from_logs(logs, known_assets(spark), REGISTRY).select(*EVENT_COLUMNS)
+    assert [r.block_hash for r in batch.collect()] == [good[5]]
+    assert [r.block_hash for r in events_from_logs(logs, None, REGISTRY).collect()] == [good[5]]
+    table = str(tmp_path / "t")
+    ingest.ingest_batch(logs, 0, table=table, writer="w", assets=known_assets, registry=REGISTRY)
+    assert stored(spark, table) == sorted(map(repr, batch.collect()))
+    kept = spark.read.parquet(event_table.quarantine_path(table)).collect()
+    assert sorted((r.arrival_seq, r.reason) for r in kept) == [(1, "missing block_hash"), (3, "malformed")]
+
+
 def drained(stream, folder):
     writing = stream.writeStream.format("parquet").option("path", f"{folder}/out")
     writing.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
