@@ -65,8 +65,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token pieces with their places in sequences of 1024 tokens."""
-    return packing.packed(docs, keep_ids=False)
+    """The documents as token pieces, ids included, with their places in sequences of 1024 tokens."""
+    return packing.packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

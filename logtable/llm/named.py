@@ -75,8 +75,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as token pieces, and the place of each piece in its sequence."""
-    return packing.packed(table(spark, sf_dir, "documents"), keep_ids=False)
+    """All documents as token pieces, and the place of each piece in its sequence.
+
+    The digests are those of the ids that the packed sequences hold.
+    """
+    path = shared_dir(spark, "sequences")
+    packing.packed(table(spark, sf_dir, "documents")).write.parquet(path)
+    return packing.digested(spark.read.parquet(path))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENI
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs(texts):
-                rows, places = [], []
+                rows, places, pieces_ = [], [], []
                 for i, ids in enumerate(encoder.encode(texts[a:b]), a):
                     ids += end
                     n = len(ids) // 4
@@ -139,14 +139,20 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENI
                     for piece, (start, stop) in enumerate(zip(cuts, cuts[1:])):
                         held = ids[4 * start : 4 * stop]
                         length = stop - start
-                        row = (piece, start, length, zlib.crc32(held), part, seen[length])
-                        rows.append((*row, np.frombuffer(held, "<u4").tolist()) if keep_ids else row)
+                        rows.append((piece, start, length, zlib.crc32(held), part, seen[length]))
+                        if keep_ids:
+                            pieces_.append(held)
                         places.append(i)
                         seen[length] += 1
                 columns = [pa.array(c) for c in zip(*rows)]
-                types = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
+                types = [pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
+                columns = [c.cast(t) for c, t in zip(columns, types)]
+                if keep_ids:
+                    stops = np.cumsum([0, *(len(p) // 4 for p in pieces_)])
+                    ids_ = pa.array(np.frombuffer(b"".join(pieces_), "<i4"))
+                    columns.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), ids_))
                 yield pa.record_batch(
-                    [batch.column(0).take(pa.array(places)), *(c.cast(t) for c, t in zip(columns, types))],
+                    [batch.column(0).take(pa.array(places)), *columns],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", *["ids"] * keep_ids],
                 )
 
@@ -252,6 +258,22 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(seat, f"{shape}, sequence_id bigint, offset bigint")
 
 
+def digested(found: DataFrame) -> DataFrame:
+    """Packed pieces with ``ids_crc32`` counted from their ``ids``, which are left out."""
+    kept = [c for c in found.columns if c != "ids"]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(kept).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            stops = np.cumsum([0, *ids.value_lengths().to_pylist()]).tolist()
+            digests = pa.array([zlib.crc32(values[a:b]) for a, b in zip(stops, stops[1:])], pa.int64())
+            yield pa.record_batch([digests if c == "ids_crc32" else batch.column(c) for c in kept], names=kept)
+
+    return found.mapInArrow(run, shape)
+
+
 def packed(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, text`` -> packed pieces."""
     path = shared_dir(docs.sparkSession, "pieces")

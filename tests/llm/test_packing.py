@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from logtable.llm import named, packing
 
 SHAPE = "doc_id bigint, text string"
@@ -56,6 +57,20 @@ def test_ids_are_kept_on_request(spark):
     assert rows[0].ids[-1] == 2 and zlib.crc32(np.array(rows[0].ids, "<u4").tobytes()) == rows[0].ids_crc32
 
 
+def test_query_derives_digests_from_the_ids_it_packs(spark):
+    found = packing.packed(spark.createDataFrame([(1, "a b c"), (2, "word " * 3000)], SHAPE))
+    expect = {(r.doc_id, r.piece): r.ids_crc32 for r in found.collect()}
+    # what the tokenizing tasks wrote does not count
+    digests = packing.digested(found.withColumn("ids_crc32", F.lit(7).cast("bigint"))).collect()
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in digests} == expect
+
+
+def test_pipeline_returns_the_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], SHAPE)
+    rows = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert {r.doc_id: len(r.ids) for r in rows} == {r.doc_id: r.length for r in rows} and len(rows) == 2
+
+
 def test_encoder_forgets_and_still_agrees(monkeypatch):
     monkeypatch.setattr(packing, "WORDS_KEPT", 5)
     encoder = packing.Encoder(packing.TOKENIZER)
