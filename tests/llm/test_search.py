@@ -49,6 +49,24 @@ def test_bitslices_equal_brute_force(spark):
     assert found == brute(ids, whole, ids[ids % 10 == 0], 5, lambda a, b: a @ b)
 
 
+def test_large_components_are_searched_too(spark):
+    rows = drawn(200, 6).astype(float)
+    rows[10, 0], rows[20, 3], rows[30] = 300_000, -1e9, 0
+    rows[:, 5] = 0
+    rows[30, 5] = 1e300
+    ids = np.arange(200)
+    shape = "vec_id bigint, vector array<double>"
+    vectors = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows)], shape).repartition(3)
+    found = rows_of(bitslice.top_k(vectors, vectors.filter("vec_id in (10, 20, 40, 50)"), 7, shard_rows=30).collect())
+    exact = bitslice.whole_exactly(rows)
+    for q in (10, 20, 40, 50):
+        best = sorted((-int(s), int(i)) for i, s in zip(ids, exact @ exact[q]) if i != q)[:7]
+        assert found[q] == [(i, -s) for s, i in best]
+    assert bitslice._values(bitslice.build(ids[:9], rows[:9])).tolist() == exact[:9].tolist()
+    with pytest.raises(OverflowError):
+        bitslice.search(bitslice.build(ids[:2], np.full((2, 1), 1e12)), {"ids": ids[:1], "rows": np.full((1, 1), 1e12)}, 1)
+
+
 @pytest.mark.parametrize("n,k", [(1, 1), (63, 4), (64, 64), (130, 200)])
 def test_one_shard_of_any_size(n, k):
     rows = np.random.default_rng(n).integers(-40, 40, (n, 7)) / 256
