@@ -79,9 +79,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The digests are those of the ids that the packed sequences hold.
     """
-    path = shared_dir(spark, "sequences")
-    packing.packed(table(spark, sf_dir, "documents")).write.parquet(path)
-    return packing.digested(spark.read.parquet(path))
+    return packing.digested(packing.packed(table(spark, sf_dir, "documents")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
