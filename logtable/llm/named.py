@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtable.llm import bitslice, chat, hnsw, mixing, packing, pii, shards, simhash, toxicity, warc, weak_labels
+from logtable.llm import bitslice, chat, hnsw, mixing, packing, pii, shards, simhash, statements, toxicity
+from logtable.llm import turn_repair, url_templates, vector_codes, warc, weak_labels
 from logtable.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,35 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The url rules that come before the learned templates.
+URL_RULES = (
+    url_templates.Rule("net", "/", url_templates.BLOCK),
+    url_templates.Rule("example.net", "/en/", url_templates.ALLOW),
+    url_templates.Rule("example.com", "/de/", url_templates.BLOCK),
+    url_templates.Rule("org", "/fr/", url_templates.ALLOW),
+)
+
+
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by the rules and by templates learned from what the rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_templates.judged(pages, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, by codebooks moved for six rounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return vector_codes.digested(vector_codes.encoded(vectors))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair, and a digest of the repaired turns."""
+    found = turn_repair.repaired(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+    digests = turn_repair.digested(found.turns).withColumnRenamed("conv_id", "digested_id")
+    return found.conversations.join(digests, F.col("conv_id").eqNullSafe(F.col("digested_id"))).drop("digested_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -115,6 +145,9 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": op8_source_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_bitsliced_topk": op10_bitsliced_topk,
+        "op11_url_templates": op11_url_templates,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 
@@ -173,4 +206,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_formatting": OP1_SQL,
         "op2_warc": OP2_SQL,
         "op10_bitsliced_topk": OP10_SQL,
+        "op12_vector_codes": statements.vector_codes_sql(),
+        "op13_turn_repair": statements.turn_repair_sql(),
     }
