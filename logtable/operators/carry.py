@@ -13,11 +13,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtable.session import shared_dir
+
 _BUCKET = "carry_bucket"
 _CARRIED = "carry_in"
 _UPDATE = "carry_update"
 
 
+def in_equal_buckets(rows: DataFrame, order: Sequence[str], rows_per_bucket: int, name: str) -> DataFrame:
+    """``rows`` with a bucket that grows with ``order`` and holds about as many rows each time, whatever the
+    distances between them. Rows of one place share a bucket.
+
+    The edges are those of Spark's range partitioning, from a sample of the rows. The result is a written table, so
+    that all that is made of it sees the same buckets.
+    """
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "in-order")
+    rows.write.parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    buckets = max(1, -(-kept.count() // rows_per_bucket))
+    bucketed = kept.repartitionByRange(buckets, *order).withColumn(name, F.spark_partition_id())
+    path = shared_dir(spark, "in-buckets")
+    bucketed.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def with_previous_value(
     rows: DataFrame, key: str, bucket: Column, order: Sequence[str], value: Column, name: str
 ) -> DataFrame:

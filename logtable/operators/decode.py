@@ -15,7 +15,6 @@ from logtable.functions.signatures import (
     SERVICE_SIGNATURES,
     Signature,
     argument_columns,
-    argument_words,
     first_topic,
     is_well_formed,
 )
@@ -75,7 +74,12 @@ def decoded_logs(logs: DataFrame, registry: str) -> DataFrame:
     share it. Columns nobody reads later are pruned together with their decoding.
     """
     valid = logs.filter(is_decodable(registry)).withColumn("kind", log_kind(F.col("topics")))
-    kind = F.col("kind")
+    return valid.select("arrival_seq", "kind", *event_columns())
+
+
+def event_columns(sound: Column | None = None) -> list[Column]:
+    """Canonical metadata and typed arguments of classified logs; arguments where ``sound`` only."""
+    kind = F.col("kind") if sound is None else F.when(sound, F.col("kind"))
     first = words.topic_word(words.canonical_hex(F.get("topics", 1)))
     second = words.topic_word(words.canonical_hex(F.get("topics", 2)))
     data = words.canonical_hex(F.col("data"))
@@ -83,22 +87,20 @@ def decoded_logs(logs: DataFrame, registry: str) -> DataFrame:
     fulfilled = kind == PRICE_FULFILLED
     registered = kind == ASSET_REGISTERED
     metadata = _canonical_metadata()
-    return valid.select(
-        "arrival_seq",
-        "kind",
+    return [
         metadata["address"].alias("contract_address"),
         metadata["tx_hash"].alias("tx_hash"),
         metadata["block_hash"].alias("block_hash"),
-        "block_number",
-        "log_index",
-        "observed_at",
+        F.col("block_number"),
+        F.col("log_index"),
+        F.col("observed_at"),
         words.uint256_text(F.when(is_price, first)).alias("req_id"),
         F.when(kind == PRICE_REQUESTED, words.word_to_address(second)).alias("requester"),
         words.int256_text(F.when(fulfilled, words.data_word(data, 0))).alias("price"),
         words.uint256_text(F.when(fulfilled, words.data_word(data, 1))).alias("timestamp"),
         F.when(registered, words.word_to_hash(first)).alias("registered_asset"),
         F.when(registered, words.word_to_address(second)).alias("registered_aggregator"),
-    )
+    ]
 
 
 def decode_event(logs: DataFrame, signature: Signature) -> DataFrame:
@@ -129,54 +131,72 @@ _DECODERS = {
 }
 
 
-def _by_event(choices: Mapping[str, Column]) -> Column:
-    """A value per event name, null for events that have none."""
-    chosen = F.lit(None).cast("string")
-    for event, value in choices.items():
-        chosen = F.when(F.col("event") == event, value).otherwise(chosen)
-    return chosen
+#: The words an argument can be: topics 1 to 3, then the first two words of the data.
+_TOPIC_WORDS, _DATA_WORDS = 3, 2
+_ENTRY = "struct<event:string,topics:int,data_words:int,names:array<string>,types:array<string>,places:array<int>>"
+
+
+def _catalogue(signatures: Sequence[Signature]) -> Column:
+    """What each first topic stands for, as one literal map: event, how many topics and data words it needs,
+    and of each argument its name, its type and the place of its word."""
+    pairs = []
+    for s in signatures:
+        topics, data = [a.name for a in s.indexed], [a.name for a in s.unindexed]
+        places = [topics.index(a.name) if a.indexed else _TOPIC_WORDS + data.index(a.name) for a in s.arguments]
+        entry = F.struct(
+            F.lit(s.name).alias("event"),
+            F.lit(len(topics) + 1).alias("topics"),
+            F.lit(len(data)).alias("data_words"),
+            F.array(*(F.lit(a.name) for a in s.arguments)).alias("names"),
+            F.array(*(F.lit(a.type) for a in s.arguments)).alias("types"),
+            F.array(*map(F.lit, places)).alias("places"),
+        )
+        pairs += [F.lit(s.topic), entry]
+    return F.create_map(*pairs).cast(f"map<string,{_ENTRY}>")
 
 
 def decode_many(logs: DataFrame, signatures: Sequence[Signature] = ADMIN_SIGNATURES) -> DataFrame:
     """Several event types in one pass: ``event`` plus ``arguments``, a list of (name, value)
     pairs in signature order.
 
-    The word of each argument place is picked first and decoded after, so there is one decoder
-    per place and type however many signatures are asked for.
+    The first topic looks its signature up in a literal table. That says which of the five possible words each
+    argument is and how it is decoded, so the plan does not grow with the number of signatures.
     """
-    topics, data = F.col("topics"), F.col("data")
-    topic = first_topic(topics)
-    event = F.lit(None).cast("string")
-    for signature in signatures:
-        good = (topic == signature.topic) & is_well_formed(signature, topics, data)
-        event = F.when(good, F.lit(signature.name)).otherwise(event)
+    topics, data = F.col("topics"), words.canonical_hex(F.col("data"))
+    topic_words = [words.canonical_hex(F.get(topics, i + 1)) for i in range(_TOPIC_WORDS)]
+    data_words = [words.data_word(data, i) for i in range(_DATA_WORDS)]
+    spec = F.try_element_at(_catalogue(signatures), first_topic(topics))
+    good = (F.size(topics) == F.col("spec.topics")) & ((F.col("spec.data_words") == 0) | F.startswith(data, F.lit("0x")))
+    for i, word in enumerate(topic_words):
+        good = good & ((F.col("spec.topics") <= i + 1) | words.is_prefixed_hex(word, 64))
+    for i, word in enumerate(data_words):
+        good = good & ((F.col("spec.data_words") <= i) | words.is_hex(word, 64))
     metadata = _canonical_metadata()
     identity = [metadata.get(name, F.col(name)).alias(name) for name in _LOG_IDENTITY]
-    picked, decoded, pairs = [], [], []
-    for place in range(max(len(s.arguments) for s in signatures)):
-        having = [s for s in signatures if place < len(s.arguments)]
-        values = []
-        for kind in sorted({s.arguments[place].type for s in having}):
-            chosen = {
-                s.name: argument_words(s, topics, data)[s.arguments[place].name]
-                for s in having
-                if s.arguments[place].type == kind
-            }
-            name = f"{kind}_{place}"
-            picked.append(_by_event(chosen).alias(name))
-            decoded.append(_DECODERS[kind](F.col(name)).alias(name))
-            values.append(F.col(name))
-        label = _by_event({s.name: F.lit(s.arguments[place].name) for s in having})
-        pair = F.struct(label.alias("name"), F.coalesce(*values).alias("value"))
-        pairs.append(F.when(label.isNotNull(), pair))
-    return (
-        logs.filter(topic.isin(*(s.topic for s in signatures)))
-        .withColumn("event", event)
-        .filter(F.col("event").isNotNull())
-        .select(*identity, "event", *picked)
-        .select(*_LOG_IDENTITY, "event", *decoded)
-        .select(*_LOG_IDENTITY, "event", F.array_compact(F.array(*pairs)).alias("arguments"))
+    places = range(max(len(s.arguments) for s in signatures))
+    found = (
+        logs.filter(first_topic(topics).isin(*(s.topic for s in signatures)))
+        .withColumn("spec", spec)
+        .filter(F.coalesce(good, F.lit(False)))
+        .select(
+            *identity,
+            F.col("spec.event").alias("event"),
+            *(F.get("spec.names", i).alias(f"name_{i}") for i in places),
+            *(F.get("spec.types", i).alias(f"type_{i}") for i in places),
+            F.array(*map(words.topic_word, topic_words), *data_words).alias("words"),
+            "spec.places",
+        )
+        .withColumns({f"word_{i}": F.get("words", F.get("places", i)) for i in places})
     )
+    types = sorted({a.type for s in signatures for a in s.arguments})
+    pairs = []
+    for i in places:
+        value = F.lit(None).cast("string")
+        for kind in types:
+            value = F.coalesce(_DECODERS[kind](F.when(F.col(f"type_{i}") == kind, F.col(f"word_{i}"))), value)
+        pair = F.struct(F.col(f"name_{i}").alias("name"), value.alias("value"))
+        pairs.append(F.when(F.col(f"name_{i}").isNotNull(), pair))
+    return found.select(*_LOG_IDENTITY, "event", F.array_compact(F.array(*pairs)).alias("arguments"))
 
 
 def _topic_text(argument_type: str, value: str) -> str:

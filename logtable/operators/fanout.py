@@ -84,6 +84,8 @@ def deliveries(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
         .groupBy("wanted_kind", "wanted_asset")
         .agg(F.count(F.lit(1)).alias("subscribers"))
     )
-    keyed = events.select(*EVENT_KEY, F.explode_outer(_event_keys()).alias("key")).select(*EVENT_KEY, "key.*")
-    reached = keyed.join(audience, ["wanted_kind", "wanted_asset"], "left")
+    # salted as in ``fan_out``: all events share a key
+    audience = audience.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = events.select(*EVENT_KEY, _salt().alias("salt"), F.explode_outer(_event_keys()).alias("key"))
+    reached = keyed.select(*EVENT_KEY, "salt", "key.*").join(audience, ["wanted_kind", "wanted_asset", "salt"], "left")
     return reached.groupBy(*EVENT_KEY).agg(F.coalesce(F.sum("subscribers"), F.lit(0)).alias("delivered"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logtable.functions.keccak import keccak256
 from logtable.functions.payloads import hash_or_null
 from logtable.functions.words import ZERO_HASH, canonical_hex
-from logtable.operators.decode import classify, decoded_logs
+from logtable.operators.decode import classify, decoded_logs, event_columns
 from logtable.operators.resolve import resolve_asof, resolve_static
 from logtable.schemas import (
     ASSET_REGISTERED,
@@ -100,17 +100,30 @@ def constraint_violations(events: DataFrame) -> DataFrame:
     return events.filter(~satisfies_constraints())
 
 
-def quarantined(logs: DataFrame, registry: str) -> DataFrame:
-    """Recognised logs that cannot be stored, each delivery with its ``reason``: a decode error, or the
-    required columns it lacks."""
+def judged(logs: DataFrame, registry: str) -> DataFrame:
+    """Recognised logs with ``kind`` and ``reason``: why a delivery cannot be stored, a decode error or the required
+    columns that it lacks; null for those that can."""
     raw = {"contract_address": "address"}
     hexes = ("contract_address", "tx_hash", "block_hash")
     values = {name: F.col(raw.get(name, name)) for name in REQUIRED_EVENT_COLUMNS if name != "kind"}
     values |= {name: canonical_hex(values[name]) for name in hexes}
     missing = F.concat_ws(", ", *(F.when(value.isNull(), name) for name, value in values.items()))
-    lacks = F.when(F.col("kind").isNotNull() & (missing != ""), F.concat(F.lit("missing "), missing))
-    rows = classify(logs, registry).withColumn("reason", F.coalesce("problem", lacks))
-    return rows.drop("problem").filter(F.col("reason").isNotNull())
+    lacks = F.when(missing != "", F.concat(F.lit("missing "), missing))
+    rows = classify(logs, registry).filter(F.col("kind").isNotNull())
+    return rows.withColumn("reason", F.coalesce("problem", lacks)).drop("problem")
+
+
+def quarantined(logs: DataFrame, registry: str) -> DataFrame:
+    """Recognised logs that cannot be stored, each delivery with its ``reason``."""
+    return judged(logs, registry).filter(F.col("reason").isNotNull())
+
+
+def sorted_out(logs: DataFrame, registry: str) -> DataFrame:
+    """Every recognised log, looked at once: decoded, or with a ``reason`` and the ``delivery`` as it came."""
+    rows = judged(logs, registry)
+    sound = F.col("reason").isNull()
+    delivery = F.when(~sound, F.struct(*logs.columns)).alias("delivery")
+    return rows.select("arrival_seq", "kind", *event_columns(sound), "reason", delivery)
 
 
 def insert_if_absent(batch: DataFrame, stored: DataFrame, arrival: str | None = "arrival_seq") -> DataFrame:

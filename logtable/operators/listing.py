@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import InvalidArgument, Page, check_asset_id, valid_kinds
+from logtable.operators import paging
 from logtable.schemas import CHAIN_ORDER
 
 BLOCKS_PER_COUNT = 1024
@@ -85,14 +86,8 @@ def deep_page(matching: DataFrame, page: Page, blocks_per_count: int = BLOCKS_PE
 
 
 def page_meta(events: DataFrame, where: EventFilter = EventFilter(), page: Page = Page()) -> DataFrame:
-    """total_count, page, page_size, total_pages."""
-    total = events.filter(where.predicate()).agg(F.count(F.lit(1)).alias("total_count"))
-    return total.select(
-        "total_count",
-        F.lit(max(page.page, 1)).alias("page"),
-        F.lit(page.limit).alias("page_size"),
-        F.ceil(F.col("total_count") / page.limit).cast("bigint").alias("total_pages"),
-    )
+    """total_count, page, page_size, total_pages of a listing."""
+    return paging.page_meta(events.filter(where.predicate()), page)
 
 
 @dataclass(frozen=True)

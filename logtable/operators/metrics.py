@@ -26,3 +26,10 @@ def ingest_counters() -> list[Column]:
     good = F.col("problem").isNull()
     seen = [F.count_if(good & (F.col("kind") == kind)).alias(f"decoded_{kind.lower()}") for kind in KINDS]
     return [*seen, F.count_if(problem).alias("decode_errors")]
+
+
+def inserted_counters() -> list[Column]:
+    """For ``df.observe`` on the rows that an ingest stores: events by kind, and what it could not store."""
+    good = F.col("reason").isNull()
+    seen = [F.count_if(good & (F.col("kind") == kind)).alias(kind) for kind in KINDS]
+    return [*seen, F.count_if(~good).alias("quarantined")]

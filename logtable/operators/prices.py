@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import InvalidArgument
-from logtable.operators.carry import with_previous_value
+from logtable.operators.carry import in_equal_buckets, with_previous_value
 
-SECONDS_PER_BUCKET = 86_400
+ROWS_PER_BUCKET = 200_000
 BASIS_POINTS = 10_000
 
 
@@ -96,7 +96,9 @@ def latest_aggregate(aggregates: DataFrame, asset_ids: Iterable[str] | None = No
     )
 
 
-def heartbeat_due(aggregates: DataFrame, onchain: DataFrame, schedule: DataFrame) -> DataFrame:
+def heartbeat_due(
+    aggregates: DataFrame, onchain: DataFrame, schedule: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """For each aggregated price: is an on-chain refresh due?
 
     ``aggregates`` has asset_id, aggregated_at, median_price; ``onchain`` has asset_id,
@@ -111,8 +113,10 @@ def heartbeat_due(aggregates: DataFrame, onchain: DataFrame, schedule: DataFrame
         onchain.selectExpr("asset_id", "written_at as moment", "0 as turn", f"{number} as median_price", "price")
     )
     last_write = F.when(F.col("turn") == 0, F.struct("price", "moment"))
-    bucket = F.call_function("div", F.unix_seconds("moment"), F.lit(SECONDS_PER_BUCKET).cast("bigint"))
-    seen = with_previous_value(line, "asset_id", bucket, ("moment", "turn", "price"), last_write, "last_write")
+    order = ("moment", "turn", "price")
+    # buckets of equal size: a day that holds most of the rows is cut like any other stretch
+    placed = in_equal_buckets(line, order, rows_per_bucket, "time_bucket")
+    seen = with_previous_value(placed, "asset_id", F.col("time_bucket"), order, last_write, "last_write")
     elapsed = F.unix_seconds("moment") - F.unix_seconds("last_write.moment")
     move = F.abs(F.col("median_price") - F.col("last_write.price")) * BASIS_POINTS
     threshold = F.abs(F.col("last_write.price")) * F.col("deviation_bps")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtable.functions.words import ZERO_HASH
 from logtable.operators.carry import with_previous_value
 from logtable.schemas import ASSET_REGISTERED, CHAIN_ORDER
 
@@ -100,3 +101,41 @@ def resolve_asof(
         .withColumn("asset_id", own.otherwise(F.coalesce("live_asset", "configured_asset")))
         .drop("live_asset", "configured_asset")
     )
+
+
+def late_changes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored price events whose asset changes by registrations that arrived after them, with the ``right_asset``.
+
+    ``stored`` has everything, ``new`` the registrations just stored, both in EVENT shape. A registration holds
+    from its place to the next one's of the same aggregator; events are met with the intervals of new ones
+    only, from the earliest of their blocks on.
+    """
+    place = F.struct(*CHAIN_ORDER)
+
+    def registrations(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("kind") == ASSET_REGISTERED).select(
+            F.col("asset_registered.aggregator").alias("line"),
+            place.alias("since"),
+            F.col("asset_registered.asset_id").alias("right_asset"),
+        )
+
+    fresh = registrations(new)
+    first = fresh.agg(F.min("since.block_number")).first()[0]
+    every = registrations(stored).join(fresh.select("line").distinct(), "line", "left_semi").distinct()
+    until = F.lead("since").over(Window.partitionBy("line").orderBy("since"))
+    intervals = every.withColumn("until", until).join(fresh.select("line", "since"), ["line", "since"], "left_semi")
+    prices = stored.filter((F.col("kind") != ASSET_REGISTERED) & (F.col("block_number") >= F.lit(first)))
+    met = prices.join(
+        intervals,
+        (prices["contract_address"] == intervals["line"])
+        & (place > F.col("since"))
+        & (F.col("until").isNull() | (place <= F.col("until"))),
+    )
+    return met.filter(~F.col("asset_id").eqNullSafe(F.col("right_asset"))).drop("line", "since", "until")
+
+
+def with_asset(events: DataFrame, asset: Column) -> DataFrame:
+    """Stored price events with another asset, in the column and in the payload."""
+    shown = F.coalesce(asset, F.lit(ZERO_HASH))
+    payloads = {name: F.col(name).withField("asset_id", shown) for name in ("price_requested", "price_fulfilled")}
+    return events.withColumns(payloads | {"asset_id": asset})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import Page, check_asset_id, check_submission_key
+from logtable.operators.paging import ordered_page, page_meta
 
 
 def find_submission(submissions: DataFrame, req_id: str = "", tx_hash: str = "") -> DataFrame:
@@ -14,8 +15,15 @@ def find_submission(submissions: DataFrame, req_id: str = "", tx_hash: str = "")
     return submissions.filter(F.col(column) == value)
 
 
+def _of_asset(submissions: DataFrame, asset_id: str) -> DataFrame:
+    return submissions.filter(F.col("asset_id") == check_asset_id(asset_id)) if asset_id else submissions
+
+
 def list_submissions(submissions: DataFrame, asset_id: str = "", page: Page = Page()) -> DataFrame:
-    """Latest first, optionally of one asset, one page."""
-    if asset_id:
-        submissions = submissions.filter(F.col("asset_id") == check_asset_id(asset_id))
-    return submissions.orderBy(F.desc("submitted_at"), F.desc("tx_hash")).offset(page.offset).limit(page.limit)
+    """Latest first, optionally of one asset, one page at any depth."""
+    return ordered_page(_of_asset(submissions, asset_id), ["submitted_at", "tx_hash"], page)
+
+
+def submissions_meta(submissions: DataFrame, asset_id: str = "", page: Page = Page()) -> DataFrame:
+    """Page metadata of that listing."""
+    return page_meta(_of_asset(submissions, asset_id), page)

@@ -3,7 +3,7 @@ feed rather than by decoding anything."""
 
 from __future__ import annotations
 
-from logtable.plans.queries import DEVIATION_BPS, HOT_REQUEST, MAX_AGE_SEC, ROUND_SEC, WETH
+from logtable.plans.queries import DEVIATION_BPS, HOT_REQUEST, MAX_AGE_SEC, ROUND_SEC, UNKNOWN_REQUEST, WETH
 from logtable.sources.assets import DEFAULT_REGISTRY, default_assets
 from logtable.operators.ingest import seed_hash
 
@@ -221,9 +221,9 @@ def statements() -> dict[str, str]:
     sql = {
         "address_scope": f"{src} SELECT arrival_seq, CASE WHEN event_type = 'signup' THEN '{DEFAULT_REGISTRY}' ELSE emitter END AS address, tx_hash, log_index FROM arrivals WHERE event_type = 'signup' OR configured IS NOT NULL",
         "asset_violations": f"""WITH {_CUSTOM}
-            SELECT symbol, 'asset_id' AS field, 'not a 0x-prefixed 32-byte hex string' AS problem, asset_id AS value FROM cfg WHERE NOT (lower(asset_id) LIKE '0x%' AND length(asset_id) = 66)
-            UNION ALL SELECT symbol, 'aggregator', 'not a 0x-prefixed 20-byte hex address', aggregator FROM cfg WHERE NOT (lower(aggregator) LIKE '0x%' AND length(aggregator) = 42)
-            UNION ALL SELECT symbol, 'aggregator', 'listed more than once', aggregator FROM good WHERE n > 1""",
+            SELECT symbol, 'asset_id' AS field, 'expected 0x and 64 more characters' AS problem, asset_id AS value FROM cfg WHERE NOT (lower(asset_id) LIKE '0x%' AND length(asset_id) = 66)
+            UNION ALL SELECT symbol, 'aggregator', 'expected 0x and 40 more characters', aggregator FROM cfg WHERE NOT (lower(aggregator) LIKE '0x%' AND length(aggregator) = 42)
+            UNION ALL SELECT symbol, 'aggregator', 'shared by several assets', aggregator FROM good WHERE n > 1""",
         "insert_if_absent": f"""{evt} SELECT kind, tx_hash, log_index, 2 * event_id AS arrival_seq FROM evt, middle WHERE block_number > middle.block""",
         "seed_assets": f"""{evt} SELECT tx_hash, block_number, log_index, contract_address, asset_id, block_hash FROM evt WHERE kind = 'ASSET_REGISTERED'
             UNION ALL SELECT seed, CAST(1 AS BIGINT), CAST(0 AS INTEGER), aggregator, asset_id, '{_ZEROS}' FROM assets""",
@@ -318,14 +318,27 @@ def statements() -> dict[str, str]:
             SELECT asset_id, aggregated_sec, median_price, onchain_price, elapsed_sec, due_by_time, due_by_move, due_by_time OR due_by_move AS due FROM due""",
         "list_submissions": f"WITH {_SRC}, {_SUBMISSIONS} SELECT * FROM subm WHERE asset_id = '{WETH}' ORDER BY submitted_at_us DESC, tx_hash DESC LIMIT 20 OFFSET 20",
         "find_submission": f"WITH {_SRC}, {_SUBMISSIONS} SELECT req_id, asset_id, tx_hash, submitted_price, status, retry_count, last_error FROM subm WHERE req_id = '17'",
-        "streaming_dedup": f"{evt} SELECT kind, tx_hash, log_index, req_id FROM evt",
+        "streaming_dedup": f"""{src} SELECT tx_hash, log_index, arrival_seq, {_KIND} AS kind, CASE WHEN event_type <> 'signup' THEN req_id END AS req_id, seen_us AS observed_at_us FROM arrivals
+            WHERE event_type IN ('click', 'purchase', 'signup') QUALIFY row_number() OVER (PARTITION BY tx_hash, log_index ORDER BY arrival_seq) = 1""",
+        "request_not_found": f"{evt} SELECT * FROM ({_status('req_id')}) WHERE req_id = '{UNKNOWN_REQUEST}'",
+        "submissions_meta": f"WITH {_SRC}, {_SUBMISSIONS} SELECT count(*) AS total_count, CAST(2 AS INTEGER) AS page, CAST(20 AS INTEGER) AS page_size, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM subm WHERE asset_id = '{WETH}'",
+        "configured_assets": f"""WITH {_SRC.split("src AS")[0].rstrip().rstrip(",")}, entries AS (SELECT c_nationkey AS config_id, c_custkey AS k, 'C' || c_custkey AS symbol, '0x' || sha256('cfg-' || c_custkey) AS asset_id,
+              CASE WHEN c_custkey % 4 <> 0 THEN '0x' || left(sha256('cfg-' || c_custkey), 40) END AS aggregator FROM customer),
+            texts AS (SELECT config_id, '{{"symbol":"' || symbol || '","asset_id":"' || asset_id || '"' || coalesce(',"aggregator":"' || aggregator || '"', '') || '}}' AS one, symbol FROM entries),
+            whole AS (SELECT config_id, string_agg(one, ',' ORDER BY symbol) AS inside, min_by(one, symbol) AS first FROM texts GROUP BY config_id)
+            SELECT config_id, symbol, asset_id, coalesce(aggregator, '') AS aggregator, CAST(NULL AS VARCHAR) AS corrupt FROM entries WHERE config_id % 6 IN (0, 5)
+            UNION ALL SELECT w.config_id, a.symbol, a.asset_id, a.aggregator, NULL FROM whole w, assets a WHERE w.config_id % 6 IN (3, 4)
+            UNION ALL SELECT config_id, NULL, NULL, NULL, CASE config_id % 6 WHEN 1 THEN '[' || inside ELSE first END FROM whole WHERE config_id % 6 IN (1, 2)""",
         "replay_then_live": f"{flat} WHERE {price_kinds} AND block_number >= 110",
         "boundary_dedup": flat,
         "live_subscription": f"{flat} WHERE kind = 'PRICE_FULFILLED' AND asset_id = '{WETH}'",
         "watch_ownership": f"""{adm} SELECT address, tx_hash, log_index, argument_1 AS previous_owner, argument_2 AS new_owner FROM admin WHERE event = 'OwnershipTransferred' AND block_number >= 101
             UNION ALL SELECT emitter, tx_hash, log_index, requester, emitter FROM arrivals WHERE event_type = 'view' AND block_number >= 101""",
     }
-    sql["streaming_ingest"] = sql["streaming_resume"] = flat
+    for name in ("streaming_ingest", "streaming_resume", "late_registrations", "compacted_table"):
+        sql[name] = flat
+    sql["ingest_publish"], sql["ingest_seeds"] = sent, sql["seed_assets"]
+    sql["ingest_counted"], sql["stream_quarantine"] = sql["events_seen"], sql["decode_errors"]
     sql["streaming_fan_out"] = sent
     sql["streaming_request_status"] = status
     return sql

@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY = asset_source.DEFAULT_REGISTRY
 WETH = asset_source.default_assets()[0]["asset_id"]
 HOT_REQUEST = str(1 << 255)
+UNKNOWN_REQUEST = str((1 << 255) + 1)
 ROUND_SEC = 6 * 3600
 MAX_AGE_SEC = 3 * 3600
 DEVIATION_BPS = 5000
@@ -95,15 +96,20 @@ def wide_words(spark: SparkSession, folder: str) -> DataFrame:
     return _landed(spark, folder, "events", "wide-words", feed.wide_words, "event_id")
 
 
-def stored_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table: built from raw logs once per application and input, then only read."""
+def stored_path(spark: SparkSession, folder: str) -> str:
+    """The event table with its index and quarantine: built from raw logs once per application and input."""
 
     def write(path: str) -> None:
         logs = raw_logs(spark, folder)
         ingest.quarantined(logs, REGISTRY).write.parquet(event_table.quarantine_path(path))
         event_table.write_events(ingest.events_from_logs(logs, default_assets(spark), REGISTRY), path)
+        event_table.write_request_index(spark, path)
+
+    return _once(spark, folder, "events", "events", write)
+
 
-    return event_table.read_events(spark, _once(spark, folder, "events", "events", write))
+def stored_events(spark: SparkSession, folder: str) -> DataFrame:
+    return event_table.read_events(spark, stored_path(spark, folder))
 
 
 def micros(column: str) -> Column:
@@ -148,6 +154,12 @@ def asset_violations(spark: SparkSession, folder: str) -> DataFrame:
     return asset_source.asset_violations(feed.customer_assets(spark, folder))
 
 
+@query
+def configured_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """Configurations good, blank and broken, one per nation."""
+    return asset_source.configured_assets(feed.configurations(spark, folder))
+
+
 @query
 def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     logs = raw_logs(spark, folder)
@@ -443,12 +455,21 @@ def request_status_by_contract(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def get_request(spark: SparkSession, folder: str) -> DataFrame:
-    return _status_columns(requests.get_request(stored_events(spark, folder), f" {HOT_REQUEST} "), "req_id")
+    found = event_table.events_of_request(spark, stored_path(spark, folder), f" {HOT_REQUEST} ")
+    return _status_columns(requests.request_status(found), "req_id")
+
+
+@query
+def request_not_found(spark: SparkSession, folder: str) -> DataFrame:
+    """No row for a request that nobody made."""
+    found = event_table.events_of_request(spark, stored_path(spark, folder), UNKNOWN_REQUEST)
+    return _status_columns(requests.request_status(found), "req_id")
 
 
 @query
 def events_for_request(spark: SparkSession, folder: str) -> DataFrame:
-    return flat(requests.events_for_request(stored_events(spark, folder), HOT_REQUEST))
+    found = event_table.events_of_request(spark, stored_path(spark, folder), HOT_REQUEST)
+    return flat(requests.events_for_request(found, HOT_REQUEST))
 
 
 @query
@@ -586,6 +607,11 @@ def list_submissions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("submitted_at_us", F.unix_micros("submitted_at")).drop("submitted_at")
 
 
+@query
+def submissions_meta(spark: SparkSession, folder: str) -> DataFrame:
+    return submission_ops.submissions_meta(feed.submissions(spark, folder), WETH, Page(2, 20))
+
+
 @query
 def find_submission(spark: SparkSession, folder: str) -> DataFrame:
     rows = submission_ops.find_submission(feed.submissions(spark, folder), req_id="17")
@@ -595,34 +621,102 @@ def find_submission(spark: SparkSession, folder: str) -> DataFrame:
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, batches: int = 3) -> tuple[str, int]:
-    """Writes rows as files that become visible in order, one group of files per micro-batch."""
-    folder, files = shared_dir(spark, label), 4
+# About how many bytes of source files a micro-batch and a file of it stand for. Small inputs come in MIN_BATCHES.
+BATCH_BYTES, FILE_BYTES, MIN_BATCHES, MIN_FILES = 256 << 20, 32 << 20, 3, 4
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, late: bool = False) -> tuple[str, int]:
+    """Writes rows as files that become visible in order, one group of files per micro-batch; returns the folder
+    and the files of a group. ``late`` puts the first group last."""
+    path, kept = shared_dir(spark, label), shared_dir(spark, f"{label}-all")
+    rows.write.parquet(kept)
+    rows = spark.read.schema(rows.schema).parquet(kept)
+    held = spark.read.format("binaryFile").load(kept).agg(F.sum("length")).first()[0] or 0
+    batches = max(MIN_BATCHES, -(-held // BATCH_BYTES))
+    files = max(MIN_FILES, -(-held // batches // FILE_BYTES))
     span = rows.agg(F.min(order), F.max(order)).first()
     edges = [span[0] + (span[1] + 1 - span[0]) * i // batches for i in range(batches + 1)]
-    for low, high in zip(edges, edges[1:]):
+    groups = list(zip(edges, edges[1:]))
+    for low, high in groups[1:] + groups[:1] if late else groups:
         part = rows.filter((F.col(order) >= low) & (F.col(order) < high))
-        part.repartition(files).write.mode("append").parquet(folder)
-    return folder, files
+        part.repartition(files).write.mode("append").parquet(path)
+    return path, files
 
 
-def _delivered_logs(spark: SparkSession, folder: str) -> tuple[str, int]:
-    return _arriving(spark, raw_logs(spark, folder), "arrival_seq", "logs")
+def _delivered_logs(spark: SparkSession, folder: str, late: bool = False) -> tuple[str, int]:
+    return _arriving(spark, raw_logs(spark, folder), "arrival_seq", "logs", late)
 
 
-def _ingest_run(spark: SparkSession, incoming: str, files: int, table: str, checkpoint: str, writer: str) -> None:
+def _ingest_run(spark: SparkSession, incoming: str, files: int, table: str, checkpoint: str, writer: str, **options) -> None:
     logs = stream_ingest.log_stream(spark, incoming, files)
     stream_ingest.start_ingest(
-        logs, table, checkpoint, default_assets, REGISTRY, writer=writer, available_now=True
+        logs, table, checkpoint, default_assets, REGISTRY, writer=writer, available_now=True, **options
     ).awaitTermination()
 
 
+def _ingested(spark: SparkSession, folder: str, late: bool = False, **options) -> str:
+    """The table of one run over all logs."""
+    incoming, files = _delivered_logs(spark, folder, late)
+    table = shared_dir(spark, "table")
+    _ingest_run(spark, incoming, files, table, shared_dir(spark, "checkpoint"), "ingest", **options)
+    return table
+
+
 @query
 def streaming_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    return flat(event_table.read_batches(spark, _ingested(spark, folder)))
+
+
+@query
+def late_registrations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first logs, registrations among them, arrive last; the table is that of logs in order."""
+    return flat(event_table.read_batches(spark, _ingested(spark, folder, late=True)))
+
+
+@query
+def ingest_publish(spark: SparkSession, folder: str) -> DataFrame:
+    """What the feed of new events gives to each subscription. A second run finds nothing to publish."""
     incoming, files = _delivered_logs(spark, folder)
-    table = shared_dir(spark, "table")
-    _ingest_run(spark, incoming, files, table, shared_dir(spark, "checkpoint"), "ingest")
-    return flat(event_table.read_batches(spark, table))
+    table, checkpoint, out = (shared_dir(spark, label) for label in ("table", "checkpoint", "feed"))
+    for _ in range(2):
+        _ingest_run(spark, incoming, files, table, checkpoint, "ingest", subscriptions=feed_subscriptions)
+    stream_ingest.start_feed(spark, table, out, shared_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("sub_id", "kind", "asset_id", "tx_hash", "log_index")
+
+
+def feed_subscriptions(spark: SparkSession) -> DataFrame:
+    return feed.subscriptions(spark)
+
+
+@query
+def ingest_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Registrations of a table whose ingest began with the configured assets, twice."""
+    table, incoming, files = shared_dir(spark, "table"), *_delivered_logs(spark, folder)
+    for writer in ("ingest", "again"):
+        _ingest_run(spark, incoming, files, table, shared_dir(spark, "checkpoint"), writer, seeds=asset_source.default_assets())
+    stored = event_table.read_batches(spark, table).filter(F.col("kind") == ASSET_REGISTERED)
+    return stored.select("tx_hash", "block_number", "log_index", "contract_address", "asset_id", "block_hash")
+
+
+@query
+def stream_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run could not store, every delivery of it."""
+    kept = stream_ingest.read_quarantine(spark, _ingested(spark, folder))
+    return kept.select("arrival_seq", "kind", "address", "tx_hash", "log_index", "reason")
+
+
+@query
+def ingest_counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters that a run reported while it went on."""
+    counters = stream_ingest.IngestCounters()
+    spark.streams.addListener(counters)
+    try:
+        _ingested(spark, folder)
+        counters.await_end()
+    finally:
+        spark.streams.removeListener(counters)
+    totals = counters.totals()
+    return spark.createDataFrame([(kind, totals.get(kind, 0)) for kind in KINDS], "kind string, seen bigint")
 
 
 @query
@@ -633,11 +727,19 @@ def streaming_resume(spark: SparkSession, folder: str) -> DataFrame:
     incoming, table, checkpoint = (shared_dir(spark, label) for label in ("logs", "table", "checkpoint"))
     for part in (F.col("arrival_seq") <= middle, F.col("arrival_seq") > middle):
         rows.filter(part).write.mode("append").parquet(incoming)
-        _ingest_run(spark, incoming, 4, table, checkpoint, "ingest")
-    _ingest_run(spark, incoming, 4, table, shared_dir(spark, "checkpoint"), "again")
+        _ingest_run(spark, incoming, MIN_FILES, table, checkpoint, "ingest")
+    _ingest_run(spark, incoming, MIN_FILES, table, shared_dir(spark, "checkpoint"), "again")
     return flat(event_table.read_batches(spark, table))
 
 
+@query
+def compacted_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The batches of a run, rewritten as a read table."""
+    target = shared_dir(spark, "events")
+    event_table.compact(spark, _ingested(spark, folder), target)
+    return flat(event_table.read_events(spark, target))
+
+
 def _drained(stream: DataFrame, label: str) -> DataFrame:
     spark = stream.sparkSession
     path = shared_dir(spark, label)
@@ -651,7 +753,16 @@ def _drained(stream: DataFrame, label: str) -> DataFrame:
 def streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
     incoming, files = _delivered_logs(spark, folder)
     decoded = decode.decoded_logs(stream_ingest.log_stream(spark, incoming, files), REGISTRY)
-    return _drained(stream_ingest.unique_events(decoded), "unique").select("kind", "tx_hash", "log_index", "req_id")
+    unique, path = stream_ingest.unique_events(decoded), shared_dir(spark, "unique")
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writing = unique.writeStream.outputMode("update").foreachBatch(store)
+    writing = writing.option("checkpointLocation", shared_dir(spark, "checkpoint"))
+    writing.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(unique.schema).parquet(path)
+    return kept.select("tx_hash", "log_index", "arrival_seq", "kind", "req_id", micros("observed_at"))
 
 
 def _event_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -697,10 +808,10 @@ def streaming_fan_out(spark: SparkSession, folder: str) -> DataFrame:
 def streaming_request_status(spark: SparkSession, folder: str) -> DataFrame:
     live = _event_stream(spark, stored_events(spark, folder))
     table = shared_dir(spark, "status")
-    running = stream_status.start_status_table(
-        stream_status.live_request_status(live), table, shared_dir(spark, "checkpoint"), available_now=True
-    )
-    running.awaitTermination()
+    # a second writer with a checkpoint of its own goes over everything again
+    for _ in range(2):
+        running = stream_status.start_status_table(live, table, shared_dir(spark, "checkpoint"), available_now=True)
+        running.awaitTermination()
     return _status_columns(stream_status.read_status_table(spark, table), "req_id")
 
 
@@ -713,9 +824,12 @@ def price_subscription(spark: SparkSession, folder: str) -> DataFrame:
     known = aggregates.filter(F.col("aggregated_at") <= span[0] + (span[1] - span[0]) / 2)
     live = spark.readStream.schema(aggregates.schema).parquet(rounds)
     wanted = [a["asset_id"] for a in asset_source.default_assets()[:4]]
-    snapshot, updates = subscribe.subscribe_prices(known, live, wanted)
-    rows = snapshot.unionByName(_drained(updates, "updates"))
-    return rows.select(
+    path = shared_dir(spark, "prices")
+    # the second time, all updates are old
+    for _ in range(2):
+        running = subscribe.start_price_subscription(known, live, wanted, path, shared_dir(spark, "checkpoint"), available_now=True)
+        running.awaitTermination()
+    return subscribe.read_price_subscription(spark, path).select(
         "asset_id",
         F.round("median_price", 4).alias("median_price"),
         F.unix_seconds("aggregated_at").alias("aggregated_sec"),

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 
 def struct_of(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    return T.StructType.fromDDL(text)
 
 
 RAW_LOG_DDL = (

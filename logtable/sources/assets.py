@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtable.functions.arguments import InvalidArgument
@@ -52,6 +52,36 @@ def assets_frame(spark: SparkSession, assets: Sequence[dict[str, str]]) -> DataF
     return small_table(spark, [tuple(a[f] for f in _FIELDS) for a in assets], struct_of(ASSET_DDL))
 
 
+def configured_assets(configurations: DataFrame, defaults: Sequence[dict[str, str]] | None = None) -> DataFrame:
+    """``config_id, text`` -> a row per configured asset, for any number of configurations.
+
+    A JSON array of objects replaces the defaults, an empty one by nothing; a blank or null text keeps them. A text
+    that is no such array gives one row with the text as ``corrupt`` and no asset. Absent and null fields are empty,
+    numbers and truth values are their text, unknown fields are ignored.
+    """
+    text = F.coalesce("text", F.lit(""))
+    blank = F.regexp_replace(text, r"\s", "") == ""
+    value = F.try_parse_json(text)
+    is_list = F.coalesce(F.schema_of_variant(value).startswith("ARRAY<"), F.lit(False))
+    items = F.when(~blank & is_list, F.try_variant_get(value, "$", "array<variant>"))
+    all_objects = F.forall(items, lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False)))
+    parsed = F.when(all_objects, items)
+    rows = configurations.select("config_id", text.alias("text"), blank.alias("is_blank"), parsed.alias("items"))
+
+    def field(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit("")).alias(name)
+
+    nothing = F.lit(None).cast("string")
+    given = rows.select("config_id", F.explode("items").alias("item"))
+    given = given.select("config_id", *map(field, _FIELDS), nothing.alias("corrupt"))
+    standard = F.array(*(F.struct(*(F.lit(a[f]).alias(f) for f in _FIELDS)) for a in defaults or default_assets()))
+    kept = rows.filter("is_blank").select("config_id", F.explode(standard).alias("asset"))
+    kept = kept.select("config_id", "asset.*", nothing.alias("corrupt"))
+    broken = rows.filter(~F.col("is_blank") & F.col("items").isNull())
+    broken = broken.select("config_id", *(nothing.alias(f) for f in _FIELDS), F.col("text").alias("corrupt"))
+    return given.unionByName(kept).unionByName(broken)
+
+
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
     """Assets from JSON files: one array, or one object per line."""
     return spark.read.schema(ASSET_DDL).json(path, multiLine=True)
@@ -88,14 +118,14 @@ def asset_violations(assets: DataFrame) -> DataFrame:
     empty = assets.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
     text = F.lit(None).cast("string")
     return (
-        found(assets.filter(bad_asset), "asset_id", "not a 0x-prefixed 32-byte hex string")
-        .unionByName(found(assets.filter(bad_aggregator), "aggregator", "not a 0x-prefixed 20-byte hex address"))
-        .unionByName(found(duplicates, "aggregator", "listed more than once"))
+        found(assets.filter(bad_asset), "asset_id", "expected 0x and 64 more characters")
+        .unionByName(found(assets.filter(bad_aggregator), "aggregator", "expected 0x and 40 more characters"))
+        .unionByName(found(duplicates, "aggregator", "shared by several assets"))
         .unionByName(
             empty.select(
                 text.alias("symbol"),
                 F.lit("assets").alias("field"),
-                F.lit("at least one asset is required").alias("problem"),
+                F.lit("no assets configured").alias("problem"),
                 text.alias("value"),
             )
         )

@@ -243,6 +243,26 @@ def customer_assets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def configurations(spark: SparkSession, folder: str) -> DataFrame:
+    """A configuration text per nation, made of its customers: arrays, cut arrays, single objects, blanks, nulls."""
+    entry = F.struct(
+        F.concat(F.lit("C"), "c_custkey").alias("symbol"),
+        F.expr(_hash("'cfg-', c_custkey")).alias("asset_id"),
+        F.when(F.col("c_custkey") % 4 != 0, F.expr(_address("'cfg-', c_custkey"))).alias("aggregator"),
+    )
+    made = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("config_id")).agg(
+        F.to_json(F.array_sort(F.collect_list(entry))).alias("whole")
+    )
+    kind = F.col("config_id") % 6
+    text = (
+        F.when(kind == 1, F.expr("left(whole, length(whole) - 1)"))
+        .when(kind == 2, F.expr("substr(whole, 2, instr(whole, '}') - 1)"))
+        .when(kind == 3, " ")
+        .when(kind != 4, F.col("whole"))
+    )
+    return made.select("config_id", text.alias("text"))
+
+
 def subscriptions(spark: SparkSession) -> DataFrame:
     """Everything, one kind, one asset, both; and the odd ones: an unknown kind alone and beside a
     repeated known one, an empty asset, no kinds at all."""

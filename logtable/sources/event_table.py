@@ -1,15 +1,17 @@
 """The stored EVENT table: parquet, partitioned by kind, files sorted in chain order.
 
-Block ranges then prune files and row groups by their statistics, kinds prune partitions, and
-bloom filters serve point lookups by request id and asset.
+Block ranges then prune files and row groups by their statistics, kinds prune partitions, and an index from
+request id to files serves point lookups.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logtable.functions.arguments import check_req_id
 from logtable.schemas import CHAIN_ORDER, EVENT_COLUMNS, event_schema
 
 # Filters sized to what a file holds, on the columns looked up by equality.
@@ -30,7 +32,48 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(event_schema()).parquet(path).select(*EVENT_COLUMNS)
 
 
-# Batches land in writer=<query>/batch=<n>; rewriting a batch replaces exactly its own folder.
+# --- the index from request ids to files ------------------------------------------------------------
+
+INDEX_BUCKETS = 64
+
+
+def index_path(path: str) -> str:
+    return f"{path.rstrip('/')}-requests"
+
+
+
+def write_request_index(spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """For every request id, the files of the table that hold its events, in buckets by id.
+
+    It belongs to a table that is not rewritten in place: a new table gets a new index.
+    """
+    rows = spark.read.schema(event_schema()).parquet(path).filter(F.col("req_id").isNotNull())
+    files = rows.groupBy("req_id", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("events"))
+    bucketed = files.withColumn("bucket", F.pmod(F.xxhash64("req_id"), F.lit(buckets)).cast("int"))
+    ordered = bucketed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "req_id")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(index_path(path))
+
+
+def events_of_request(spark: SparkSession, path: str, req_id: str, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """The stored events of one request. One bucket of the index names the files, and only these are opened:
+    as many as hold the request's events, however large the table is."""
+    wanted = check_req_id(req_id)
+    index = spark.read.schema("req_id string, file string, events bigint, bucket int").parquet(index_path(path))
+    # the bucket is worked out by Spark, so that it is the one the index was written with
+    at = F.pmod(F.xxhash64(F.lit(wanted)), F.lit(buckets)).cast("int")
+    found = index.filter((F.col("bucket") == at) & (F.col("req_id") == wanted)).select("file").collect()
+    if not found:
+        return spark.createDataFrame([], event_schema()).select(*EVENT_COLUMNS)
+    reader = spark.read.schema(event_schema()).option("basePath", path)
+    rows = reader.parquet(*sorted(r["file"] for r in found))
+    return rows.filter(F.col("req_id") == wanted).select(*EVENT_COLUMNS)
+
+
+# --- batches ---------------------------------------------------------------------------------------
+# They land in writer=<query>/batch=<n>; rewriting a batch replaces exactly its own folder.
+
+#: About how many bytes of stored rows a file of a compacted table holds.
+FILE_BYTES = 128 << 20
 
 
 def batch_path(path: str, writer: str, batch: int) -> str:
@@ -47,21 +90,42 @@ def write_batch(events: DataFrame, path: str, writer: str, batch: int) -> None:
     ordered.write.mode("overwrite").partitionBy("kind").parquet(batch_path(path, writer, batch))
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(target) and files.listStatus(target)
+def replace_folders(rows: DataFrame, path: str) -> None:
+    """Rewrites exactly the (writer, batch, kind) folders that ``rows`` has rows of, when all are written."""
+    folders = ["writer", "batch", "kind"]
+    ordered = rows.repartition(*folders).sortWithinPartitions(*folders, *CHAIN_ORDER)
+    writing = ordered.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writing.partitionBy(*folders).parquet(path)
+
+
+def read_or_empty(spark: SparkSession, path: str, shape: T.StructType) -> DataFrame:
+    """The table at ``path``; no rows where nothing has been written."""
+    try:
+        return spark.read.schema(shape).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], shape)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches as one table, with the ``writer`` and ``batch`` that stored each row. Empty
     before the first batch."""
-    shape = event_schema().add("writer", T.StringType()).add("batch", T.LongType())
-    if not table_exists(spark, path):
-        return spark.createDataFrame([], shape)
-    return spark.read.schema(shape).parquet(path)
+    return read_or_empty(spark, path, event_schema().add("writer", T.StringType()).add("batch", T.LongType()))
 
 
 def without_batch(stored: DataFrame, writer: str, batch: int) -> DataFrame:
     """What was stored by everything but this batch, so that running it again changes nothing."""
     return stored.filter(~((F.col("writer") == writer) & (F.col("batch") == batch)))
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """All batches rewritten as the read table at ``target``: few files in chain order, sized by bytes, with its
+    index. Readers go on with the new table; the writer's own folders stay as they are."""
+    rows = read_batches(spark, path).select(*EVENT_COLUMNS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    held = files.load(path).select(F.sum("length")).first()[0] or 0
+    count = max(1, -(-held // FILE_BYTES))
+    ordered = rows.repartitionByRange(count, "kind", *CHAIN_ORDER).sortWithinPartitions("kind", *CHAIN_ORDER)
+    ordered.write.options(**_BLOOM_OPTIONS).mode("overwrite").partitionBy("kind").parquet(target)
+    write_request_index(spark, target)

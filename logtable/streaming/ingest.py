@@ -1,21 +1,43 @@
-"""Continuous ingest: a stream of raw logs into the event table, each log stored once."""
+"""Continuous ingest: a stream of raw logs into the event table, each log stored and published once.
+
+The stream itself knows which logs are new (``first_arrivals``, keyed state), so a batch reads neither the stored
+keys nor the stored rows of its own writer, however long the table has become. A batch's new rows are written
+first and everything else is made of that copy; running a batch again replaces the same folders.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import partial
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from logtable.operators.decode import classify
+from logtable.operators.fanout import fan_out
+from logtable.operators.ingest import assemble, seed_events, sorted_out
+from logtable.operators.metrics import ingest_counters, inserted_counters
+from logtable.operators.resolve import late_changes, relevant_history, resolve_asof, with_asset
+from logtable.schemas import ASSET_REGISTERED, EVENT_COLUMNS, EVENT_KEY, raw_log_schema
+from logtable.sources.event_table import (
+    batch_path,
+    quarantine_path,
+    read_batches,
+    read_or_empty,
+    replace_folders,
+    without_batch,
+    write_batch,
+)
+
+SEED_WRITER = "seeds"
+#: The name that the counters of inserted rows go by in a query's progress.
+COUNTERS = "inserted"
 
-from logtable.operators.decode import classify, decoded_logs
-from logtable.operators.ingest import assemble, insert_if_absent, quarantined, satisfies_constraints
-from logtable.operators.metrics import ingest_counters
-from logtable.operators.resolve import relevant_history, resolve_asof
-from logtable.schemas import EVENT_KEY, raw_log_schema
-from logtable.sources.event_table import batch_path, quarantine_path, read_batches, without_batch, write_batch
+Assets = Callable[[SparkSession], DataFrame]
 
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,89 +48,250 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.parquet(path)
 
 
+# --- which rows are new ------------------------------------------------------------------------------
+
+
+def first_arrivals(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """A stream's rows, the first arrival of each key, once: when its key is first seen, the least
+    ``arrival_seq`` of that batch.
+
+    A running aggregation kept in the state store: the row, and the batch times between which the key was seen.
+    It gives out every key that a batch touches; a key is new if all its rows came at this batch's time, which
+    the checkpoint repeats when a batch is run again. To be run in update mode with ``foreachBatch``, whose function
+    writes its rows once before anything else.
+    """
+    now = F.current_timestamp()
+    arrival = F.struct(F.col("arrival_seq").isNull(), "arrival_seq")
+    timed = rows.withColumn("batch_time", now)
+    folded = timed.groupBy(*keys).agg(
+        F.min_by(F.struct(*rows.columns), arrival).alias("row"),
+        F.min("batch_time").alias("since"),
+        F.max("batch_time").alias("latest"),
+    )
+    return folded.filter((F.col("since") == now) & (F.col("latest") == now)).select("row.*")
+
+
+def unique_events(decoded: DataFrame) -> DataFrame:
+    """Exact deduplication of decoded logs inside the stream; see ``first_arrivals``."""
+    return first_arrivals(decoded, *EVENT_KEY)
+
+
+def unique_events_within(decoded: DataFrame, delay: str) -> DataFrame:
+    """The weaker variant of bounded state: which arrival of a batch is kept is open, and repeats later than
+    ``delay`` come through again."""
+    return decoded.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(list(EVENT_KEY))
+
+
+def arrivals(logs: DataFrame, registry: str) -> DataFrame:
+    """The stream of rows to store: each event's first sound delivery, and every delivery that cannot be stored."""
+    # a delivery that cannot be stored stands for itself, so that a good one may follow
+    rows = sorted_out(logs, registry)
+    alone = F.when(F.col("reason").isNotNull(), F.struct("arrival_seq", F.xxhash64("delivery").alias("content")))
+    new = first_arrivals(rows, *EVENT_KEY, alone.alias("alone"))
+    return new.observe(COUNTERS, *inserted_counters())
+
+
+# --- one batch -----------------------------------------------------------------------------------------
+
+
 class Extent(NamedTuple):
-    """The blocks that the decoded rows of a batch span."""
+    """The blocks that the new events of a batch span, and how many registrations are among them."""
 
     low: int
     high: int
+    registrations: int
 
 
-def extent(decoded: DataFrame) -> Extent:
-    row = decoded.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high")).first()
-    return Extent(row["low"] or 0, row["high"] or 0)
-
-
-def _stored_keys(stored: DataFrame, size: Extent, reorg_window: int | None) -> DataFrame:
-    """The stored keys that the batch can meet; how they meet is the planner's choice."""
-    keys = stored
-    if reorg_window is not None:
-        keys = keys.filter(F.col("block_number").between(size.low - reorg_window, size.high + reorg_window))
-    return keys.select(*EVENT_KEY)
+def extent(rows: DataFrame) -> Extent:
+    found = rows.agg(
+        F.min("block_number").alias("low"),
+        F.max("block_number").alias("high"),
+        F.count_if(F.col("kind") == ASSET_REGISTERED).alias("registrations"),
+    ).first()
+    return Extent(found["low"] or 0, found["high"] or 0, found["registrations"])
 
 
 def ingest_batch(
-    logs: DataFrame,
+    new: DataFrame,
     batch: int,
     *,
     table: str,
     writer: str,
-    assets: Callable[[SparkSession], DataFrame],
-    registry: str,
-    reorg_window: int | None = None,
+    assets: Assets,
+    subscriptions: Assets | None = None,
 ) -> None:
-    """Stores the events of one micro-batch that are not stored yet, with assets as known at each
-    of them. Running the same batch again rewrites the same rows.
+    """Stores the new rows of one batch (``arrivals``), with assets as known at each of them, and publishes them.
 
-    By default every stored key counts. ``reorg_window`` limits the look-up to blocks that near,
-    which file statistics turn into a short scan: the same transaction cannot reappear further
-    away than the chain can reorganise, so a window of at least that depth gives the same result.
-    Logs that cannot be stored go to the quarantine beside the table, in a folder per batch too.
+    Events go to the table, deliveries that cannot be stored to the quarantine beside it, and with
+    ``subscriptions`` each event goes once to every subscription that matches, all in folders of this batch. What
+    other writers stored is passed over. A registration that arrives after events which it rules mends those
+    events: their folders alone are rewritten.
     """
-    spark = logs.sparkSession
+    spark = new.sparkSession
+    copy = f"{table.rstrip('/')}-arriving/writer={writer}"
+    new.write.mode("overwrite").parquet(copy)
+    rows = spark.read.schema(new.schema).parquet(copy)
+    bad = rows.filter(F.col("reason").isNotNull()).select("delivery.*", "kind", "reason")
+    bad.write.mode("overwrite").parquet(batch_path(quarantine_path(table), writer, batch))
     stored = without_batch(read_batches(spark, table), writer, batch)
-    quarantined(logs, registry).write.mode("overwrite").parquet(batch_path(quarantine_path(table), writer, batch))
-    decoded = decoded_logs(logs, registry).filter(satisfies_constraints()).persist()
-    size = extent(decoded)
-    fresh = insert_if_absent(decoded, _stored_keys(stored, size, reorg_window)).persist()
-    try:
-        history = relevant_history(stored, size.low, size.high)
-        events = assemble(resolve_asof(fresh, assets(spark), history))
-        write_batch(events, table, writer, batch)
-    finally:
-        fresh.unpersist()
-        decoded.unpersist()
+    # folders of this writer are never opened here: its own keys are in the state
+    others = stored.filter((F.col("writer") != writer) & (F.col("writer") != SEED_WRITER)).select(*EVENT_KEY)
+    fresh = rows.filter(F.col("reason").isNull()).drop("reason", "delivery").join(others, list(EVENT_KEY), "left_anti")
+    size = extent(rows.filter(F.col("reason").isNull()))
+    history = relevant_history(stored, size.low, size.high)
+    write_batch(assemble(resolve_asof(fresh, assets(spark), history)), table, writer, batch)
+    mine = read_batches(spark, table).filter((F.col("writer") == writer) & (F.col("batch") == batch))
+    if size.registrations:
+        mend_late(spark, table, mine)
+    if subscriptions is not None:
+        # the salted join spreads the copies, so that folders hold files of a size
+        sent = fan_out(mine.select(*EVENT_COLUMNS), subscriptions(spark))
+        sent.write.mode("overwrite").parquet(batch_path(published_path(table), writer, batch))
+
+
+def mend_late(spark: SparkSession, table: str, new: DataFrame) -> None:
+    """Gives stored events the assets that the registrations among ``new`` say. Running it again changes nothing."""
+    stored = read_batches(spark, table)
+    changes = late_changes(stored, new)
+    # kept apart, so that the search is not run again while folders are rewritten
+    path = f"{table.rstrip('/')}-late"
+    changes.select("writer", "batch", "kind", *EVENT_KEY, "right_asset").write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path)
+    if found.isEmpty():
+        return
+    folders = found.select("writer", "batch", "kind").distinct()
+    touched = stored.join(folders, ["writer", "batch", "kind"], "left_semi")
+    right = found.select(*EVENT_KEY, "right_asset", F.lit(True).alias("is_late"))
+    met = touched.join(right, list(EVENT_KEY), "left")
+    asset = F.when(F.col("is_late"), F.col("right_asset")).otherwise(F.col("asset_id"))
+    replace_folders(with_asset(met, asset).select(*stored.columns), table)
+
+
+# --- running it ----------------------------------------------------------------------------------------
+
+
+def insert_seeds(spark: SparkSession, table: str, assets: list[dict[str, str]], observed_at: Column | None = None) -> None:
+    """Stores the synthetic registrations of configured assets that are not stored yet. They are not published."""
+    stored = read_batches(spark, table).filter(F.col("writer") == SEED_WRITER)
+    new = seed_events(spark, assets, observed_at).join(stored.select(*EVENT_KEY), list(EVENT_KEY), "left_anti")
+    # few rows, and read only once before the folder they depend on changes
+    rows = new.collect()
+    if rows:
+        last = stored.agg(F.max("batch")).first()[0]
+        kept = spark.createDataFrame(rows, new.schema)
+        write_batch(kept, table, SEED_WRITER, 0 if last is None else last + 1)
+
+
+def _refuse_lost_checkpoint(spark: SparkSession, table: str, checkpoint: str, writer: str) -> None:
+    """A writer's folders are numbered by its checkpoint; with a new one they would be overwritten."""
+    if not read_batches(spark, table).filter(F.col("writer") == writer).isEmpty():
+        seen = spark.read.schema("value string").format("text")
+        try:
+            known = not seen.load(f"{checkpoint.rstrip('/')}/offsets").isEmpty()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = False
+        if not known:
+            raise ValueError(f"writer {writer!r} has stored rows, but not from checkpoint {checkpoint}; use another writer name")
 
 
 def start_ingest(
     logs: DataFrame,
     table: str,
     checkpoint: str,
-    assets: Callable[[SparkSession], DataFrame],
+    assets: Assets,
     registry: str,
     writer: str = "ingest",
-    reorg_window: int | None = None,
+    subscriptions: Assets | None = None,
+    seeds: list[dict[str, str]] | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Runs ``ingest_batch`` over a stream. ``writer`` must stay with its checkpoint: together
-    they make a restart repeat at most one batch, in place."""
-    store = partial(
-        ingest_batch, table=table, writer=writer, assets=assets, registry=registry, reorg_window=reorg_window
-    )
-    writing = logs.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    """Runs ``ingest_batch`` over a stream. ``writer`` stays with its checkpoint: together they make a restart
+    repeat at most one batch, in place. ``seeds`` are configured assets to be stored before the first batch."""
+    spark = logs.sparkSession
+    _refuse_lost_checkpoint(spark, table, checkpoint, writer)
+    if seeds:
+        insert_seeds(spark, table, seeds)
+    store = partial(ingest_batch, table=table, writer=writer, assets=assets, subscriptions=subscriptions)
+    writing = arrivals(logs, registry).writeStream.outputMode("update").foreachBatch(store)
+    writing = writing.option("checkpointLocation", checkpoint)
     return (writing.trigger(availableNow=True) if available_now else writing).start()
 
 
-def observed(logs: DataFrame, registry: str, name: str = "ingest") -> DataFrame:
-    """Classified logs that report kind and error counters while they flow."""
-    return classify(logs, registry).observe(name, *ingest_counters())
+def read_quarantine(spark: SparkSession, table: str) -> DataFrame:
+    """Deliveries that could not be stored, as they came, with the ``reason``."""
+    shape = raw_log_schema().add("kind", "string").add("reason", "string").add("writer", "string").add("batch", "long")
+    return read_or_empty(spark, quarantine_path(table), shape)
 
 
-def unique_events(decoded: DataFrame) -> DataFrame:
-    """Exact deduplication inside the stream. State grows with the number of logs, so it belongs
-    in a disk-backed state store; a batch costs only its own keys."""
-    return decoded.dropDuplicates(list(EVENT_KEY))
+# --- publishing ------------------------------------------------------------------------------------------
 
 
-def unique_events_within(decoded: DataFrame, delay: str) -> DataFrame:
-    """The weaker, bounded variant: repeats later than ``delay`` come through again."""
-    return decoded.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(list(EVENT_KEY))
+def published_path(table: str) -> str:
+    """Where new events are written per subscription, in a folder per batch beside the table."""
+    return f"{table.rstrip('/')}-published"
+
+
+def published(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.parquet(published_path(table)).drop("writer", "batch")
+
+
+def start_feed(
+    spark: SparkSession, table: str, feed: str, checkpoint: str, available_now: bool = False, files_per_trigger: int | None = None
+) -> StreamingQuery:
+    """What is published, as a table that a streaming file sink writes: its log says which files are whole, none
+    is ever rewritten, and any number of tails may follow it with ``readStream``.
+
+    Should a batch be published again after a crash, its rows are recognised by event and subscription.
+    """
+    shape = spark.read.parquet(published_path(table)).schema
+    reader = spark.readStream.schema(shape)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.parquet(published_path(table)).dropDuplicates(["sub_id", *EVENT_KEY]).drop("writer", "batch")
+    writing = rows.writeStream.format("parquet").option("path", feed).option("checkpointLocation", checkpoint)
+    return (writing.trigger(availableNow=True) if available_now else writing).start()
+
+
+# --- counting --------------------------------------------------------------------------------------------
+
+
+class IngestCounters(StreamingQueryListener):
+    """Counters of a running ingest: rows really inserted, by kind, and deliveries that were not storable.
+
+    A batch that reports twice counts once. Register it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        counted = event.progress.observedMetrics.get(COUNTERS)
+        if counted is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = counted.asDict()
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def await_end(self, seconds: float = 60) -> None:
+        """Waits for a query's last report; reports come after the query's end."""
+        until = time.monotonic() + seconds
+        while not self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+
+    def totals(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for counted in self.batches.values():
+            for name, n in counted.items():
+                out[name] = out.get(name, 0) + n
+        return out
+
+
+def observed(logs: DataFrame, registry: str, name: str = "ingest") -> DataFrame:
+    """Classified logs that report kind and error counters while they flow."""
+    return classify(logs, registry).observe(name, *ingest_counters())

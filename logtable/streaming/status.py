@@ -1,4 +1,4 @@
-"""Request lifecycles kept current on a stream."""
+"""Request lifecycles kept current on a stream, as a table with one row per request."""
 
 from __future__ import annotations
 
@@ -8,35 +8,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logtable.operators.requests import request_status
-from logtable.sources.event_table import batch_path
+from logtable.operators.requests import merged_facts, request_facts, status_of
+from logtable.schemas import struct_of
+from logtable.sources.event_table import read_or_empty
 
+BUCKETS = 64
 
-def live_request_status(events: DataFrame, by_contract: bool = False) -> DataFrame:
-    """``request_status`` as a running aggregation; run it in update mode."""
-    return request_status(events, by_contract=by_contract)
+_PLACE = "struct<block_number:bigint,log_index:int,tx_hash:string>"
+_FACTS = (
+    f"request struct<place:{_PLACE},asset_id:string,requester:string,observed_at:timestamp>, "
+    f"answer struct<place:{_PLACE},price:string,observed_at:timestamp>, "
+    f"first_answer struct<place:{_PLACE},asset_id:string>"
+)
 
 
-def _store_changes(changes: DataFrame, batch: int, *, table: str, writer: str) -> None:
-    changes.write.mode("overwrite").parquet(batch_path(table, writer, batch))
+def _shape(by_contract: bool):
+    keys = "req_id string, contract_address string" if by_contract else "req_id string"
+    return struct_of(f"{keys}, {_FACTS}, bucket int")
+
+
+def merge_status(events: DataFrame, batch: int, *, table: str, by_contract: bool = False, buckets: int = BUCKETS) -> None:
+    """Merges the facts of one batch's events into the buckets of their requests; other buckets are not touched.
+
+    Rows are versioned by their places in the chain. Running a batch again, or old batches under a new
+    checkpoint, changes nothing.
+    """
+    spark = events.sparkSession
+    facts = request_facts(events, by_contract)
+    bucket = F.pmod(F.xxhash64("req_id"), F.lit(buckets)).cast("int")
+    # the batch's facts and what their buckets hold, written apart: the buckets are replaced from that copy
+    copy = f"{table.rstrip('/')}-merging"
+    new = facts.withColumn("bucket", bucket)
+    held = read_or_empty(spark, table, _shape(by_contract))
+    touched = held.join(new.select("bucket").distinct(), "bucket", "left_semi")
+    merged = merged_facts(touched.unionByName(new).drop("bucket"), by_contract).withColumn("bucket", bucket)
+    merged.repartition("bucket").write.mode("overwrite").parquet(copy)
+    rows = spark.read.schema(_shape(by_contract)).parquet(copy)
+    writing = rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writing.partitionBy("bucket").parquet(table)
 
 
 def start_status_table(
-    status: DataFrame, table: str, checkpoint: str, writer: str = "status", available_now: bool = False
+    events: DataFrame,
+    table: str,
+    checkpoint: str,
+    by_contract: bool = False,
+    buckets: int = BUCKETS,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Writes the changed states of each batch to that batch's own folder."""
-    writing = (
-        status.writeStream.outputMode("update")
-        .foreachBatch(partial(_store_changes, table=table, writer=writer))
-        .option("checkpointLocation", checkpoint)
-    )
+    """Keeps the table current. The stream holds no state: the table is the state. Its number of buckets stays."""
+    merge = partial(merge_status, table=table, by_contract=by_contract, buckets=buckets)
+    writing = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writing.trigger(availableNow=True) if available_now else writing).start()
 
 
-def read_status_table(spark: SparkSession, table: str, *keys: str) -> DataFrame:
-    """The latest state per request id, or per the keys that the status was kept by."""
-    changes = spark.read.parquet(table)
-    keys = keys or ("req_id",)
-    columns = [c for c in changes.columns if c not in (*keys, "writer", "batch")]
-    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("latest"))
-    return latest.select(*keys, "latest.*")
+def read_status_table(spark: SparkSession, table: str, by_contract: bool = False) -> DataFrame:
+    """The state of every request."""
+    return status_of(read_or_empty(spark, table, _shape(by_contract)), by_contract)
