@@ -71,7 +71,9 @@ def _text_cells(rows: DataFrame, key: str, prefix: str) -> list[tuple[Cell, str]
 
 def _pieces(rows: DataFrame, keys: Sequence[str], first: int, last: int, held: int, prefix: str = "") -> list[DataFrame]:
     """The rows at places ``first`` to ``last`` (from 0) of ``rows``, as frames that follow one another."""
-    if held <= SORTED_ROWS or not keys:
+    if not keys:  # equal in all of them
+        return [rows.offset(first).limit(last - first)]
+    if held <= SORTED_ROWS:
         return [rows.orderBy(*(F.desc_nulls_last(k) for k in keys)).offset(first).limit(last - first)]
     key, kind = keys[0], rows.schema[keys[0]].dataType
     if isinstance(kind, T.StringType):

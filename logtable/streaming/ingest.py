@@ -22,7 +22,7 @@ from logtable.operators.fanout import fan_out
 from logtable.operators.ingest import assemble, seed_events, sorted_out
 from logtable.operators.metrics import ingest_counters, inserted_counters
 from logtable.operators.resolve import late_changes, relevant_history, resolve_asof, with_asset
-from logtable.schemas import ASSET_REGISTERED, EVENT_COLUMNS, EVENT_KEY, raw_log_schema
+from logtable.schemas import ASSET_REGISTERED, CHAIN_ORDER, EVENT_COLUMNS, EVENT_KEY, raw_log_schema
 from logtable.sources.event_table import (
     batch_path,
     quarantine_path,
@@ -142,16 +142,26 @@ def ingest_batch(
     write_batch(assemble(resolve_asof(fresh, assets(spark), history)), table, writer, batch)
     mine = read_batches(spark, table).filter((F.col("writer") == writer) & (F.col("batch") == batch))
     if size.registrations:
-        mend_late(spark, table, mine)
+        mend_late(spark, table, mine, writer, batch)
     if subscriptions is not None:
         # the salted join spreads the copies, so that folders hold files of a size
         sent = fan_out(mine.select(*EVENT_COLUMNS), subscriptions(spark))
         sent.write.mode("overwrite").parquet(batch_path(published_path(table), writer, batch))
 
 
-def mend_late(spark: SparkSession, table: str, new: DataFrame) -> None:
-    """Gives stored events the assets that the registrations among ``new`` say. Running it again changes nothing."""
+def mend_late(spark: SparkSession, table: str, new: DataFrame, writer: str, batch: int) -> None:
+    """Gives events of other batches the assets that the registrations among ``new`` say. Running it again changes
+    nothing."""
     stored = read_batches(spark, table)
+    place = F.struct(*CHAIN_ORDER)
+    first = new.filter(F.col("kind") == ASSET_REGISTERED).agg(F.min(place).alias("place")).first()["place"]
+    if first is None:  # all of them were another writer's
+        return
+    # most often nothing is stored behind the first of them, which file statistics show
+    behind = stored.filter((F.col("block_number") >= first["block_number"]) & (F.col("kind") != ASSET_REGISTERED))
+    behind = behind.filter(place > F.struct(*(F.lit(first[c]).cast(stored.schema[c].dataType) for c in CHAIN_ORDER)))
+    if without_batch(behind, writer, batch).isEmpty():
+        return
     changes = late_changes(stored, new)
     # kept apart, so that the search is not run again while folders are rewritten
     path = f"{table.rstrip('/')}-late"

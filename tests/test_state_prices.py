@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -8,7 +9,7 @@ from logtable.functions.payloads import kind_name, kind_number, parse_payload, p
 from logtable.operators import metrics, prices, state, submissions
 from logtable.schemas import SOURCE_QUOTE_DDL, SUBMISSION_DDL
 from logtable.sources import assets as asset_source
-from rows import ASSETS, REGISTRY, REQUESTER, WETH, WETH_AGG, event, events, log, raw
+from rows import SEEN, ASSETS, REGISTRY, REQUESTER, WETH, WETH_AGG, event, events, log, raw
 
 NOW = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 A, B = "0x" + "0a" * 20, "0x" + "0b" * 20
@@ -151,7 +152,7 @@ def test_asset_configuration(spark):
     )
     found = sorted((r["symbol"], r["field"], r["problem"][:6]) for r in asset_source.asset_violations(frame).collect())
     assert found == [
-        ("X", "aggregator", "listed"), ("Y", "aggregator", "listed"), ("Y", "asset_id", "not a "), ("Z", "aggregator", "not a "),
+        ("X", "aggregator", "shared"), ("Y", "aggregator", "shared"), ("Y", "asset_id", "expect"), ("Z", "aggregator", "expect"),
     ]
     assert asset_source.asset_violations(asset_source.assets_frame(spark, ASSETS)).count() == 0
     assert [r["field"] for r in asset_source.asset_violations(frame.limit(0)).collect()] == ["assets"]
@@ -160,3 +161,58 @@ def test_asset_configuration(spark):
 def test_assets_from_json_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(f'[{{"symbol":"X","asset_id":"{WETH}","aggregator":"{A}"}}]')
     assert [tuple(r) for r in asset_source.read_assets(spark, str(tmp_path)).collect()] == [("X", WETH, A)]
+
+
+@pytest.mark.parametrize("kept", [3, 40, 50_000])
+def test_pages_of_any_order_equal_sorting(spark, monkeypatch, kept):
+    from datetime import timedelta
+
+    from logtable.operators import paging
+
+    monkeypatch.setattr(paging, "SORTED_ROWS", kept)
+    draw = random.Random(kept)
+    moments = [SEEN + timedelta(microseconds=draw.choice([0, 1, 10**12, i * 10**6])) for i in range(300)]
+    rows = [(draw.choice(moments[:4] + moments) if i % 9 else None, draw.choice(["", "a", "ab", "é", "\U0001f600", str(i), None])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "at timestamp, name string")
+    found = [(r["at"], r["name"]) for r in frame.collect()]
+    key = lambda r: (r[0] is not None, r[0].timestamp() if r[0] else 0, r[1] is not None, (r[1] or "").encode())
+    order = sorted(found, key=key, reverse=True)
+    for page in (Page(1, 7), Page(4, 50), Page(8, 50), Page(57, 7), Page(58, 7), Page(99, 50)):
+        rows = paging.ordered_page(frame, ["at", "name"], page).collect()
+        assert [(r["at"], r["name"]) for r in rows] == order[page.offset : page.offset + page.limit]
+
+
+def test_heartbeats_in_buckets_of_equal_size(spark):
+    """One day of one asset holds nine tenths of all rows; the result does not depend on the buckets."""
+    from datetime import timedelta
+
+    from logtable.operators.carry import in_equal_buckets
+
+    draw = random.Random(4)
+    at = lambda: SEEN + timedelta(seconds=draw.randint(0, 86_000) if draw.random() < 0.9 else draw.randint(0, 10**7))
+    onchain = spark.createDataFrame([("0xa", at(), float(i)) for i in range(600)], "asset_id string, written_at timestamp, price double")
+    aggregates = spark.createDataFrame([(draw.choice(["0xa", "0xb"]), at(), float(i)) for i in range(300)], "asset_id string, aggregated_at timestamp, median_price double")
+    schedule = spark.createDataFrame([("0xa", 60, 100), ("0xb", 60, 100)], "asset_id string, interval_sec int, deviation_bps int")
+    results = [
+        sorted(map(repr, prices.heartbeat_due(aggregates, onchain, schedule, rows_per_bucket=size).collect())) for size in (50, 10**6)
+    ]
+    assert results[0] == results[1] and len(results[0]) == 300
+    sizes = in_equal_buckets(onchain, ["written_at"], 50, "b").groupBy("b").count().collect()
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 200
+
+
+def test_configurations_good_blank_and_broken(spark):
+    from logtable.sources.assets import configured_assets, default_assets
+
+    texts = {
+        1: '[{"symbol":"A","asset_id":"0x1","aggregator":"0x2","more":1},{"symbol":null,"asset_id":5}]',
+        2: "", 3: None, 4: " \n\t", 5: "[{", 6: '{"symbol":"A"}', 7: "[]", 8: "[1, 2]", 9: '"x"',
+    }
+    rows = configured_assets(spark.createDataFrame(list(texts.items()), "config_id int, text string")).collect()
+    by_config = {}
+    for r in rows:
+        by_config.setdefault(r["config_id"], []).append((r["symbol"], r["asset_id"], r["aggregator"], r["corrupt"]))
+    assert sorted(by_config[1]) == [("", "5", "", None), ("A", "0x1", "0x2", None)]
+    standard = sorted((a["symbol"], a["asset_id"], a["aggregator"], None) for a in default_assets())
+    assert all(sorted(by_config[i]) == standard for i in (2, 3, 4))
+    assert all(by_config[i] == [(None, None, None, texts[i])] for i in (5, 6, 8, 9)) and 7 not in by_config

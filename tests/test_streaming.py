@@ -1,13 +1,16 @@
+import pytest
+
 from logtable.operators.decode import decoded_logs
 from logtable.operators.fanout import fan_out
 from logtable.operators.ingest import events_from_logs
 from logtable.operators.listing import EventFilter, Position
+from logtable.operators.requests import request_status
 from logtable.schemas import EVENT_COLUMNS
 from logtable.sources import event_table
 from logtable.sources.assets import assets_frame, default_assets
 from logtable.streaming import ingest, status, subscribe
 from pyspark.sql import functions as F
-from rows import ASSETS, REGISTRY, REQUESTER, WETH, event, events, log, positions, raw
+from rows import ASSETS, REGISTRY, REQUESTER, SEEN, WETH, event, events, log, positions, raw
 
 NEW_AGG, NEW_ASSET = "0x" + "11" * 20, "0x" + "22" * 32
 
@@ -58,36 +61,131 @@ def test_stream_equals_batch_and_survives_restarts(spark, tmp_path):
     assert stored(spark, table) == expected
     run(spark, incoming, table, checkpoint)
     assert stored(spark, table) == expected
-    run(spark, incoming, table, f"{folder}/second-checkpoint", writer="second", reorg_window=5)
+    run(spark, incoming, table, f"{folder}/second-checkpoint", writer="second")
     assert stored(spark, table) == expected
+    with pytest.raises(ValueError, match="writer name"):
+        run(spark, incoming, table, f"{folder}/lost-checkpoint")
+
+
+def subscriptions(spark):
+    return spark.createDataFrame([(1, [], None), (2, ["PRICE_REQUESTED"], WETH)], "sub_id int, kinds array<string>, asset_id string")
+
+
+def one_batch(spark, table, logs, batch, writer="w", **options):
+    """A batch as the stream would hand it over, without a stream."""
+    new = ingest.arrivals(raw(spark, *logs), REGISTRY)
+    ingest.ingest_batch(new, batch, table=table, writer=writer, assets=known_assets, **options)
 
 
 def test_the_same_batch_twice(spark, tmp_path):
-    table, logs = str(tmp_path / "t"), raw(spark, *made_logs())
-    options = {"table": table, "writer": "w", "assets": known_assets, "registry": REGISTRY}
-    ingest.ingest_batch(logs, 0, **options)
-    once = stored(spark, table)
-    ingest.ingest_batch(logs, 0, **options)
-    assert stored(spark, table) == once
-    ingest.ingest_batch(logs, 1, **options)
+    table, logs = str(tmp_path / "t"), made_logs()
+    one_batch(spark, table, logs, 0, subscriptions=subscriptions)
+    once, sent = stored(spark, table), sorted(map(repr, ingest.published(spark, table).collect()))
+    expected = fan_out(event_table.read_batches(spark, table).select(*EVENT_COLUMNS), subscriptions(spark))
+    assert sent == sorted(map(repr, expected.select(*ingest.published(spark, table).columns).collect()))
+    one_batch(spark, table, logs, 0, subscriptions=subscriptions)
     assert stored(spark, table) == once
+    assert sorted(map(repr, ingest.published(spark, table).collect())) == sent
+    feed = str(tmp_path / "feed")
+    ingest.start_feed(spark, table, feed, f"{feed}-cp", available_now=True).awaitTermination()
+    # published once more after a crash: other files with the same rows
+    one_batch(spark, table, logs, 0, subscriptions=subscriptions)
+    ingest.start_feed(spark, table, feed, f"{feed}-cp", available_now=True).awaitTermination()
+    assert spark.read.parquet(feed).count() == len(sent)
+    # another writer finds nothing new
+    one_batch(spark, table, logs, 0, writer="other", subscriptions=subscriptions)
+    assert stored(spark, table) == once and ingest.published(spark, table).count() == len(sent)
 
 
 def test_incomplete_first_delivery_gives_way_and_is_quarantined(spark, tmp_path):
     good = log("PriceRequested", 1, REQUESTER, seq=2)
     lacking = (1, *good[1:5], None, *good[6:])
     malformed = log("PriceRequested", 1, tx="0x" + "cc" * 32, seq=3)
-    logs = raw(spark, lacking, good, malformed)
-    batch = events_from_logs(logs, known_assets(spark), REGISTRY).select(*EVENT_COLUMNS)
+    logs = (lacking, good, malformed)
+    batch = events_from_logs(raw(spark, *logs), known_assets(spark), REGISTRY).select(*EVENT_COLUMNS)
     assert [r.block_hash for r in batch.collect()] == [good[5]]
-    assert [r.block_hash for r in events_from_logs(logs, None, REGISTRY).collect()] == [good[5]]
+    assert [r.block_hash for r in events_from_logs(raw(spark, *logs), None, REGISTRY).collect()] == [good[5]]
     table = str(tmp_path / "t")
-    ingest.ingest_batch(logs, 0, table=table, writer="w", assets=known_assets, registry=REGISTRY)
+    one_batch(spark, table, logs, 0)
     assert stored(spark, table) == sorted(map(repr, batch.collect()))
-    kept = spark.read.parquet(event_table.quarantine_path(table)).collect()
+    kept = ingest.read_quarantine(spark, table).collect()
     assert sorted((r.arrival_seq, r.reason) for r in kept) == [(1, "missing block_hash"), (3, "malformed")]
 
 
+def test_late_registrations_mend_what_they_rule(spark, tmp_path):
+    """Registrations arrive after the events between them; only folders with such events are written anew."""
+    table, later = str(tmp_path / "t"), "0x" + "33" * 32
+    tx = lambda i: "0x" + f"{i:064x}"
+    asked = [log("PriceRequested", i, REQUESTER, address=NEW_AGG, block=i, tx=tx(i), seq=i) for i in range(1, 9)]
+    known = [
+        log("AssetRegistered", asset, NEW_AGG, address=REGISTRY, block=block, index=0, tx=tx(100 + block), seq=50)
+        for asset, block in ((NEW_ASSET, 4), (later, 6))
+    ]
+    one_batch(spark, table, asked[:3], 0)
+    one_batch(spark, table, asked[3:], 1)
+    files = set(event_table.read_batches(spark, table).filter("batch = 0").inputFiles())
+    before = {f for f in files if "/batch=0/" in f}
+    one_batch(spark, table, known, 2)
+    expected = events_from_logs(raw(spark, *asked, *known), known_assets(spark), REGISTRY).select(*EVENT_COLUMNS)
+    assert stored(spark, table) == sorted(map(repr, expected.collect()))
+    assert {r["asset_id"] for r in event_table.read_batches(spark, table).filter("block_number = 8").collect()} == {later}
+    after = set(event_table.read_batches(spark, table).inputFiles())
+    assert before <= after
+    one_batch(spark, table, known, 2)
+    assert set(event_table.read_batches(spark, table).filter("batch < 2").inputFiles()) >= before
+
+
+def test_a_batch_opens_none_of_its_writers_folders(spark, tmp_path):
+    """A dozen batches; what the first ones stored is made unreadable, and nobody notices."""
+    table = tmp_path / "t"
+    tx = lambda i: "0x" + f"{i:064x}"
+    for batch in range(12):
+        if batch == 3:
+            for file in table.glob("writer=w/batch=*/kind=PRICE*/*.parquet"):
+                file.write_bytes(b"not a table")
+        one_batch(spark, str(table), [log("PriceRequested", batch, REQUESTER, block=batch, tx=tx(batch))], batch)
+    rows = event_table.read_batches(spark, str(table)).filter("batch > 2")
+    assert rows.count() == 9
+
+
+def test_seeds_are_stored_once_and_not_published(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for _ in range(2):
+        ingest.insert_seeds(spark, table, default_assets(), F.timestamp_seconds(F.lit(0)))
+        one_batch(spark, table, made_logs()[:5], 0, subscriptions=subscriptions)
+    rows = event_table.read_batches(spark, table)
+    assert rows.filter("writer = 'seeds'").count() == 10 and rows.count() == 15
+    assert ingest.published(spark, table).filter("kind = 'ASSET_REGISTERED'").count() == 0
+    more = [*default_assets(), {"symbol": "X", "asset_id": NEW_ASSET, "aggregator": NEW_AGG}]
+    ingest.insert_seeds(spark, table, more, F.timestamp_seconds(F.lit(0)))
+    assert event_table.read_batches(spark, table).filter("writer = 'seeds'").count() == 11
+
+
+def test_compacted_table_reads_alike_and_has_its_index(spark, tmp_path):
+    table, target = str(tmp_path / "t"), str(tmp_path / "c")
+    for batch, part in enumerate((made_logs()[:9], made_logs()[9:20], made_logs()[20:])):
+        one_batch(spark, table, part, batch, writer=f"w{batch}")
+    event_table.compact(spark, table, target)
+    read = event_table.read_events(spark, target)
+    assert sorted(map(repr, read.select(*EVENT_COLUMNS).collect())) == stored(spark, table)
+    assert len(read.inputFiles()) <= 3
+    assert event_table.events_of_request(spark, target, "9").count() == 1
+
+
+def test_files_opened_for_a_request_do_not_grow(spark, tmp_path):
+    opened = []
+    for size in (10, 60):
+        path = str(tmp_path / f"e{size}")
+        rows = events(spark, *(event(block=b, req=str(b)) for b in range(size)))
+        rows.repartitionByRange(size, "block_number").write.partitionBy("kind").parquet(path)
+        event_table.write_request_index(spark, path)
+        found = event_table.events_of_request(spark, path, " 007 ")
+        assert [r["block_number"] for r in found.collect()] == [7]
+        assert event_table.events_of_request(spark, path, "999").count() == 0
+        opened.append(len(found.inputFiles()))
+    assert opened == [1, 1]
+
+
 def drained(stream, folder):
     writing = stream.writeStream.format("parquet").option("path", f"{folder}/out")
     writing.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
@@ -101,15 +199,24 @@ def event_stream(spark, folder, *rows):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
 
 
-def test_stream_dedup(spark, tmp_path):
+def test_stream_dedup_keeps_first_arrivals(spark, tmp_path):
     folder = str(tmp_path)
-    for part in (made_logs()[:20], made_logs()[20:]):
+    again = log("PriceRequested", 1, REQUESTER, tx="0x" + "aa" * 32, seq=0)
+    first = [(seq, *again[1:]) for seq in (9, 3, 5)]
+    for part in (first + made_logs()[:20], [(1, *again[1:])] + made_logs()[20:]):
         arrive(spark, f"{folder}/in", part)
     decoded = decoded_logs(ingest.log_stream(spark, f"{folder}/in", 1), REGISTRY)
-    out = drained(ingest.unique_events(decoded), folder)
-    assert out.count() == out.select("tx_hash", "log_index").distinct().count() == 30
+
+    def store(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    writing = ingest.unique_events(decoded).writeStream.outputMode("update").foreachBatch(store)
+    writing.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    assert out.count() == out.select("tx_hash", "log_index").distinct().count() == 31
+    assert [r["arrival_seq"] for r in out.filter("tx_hash = '0x" + "aa" * 32 + "'").collect()] == [3]
     bounded = drained(ingest.unique_events_within(decoded, "1 hour"), f"{folder}/bounded")
-    assert bounded.count() == 30
+    assert bounded.count() == 31
 
 
 def test_replay_then_live(spark, tmp_path):
@@ -144,14 +251,30 @@ def test_live_fan_out_equals_batch(spark, tmp_path):
 
 
 def test_live_status(spark, tmp_path):
-    folder = str(tmp_path)
-    live = event_stream(spark, folder, event(block=1), event(block=2, req="8"), event("PRICE_FULFILLED", block=3, price="4"))
-    running = status.start_status_table(
-        status.live_request_status(live), f"{folder}/status", f"{folder}/cp", available_now=True
-    )
-    running.awaitTermination()
-    rows = {r["req_id"]: (r["status"], r["fulfilled_price"]) for r in status.read_status_table(spark, f"{folder}/status").collect()}
-    assert rows == {"7": ("FULFILLED", "4"), "8": ("PENDING", None)}
+    folder, table = str(tmp_path), str(tmp_path / "status")
+    rows = [event(block=1), event(block=2, req="8"), event("PRICE_FULFILLED", block=3, price="4"), event(block=4, req="8", asset=None)]
+    live = event_stream(spark, folder, *rows)
+    for writer in ("a", "b"):  # a fresh checkpoint brings old states again
+        status.start_status_table(live, table, f"{folder}/cp-{writer}", available_now=True, buckets=4).awaitTermination()
+    found = status.read_status_table(spark, table)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, request_status(events(spark, *rows)).select(*found.columns).collect()))
+    held = spark.read.parquet(table)
+    assert held.count() == 2 and held.select("bucket").distinct().count() <= 2
+
+
+def test_prices_shown_once_and_never_older(spark, tmp_path):
+    shape, folder = "asset_id string, median_price double, aggregated_at timestamp", str(tmp_path)
+    at = lambda hour: SEEN.replace(hour=hour)
+    known = spark.createDataFrame([("0xa", 1.0, at(1)), ("0xa", 2.0, at(2)), ("0xb", 9.0, at(9))], shape)
+    for part in ([("0xa", 3.0, at(4)), ("0xa", 3.0, at(4)), ("0xa", 1.5, at(1)), ("0xc", 1.0, at(1))], [("0xa", 2.5, at(3)), ("0xb", 8.0, at(10))]):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(f"{folder}/live")
+    live = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{folder}/live")
+    for _ in range(2):
+        subscribe.start_price_subscription(known, live, ["0xA", "0xb"], f"{folder}/p", f"{folder}/cp", available_now=True).awaitTermination()
+    shown = subscribe.read_price_subscription(spark, f"{folder}/p").collect()
+    assert sorted((r["batch"], r["asset_id"], r["median_price"]) for r in shown) == [
+        (-1, "0xa", 2.0), (-1, "0xb", 9.0), (0, "0xa", 3.0), (1, "0xb", 8.0),
+    ]
 
 
 def test_observed_counters(spark):
