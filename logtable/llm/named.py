@@ -78,9 +78,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token pieces, and the place of each piece in its sequence.
 
-    The digests are those of the ids that the packed sequences hold.
+    The digests are those of the ids in the written pieces.
     """
-    return packing.digested(packing.packed(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.digested(packing.written(table(spark, sf_dir, "documents"))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

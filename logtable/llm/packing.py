@@ -9,24 +9,27 @@ unpacked pieces fit its expanded gap more tightly. A pattern is used for as many
 Pieces find their place by their rank among those of their length. Ranks come from counters inside each
 tokenizing task and the tasks' counts, so no length is gathered or sorted anywhere.
 
-Defined cases: a null text is an empty one, which is the end token alone; white space, repeated rows and
-clashing columns are as they are; no documents give no rows; null ids are kept.
+Defined cases: a null text is an empty one, which is the end token alone; the string of a special token in a text
+is that token, as the tokenizer has it; very long texts are cut into many pieces, very long words are encoded
+like any other; white space, repeated rows and clashing columns are as they are; no documents give no rows; null
+ids are kept.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
-import re
-import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,66 +40,68 @@ from logtable.session import shared_dir
 CAPACITY = 1024
 END_TOKEN = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Words whose ids a task remembers; beyond it the memory starts anew.
-WORDS_KEPT = 800_000
-_SPACES = re.compile(r"\s\s")
-
-
-def _stem(word: str) -> int:
-    """How many letters stand before a tail of marks; 0 if the word is not so."""
-    stem = word.rstrip(string.punctuation)
-    return len(stem) if len(stem) < len(word) and stem.isalpha() else 0
+#: Texts with longer stretches without, or of, ASCII white space are left to the tokenizer itself.
+LONGEST_RUN = 1000
+#: At most so many (task, length) counts are broadcast; they are three numbers each.
+BROADCAST_COUNTS = 200_000
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as they are, the rest from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a byte-level BPE file as ranks, where its merges are in the order of their ids."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    cutter, model = held.get("pre_tokenizer") or {}, held["model"]
+    usual = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+    if held.get("normalizer") or not usual or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    letters = _byte_letters()
+    special = {t["content"] for t in held["added_tokens"]}
+    vocabulary = {word: i for word, i in model["vocab"].items() if word not in special}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = [vocabulary.get(word, -1) for word in merged]
+    if made != sorted(made) or len(set(made)) != len(made) or len(made) + 256 != len(vocabulary):
+        return None
+    ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items()}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit bytes: those of ``tokenizers`` with ``add_special_tokens=False``.
 
-    The tokenizer cuts a text at every single space or newline between other characters, so ids of such
-    words are looked up. A text with white space side by side is encoded as a whole.
+    Where a file's vocabulary can be read as ranks, the same ids are found by ranks, which takes half the time and
+    remembers nothing. Texts that hold an added token, or a very long word or gap, go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}  # words that begin a line
-        self.later: dict[str, bytes] = {}  # words behind a space
-        self.newline = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(known))
-        if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
-            new = list(words)
-        # letters and the marks behind them are tokens of their own, and fewer texts apart
-        cuts = [_stem(w) for w in new]
-        parts = list({part for w, cut in zip(new, cuts) for part in ((before + w[:cut], w[cut:]) if cut else (before + w,))})
-        ids = dict(zip(parts, self._encode(parts)))
-        known.update(
-            (w, ids[before + w[:cut]] + ids[w[cut:]] if cut else ids[before + w]) for w, cut in zip(new, cuts)
-        )
+        self.ranked = _ranked(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _is_plain(self, text: str) -> bool:
+        if self.ranked is None or any(a in text for a in self.added):
+            return False
+        if len(text) <= LONGEST_RUN // 4:
+            return True
+        letters = np.frombuffer(text.encode(), np.uint8)
+        space = (letters == 32) | ((letters >= 9) & (letters <= 13))
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return bool(np.diff(np.concatenate([[-1], edges, [len(letters) - 1]])).max() <= LONGEST_RUN)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_SPACES.search(t)) for t in texts]
-        lines = [None if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, whole)]
-        first, later = set(), set()
-        for words in (words for text in lines if text for words in text):
-            first.add(words[0])
-            later.update(words[1:])
-        self._learn(self.first, first, "")
-        self._learn(self.later, later, " ")
-        rest = iter(self._encode([t for t, w in zip(texts, whole) if w]))
-        at_first, at_later = self.first.__getitem__, self.later.__getitem__
+        plain = [self._is_plain(t) for t in texts]
+        others = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        rest = iter(others)
         return [
-            next(rest) if text is None else self.newline.join(
-                [b"".join([at_first(words[0]), *map(at_later, words[1:])]) for words in text]
-            )
-            for text in lines
-        ]
+            np.array(self.ranked.encode_ordinary(t) if p else next(rest).ids, "<u4").tobytes() for t, p in zip(texts, plain)
+        ]
 
 
 @cache
@@ -227,41 +232,41 @@ def _slots(found: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ..
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``, which must be a written table."""
-    per_task = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
+    """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``, which must be made of a written table.
+
+    Of wide rows nothing but their length and rank is looked at, and they stay where they are as long as the counts
+    of all tasks are few; beyond that they are dealt once, by task and length, without being sorted.
+    """
+    spark, path = cut.sparkSession, shared_dir(cut.sparkSession, "piece-counts")
+    cut.groupBy("part", "length").agg(F.count("*").alias("n")).write.parquet(path)
+    per_task = spark.read.parquet(path)
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     slots = _slots(patterns(counts, capacity))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_task.select(
-        F.col("part"), F.col("length"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
-    )
+    before = per_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if per_task.count() <= BROADCAST_COUNTS else before.hint("shuffle_hash")
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def seat(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for n in np.unique(length):
+            rows = np.flatnonzero(length == n)
+            first, start, place = slots[int(n)]
+            run = np.searchsorted(first, rank[rows], "right") - 1
+            sequence[rows] = start[run] + rank[rows] - first[run]
+            offset[rows] = place[run]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
     kept = [c for c in cut.columns if c not in ("part", "place")]
-    ranked = cut.join(before, ["part", "length"]).select(*kept, (F.col("before") + F.col("place")).alias("rank"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*kept).schema)
+    ranked = cut.join(before, ["part", "length"])
+    return ranked.select(*kept, seat("length", F.col("before") + F.col("place")).alias("seat")).select(*kept, "seat.*")
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for n in np.unique(length):
-                rows = np.flatnonzero(length == n)
-                first, start, place = slots[int(n)]
-                run = np.searchsorted(first, rank[rows], "right") - 1
-                sequence[rows] = start[run] + rank[rows] - first[run]
-                offset[rows] = place[run]
-            yield pa.record_batch(
-                [*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)],
-                names=[*kept, "sequence_id", "offset"],
-            )
-
-    return ranked.mapInArrow(seat, f"{shape}, sequence_id bigint, offset bigint")
-
-
-def digested(found: DataFrame) -> DataFrame:
-    """Packed pieces with ``ids_crc32`` counted from their ``ids``, which are left out."""
-    kept = [c for c in found.columns if c != "ids"]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.select(kept).schema)
+
+def digested(cut: DataFrame) -> DataFrame:
+    """Pieces with ``ids_crc32`` counted from their ``ids``, which are left out."""
+    kept = [c for c in cut.columns if c != "ids"]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(kept).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,11 +276,16 @@ def digested(found: DataFrame) -> DataFrame:
             digests = pa.array([zlib.crc32(values[a:b]) for a, b in zip(stops, stops[1:])], pa.int64())
             yield pa.record_batch([digests if c == "ids_crc32" else batch.column(c) for c in kept], names=kept)
 
-    return found.mapInArrow(run, shape)
+    return cut.mapInArrow(run, shape)
 
 
-def packed(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, text`` -> packed pieces."""
+def written(docs: DataFrame, **options) -> DataFrame:
+    """``pieces`` as a table."""
     path = shared_dir(docs.sparkSession, "pieces")
     pieces(docs, **options).write.parquet(path)
-    return pack(docs.sparkSession.read.parquet(path), options.get("capacity", CAPACITY))
+    return docs.sparkSession.read.parquet(path)
+
+
+def packed(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, text`` -> packed pieces."""
+    return pack(written(docs, **options), options.get("capacity", CAPACITY))

@@ -18,7 +18,6 @@ SHAPE = "doc_id bigint, text string"
 def checked(found, texts):
     """Every piece is there once, in place; returns the lengths by sequence."""
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     of_doc, of_sequence = defaultdict(list), defaultdict(list)
     for r in found:
         of_doc[r.doc_id].append(r)
@@ -42,7 +41,7 @@ def checked(found, texts):
 
 
 def test_odd_texts(spark):
-    texts = {1: None, 2: "", 3: "  two  spaces\n\n", 4: "a\n b", 5: "word " * 3000, 6: "é\U0001f600\x85 z\t", None: "no id", 7: "<|endoftext|>", 8: "x" * 200_000}
+    texts = {1: None, 2: "", 3: "  two  spaces\n\n", 4: "a\n b", 5: "word " * 3000, 6: "é\U0001f600\x85 z\t", None: "no id", 7: "<|endoftext|>", 9: "a <|endoftext|>b<|endoftext|>", 10: "<|endof text|>", 8: "x" * 200_000}
     frame = spark.createDataFrame(list(texts.items()), SHAPE)
     for name in ("piece", "part", "place", "length", "rank", "before"):
         frame = frame.withColumn(name, F.lit("x"))
@@ -71,13 +70,24 @@ def test_pipeline_returns_the_ids(spark):
     assert {r.doc_id: len(r.ids) for r in rows} == {r.doc_id: r.length for r in rows} and len(rows) == 2
 
 
-def test_encoder_forgets_and_still_agrees(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS_KEPT", 5)
-    encoder = packing.Encoder(packing.TOKENIZER)
-    draw = random.Random(1)
-    texts = ["".join(draw.choices(["a", "Bc", "'s", " ", " ", "\n", ",", "é", "\t", "12"], k=40)) for _ in range(300)]
-    plain = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+@pytest.mark.parametrize("longest", [5, 1000])
+def test_both_ways_of_encoding_give_the_tokenizers_ids(monkeypatch, longest):
+    monkeypatch.setattr(packing, "LONGEST_RUN", longest)
+    encoder, untouched = packing.Encoder(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    draw = random.Random(longest)
+    parts = ["a", "Bc", "'s", "'LL", " ", " ", "  ", "\n", "\r\n", ",", "...", "é", "字", "\U0001f600", "\t", "12", "٣", "\x85", "\u2028", "\x00", "<|endoftext|>", "<|endof"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 60))) for _ in range(3000)]
+    texts += ["x" * 5000, " " * 5000, "ab " * 4000, "a" * 999 + " " + "b" * 1001]
+    plain = [np.array(e.ids, "<u4").tobytes() for e in untouched.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts) == plain
+    assert {encoder._is_plain(t) for t in texts} == {True, False}
+
+
+def test_many_counts_are_joined_without_broadcast(spark, monkeypatch):
+    texts = {i: "word " * (i % 40) for i in range(200)}
+    frame = spark.createDataFrame(list(texts.items()), SHAPE).repartition(5)
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    checked(packing.packed(frame).collect(), texts)
 
 
 @pytest.mark.parametrize("seed", range(4))
