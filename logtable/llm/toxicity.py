@@ -1,22 +1,22 @@
 """Toxic passages: maximum-scoring segments over token log-odds, judged by extreme-value statistics.
 
 Tokens are words and, marked with a star, their first letters (``PREFIXES``), for words that inflect. A word
-scores what the highest of its tokens scores.
+scores the log-odds of that of its tokens which is most significant, for or against; words without a significant
+token share the log-odds of all such words together.
 
 Fitting, on a bounded sample of labelled documents (``TRAIN_DOCS``): how many toxic and other documents hold
-each token, in half the sample, gives log-odds under an informative Dirichlet prior; tokens whose log-odds
-are significant enter the lexicon with that score, a word without such a token costs ``DRIFT``. The Karlin-Altschul
-lambda solves sum(p * exp(lambda * score)) = 1 over the tokens of other documents; K follows from their
-largest segments. A logistic curve over the evidence of the other half gives probabilities.
-
-Scanning: the linear-time algorithm for all maximal scoring segments runs over the lexicon's tokens, with the
-tokens between them as one cost. Segments with an expected number of chance equals of at most ``MAX_CHANCE``
-are passages; a document's evidence is the sum of their normalised scores, lambda * S - ln(K * n).
-
-Defined cases: a null or empty text has no passages and the score of no evidence; without labels, or with
-labels of one kind, no token is toxic and the score is the share of toxic labels (0 without any); of
-contradicting labels for one id, toxic wins; null ids are scored and not learned from. Extra columns are
-ignored by ``scored`` and kept by ``without_toxic``.
+each token, in half the sample, gives log-odds under an informative Dirichlet prior, positive and negative ones. The
+Karlin-Altschul lambda solves sum(p * exp(lambda * score)) = 1 over the words of other documents, and K is the most
+likely one given the largest segment of each. A logistic curve over the evidence of the other half gives probabilities.
+
+Scanning: the linear-time algorithm for all maximal scoring segments runs over every word's score. Segments with
+an expected number of chance equals of at most ``MAX_CHANCE`` are passages; a document's evidence is the sum of
+their normalised scores, lambda * S - ln(K * n).
+
+Defined cases: a null or empty text has no passages and the score of no evidence; very long texts are scanned
+whole; without labels, or with labels of one kind, no token is toxic and the score is the share of toxic labels
+(0 without any); of contradicting labels for one id, toxic wins; null ids are scored and not learned from. Extra
+columns are ignored by ``scored`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,10 @@ from logtable.session import shared_dir
 
 #: About so many labelled documents are learned from, never more than twice as many.
 TRAIN_DOCS = 20_000
-#: At most so many tokens, the most significant ones, make the lexicon.
-LEXICON = 20_000
-MIN_Z = 3.0
-MIN_TOXIC = 4
-DRIFT = 0.05
+#: A token speaks for itself if its log-odds are so many standard errors from none.
+MIN_Z = 2.5
+#: The mean score of a word in other documents is at most this, as the statistics need.
+MEAN_AT_MOST = -0.01
 MAX_CHANCE = 1.0
 PREFIXES = (4, 5)
 #: Words whose score a task remembers; beyond it the memory starts anew.
@@ -52,7 +51,8 @@ PASSAGES = "array<struct<start:int,end:int,score:double>>"
 
 @dataclass(frozen=True)
 class Model:
-    scores: dict[str, float]
+    scores: dict[str, tuple[float, float]]  # token: how significant, log-odds
+    rest: float  # the score of words without such a token
     rate: float  # lambda
     space: float  # K
     intercept: float
@@ -60,18 +60,17 @@ class Model:
     memory: dict[str, float] = field(default_factory=dict, compare=False)  # each task's own
 
 
-def segments(places: list[int], gains: list[float], drift: float = DRIFT) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments: (score, first, last) as indices into ``places``.
-
-    ``places`` are the positions of tokens that score ``gains``; tokens between them cost ``drift`` each.
-    """
+def segments(scores: list[float]) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments: (score, first, last) as indices into ``scores``."""
     # candidates: total before, total after, first, last; link: the nearest candidate before with a smaller total
     found: list[tuple[float, float, int, int]] = []
     link: list[int] = []
-    total, at = 0.0, -1
-    for i, (place, gain) in enumerate(zip(places, gains)):
-        low = total - drift * (place - at - 1)
-        total, at = low + gain, place
+    total = 0.0
+    for i, score in enumerate(scores):
+        low = total
+        total += score
+        if score <= 0:
+            continue
         high, first = total, i
         while True:
             j = len(found) - 1
@@ -103,27 +102,26 @@ def _scores_of(model: Model, words: list[str]) -> dict[str, float]:
         known.clear()
         new = set(words)
     for word in new:
-        known[word] = max(model.scores.get(t, 0.0) for t in tokens(word))
+        known[word] = max((model.scores[t] for t in tokens(word) if t in model.scores), default=(0.0, model.rest))[1]
     return known
 
 
 def evidence(text: str | None, model: Model, spans: bool = False) -> tuple[float, list[tuple[int, int, float]]]:
     """Normalised score summed over the significant passages, and these (code points, end exclusive)."""
     words = words_of(text)
-    known = _scores_of(model, words)
-    places = [i for i, w in enumerate(words) if known[w]]
-    if not places:
+    if not words or not model.scores:
         return 0.0, []
+    known = _scores_of(model, words)
     chance = math.log(max(model.space * len(words), 1e-9))
     out, passages, ends = 0.0, [], None
-    for score, first, last in segments(places, [known[words[i]] for i in places]):
+    for score, first, last in segments([known[w] for w in words]):
         normal = model.rate * score - chance
         if normal < -math.log(MAX_CHANCE):
             continue
         out += normal
         if spans:
             ends = ends or _ends(text, words)
-            passages.append((ends[places[first]][0], ends[places[last]][1], score))
+            passages.append((ends[first][0], ends[last][1], score))
     return out, passages
 
 
@@ -138,20 +136,15 @@ def _ends(text: str, words: list[str]) -> list[tuple[int, int]]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) -> token, toxic and other documents that hold it, all its places in others."""
-    held, other, uses = Counter(), Counter(), Counter()
+    """(text, toxic) -> token, toxic and other documents that hold it."""
+    held, other = Counter(), Counter()
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = Counter(words_of(text))
-            parts = [(t, n) for w, n in words.items() for t in tokens(w)]
-            (held if toxic else other).update({t for t, _ in parts})
-            if not toxic:
-                for t, n in parts:
-                    uses[t] += n
+            (held if toxic else other).update({t for w in set(words_of(text)) for t in tokens(w)})
     for some in _parts(sorted(held.keys() | other.keys()), 50_000):
         yield pa.record_batch(
-            [pa.array(some), *(pa.array([c[w] for w in some], pa.int64()) for c in (held, other, uses))],
-            names=["token", "toxic", "other", "uses"],
+            [pa.array(some), *(pa.array([c[w] for w in some], pa.int64()) for c in (held, other))],
+            names=["token", "toxic", "other"],
         )
 
 
@@ -160,20 +153,20 @@ def _parts(items: list, size: int) -> Iterator[list]:
         yield items[at : at + size]
 
 
-def _log_odds(toxic: Column, other: Column, n_toxic: int, n_other: int) -> tuple[Column, Column]:
+def _log_odds(toxic: Column, other: Column, all_toxic: int, all_other: int) -> tuple[Column, Column]:
     """Log-odds of a token between the classes and their z-score. The prior weighs as much as the toxic
-    documents and spreads over tokens as all documents do."""
-    prior = n_toxic * (toxic + other) / F.lit(float(n_toxic + n_other))
+    class and spreads over tokens as both classes do."""
+    prior = (toxic + other) * (all_toxic / (all_toxic + all_other))
     a, b = toxic + prior, other + prior
-    delta = F.log(a / (2.0 * n_toxic + 1 - a)) - F.log(b / (float(n_other + n_toxic) + 1 - b))
+    delta = F.log(a / (2 * all_toxic + 1 - a)) - F.log(b / (all_other + all_toxic + 1 - b))
     return delta, delta / F.sqrt(1 / a + 1 / b)
 
 
-def _rate(scores: np.ndarray, weights: np.ndarray, rest: float) -> float:
-    """Lambda: the positive root of sum(p * exp(lambda * score)) = 1; ``rest`` tokens cost the drift."""
-    p, q = weights / (weights.sum() + rest), rest / (weights.sum() + rest)
+def _rate(scores: np.ndarray, weights: np.ndarray) -> float:
+    """Lambda: the positive root of sum(p * exp(lambda * score)) = 1."""
+    p = weights / weights.sum()
     low, high = 0.0, 1.0
-    excess = lambda x: float((p * np.exp(np.minimum(x * scores, 600))).sum() + q * math.exp(-x * DRIFT) - 1)
+    excess = lambda x: float((p * np.exp(np.minimum(x * scores, 600))).sum() - 1)
     while excess(high) < 0 and high < 100:
         low, high = high, high * 2
     for _ in range(60):
@@ -217,32 +210,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     all_toxic, all_rows = sum(n for (_, t), n in size.items() if t), sum(size.values())
     share = min(max(all_toxic / all_rows, 1e-6), 1 - 1e-6) if all_rows else 0.0
     if not n_toxic or not n_other:
-        return Model({}, 1.0, 1.0, math.log(share / (1 - share)) if share else -math.inf, 0.0)
+        return Model({}, 0.0, 1.0, 1.0, math.log(share / (1 - share)) if share else -math.inf, 0.0)
     sample.filter("words").select("text", "toxic").mapInArrow(
-        _counts, "token string, toxic bigint, other bigint, uses bigint"
-    ).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "uses"))).write.parquet(f"{path}/tokens")
+        _counts, "token string, toxic bigint, other bigint"
+    ).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("toxic", "other"))).write.parquet(f"{path}/tokens")
     counted = spark.read.parquet(f"{path}/tokens")
-    delta, z = _log_odds(F.col("toxic"), F.col("other"), n_toxic, n_other)
-    scored_ = counted.select("token", "toxic", "uses", delta.alias("score"), z.alias("z"))
-    lexicon = (
-        scored_.filter((F.col("z") >= MIN_Z) & (F.col("toxic") >= MIN_TOXIC) & (F.col("score") > DRIFT))
-        .orderBy(F.col("z").desc(), "token").limit(LEXICON).collect()
-    )
-    places = counted.agg(F.sum("uses")).first()[0] or 0
-    if not lexicon:
-        return Model({}, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
-    scores = {r["token"]: r["score"] - DRIFT for r in lexicon}
-    # a token never seen in other documents may still occur there: half a use
-    uses = np.array([r["uses"] + 0.5 for r in lexicon])
-    rate = _rate(np.array(list(scores.values())), uses, max(places - uses.sum(), 1.0))
-    rough = Model(scores, rate, 1.0, 0.0, 1.0)
-    space = _space(sample.filter("words and toxic = 0"), rough)
-    model = Model(scores, rate, space, 0.0, 1.0)
+    is_word = ~F.endswith("token", F.lit("*"))
+    all_ = counted.filter(is_word).agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
+    if not all_["toxic"] or not all_["other"]:
+        return Model({}, 0.0, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
+    # words and their starts alike are counted against all words
+    delta, z = _log_odds(F.col("toxic").cast("double"), F.col("other").cast("double"), all_["toxic"], all_["other"])
+    judged = counted.select("*", delta.alias("score"), z.alias("z"))
+    speaks = F.abs("z") >= MIN_Z
+    # significant tokens of a sample of bounded size
+    scores = {r["token"]: (abs(r["z"]), r["score"]) for r in judged.filter(speaks).select("token", "score", "z").collect()}
+    pooled = judged.filter(is_word & ~speaks).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "other")))
+    rest = pooled.select(delta.alias("score")).first()["score"] or 0.0
+    if not any(score > 0 for _, score in scores.values()):
+        return Model({}, 0.0, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
+    others = sample.filter("words and toxic = 0")
+    found = _score_counts(others, Model(scores, rest, 1.0, 1.0, 0.0, 1.0))
+    values, weights = np.array(list(found)), np.array(list(found.values()), float)
+    # log-odds favour the other class on average over its words; picking tokens by significance may shift that
+    shift = max(0.0, float(values @ weights / weights.sum()) - MEAN_AT_MOST)
+    scores, rest = {t: (strength, score - shift) for t, (strength, score) in scores.items()}, rest - shift
+    top = max(score for _, score in scores.values())
+    if top <= 0:
+        return Model({}, 0.0, 1.0, 1.0, math.log(share / (1 - share)), 0.0)
+    # a toxic word never seen in other documents may still occur there: half a use
+    rate = _rate(np.append(values - shift, top), np.append(weights, 0.5))
+    rough = Model(scores, rest, rate, 1.0, 0.0, 1.0)
+    model = Model(scores, rest, rate, _space(others, rough), 0.0, 1.0)
     held = _evidences(sample.filter("not words"), model)
     y = held["toxic"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(scores, rate, space, math.log(share / (1 - share)), 1.0)
-    return Model(scores, rate, space, *_logistic(_scale(held["sum"].to_numpy(float)), y))
+        return replace(model, intercept=math.log(share / (1 - share)))
+    intercept, slope = _logistic(_scale(held["sum"].to_numpy(float)), y)
+    return replace(model, intercept=intercept, slope=slope)
 
 
 def _evidences(sample: DataFrame, model: Model):
@@ -254,22 +259,37 @@ def _evidences(sample: DataFrame, model: Model):
     return sample.select("text", "toxic").mapInArrow(run, "sum double, toxic int").toPandas()
 
 
+def _score_counts(others: DataFrame, model: Model) -> dict[float, int]:
+    """How many words of other documents score how much, to a thousandth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                known = _scores_of(model, words)
+                counts.update(round(1000 * known[w]) for w in words)
+        yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["score", "n"])
+
+    found = others.select("text").mapInArrow(run, "score bigint, n bigint").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    return {r["score"] / 1000: r["n"] for r in found} or {-1.0: 1}
+
+
 def _space(others: DataFrame, model: Model) -> float:
-    """K of the extreme-value law: how often a clean document's largest segment reaches a token's score."""
-    least = min(model.scores.values())
+    """K of the extreme-value law: the most likely one given the largest segment of each other document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = length = 0
+        docs, mass = 0, 0.0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 known = _scores_of(model, words)
-                hit, length = hit + any(known[w] for w in words), length + len(words)
-        yield pa.record_batch([pa.array([hit], pa.int64()), pa.array([length], pa.int64())], names=["hit", "length"])
+                largest = max((s for s, _, _ in segments([known[w] for w in words])), default=0.0)
+                docs, mass = docs + bool(words), mass + len(words) * math.exp(-min(model.rate * largest, 700))
+        yield pa.record_batch([pa.array([docs], pa.int64()), pa.array([mass], pa.float64())], names=["docs", "mass"])
 
-    hit, length = others.select("text").mapInArrow(run, "hit bigint, length bigint").agg(F.sum("hit"), F.sum("length")).first()
-    # E = K * n * exp(-lambda * S), so K = hits / (tokens * exp(-lambda * S)), with half a hit for none
-    return min(1.0, max(1e-6, ((hit or 0) + 0.5) / max(length or 0, 1) * math.exp(min(50.0, model.rate * least))))
+    docs, mass = others.select("text").mapInArrow(run, "docs bigint, mass double").agg(F.sum("docs"), F.sum("mass")).first()
+    return min(1.0, max(1e-6, (docs or 0) / mass)) if mass else 1.0
 
 
 def probability(sums: float, model: Model) -> float:

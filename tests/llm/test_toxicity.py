@@ -28,23 +28,23 @@ def plain_segments(scores):
 @pytest.mark.parametrize("seed", range(30))
 def test_segments_are_the_maximal_ones(seed):
     draw = random.Random(seed)
-    scores = [draw.uniform(0.3, 4) if draw.random() < 0.3 else -0.7 for _ in range(25)]
-    places = [i for i, s in enumerate(scores) if s > 0]
-    found = toxicity.segments(places, [scores[i] for i in places], 0.7)
+    scores = [draw.uniform(0.3, 4) if draw.random() < 0.3 else -draw.uniform(0, 1.4) for _ in range(25)]
+    found = toxicity.segments(scores)
     expect = plain_segments(scores)
-    assert [(places[a], places[b] + 1) for _, a, b in found] == [(a, b) for _, a, b in expect]
+    assert [(a, b + 1) for _, a, b in found] == [(a, b) for _, a, b in expect]
     assert [s for s, _, _ in found] == pytest.approx([s for s, _, _ in expect])
 
 
 def test_many_segments_in_linear_time():
     n = 200_000
-    assert len(toxicity.segments(list(range(0, 200 * n, 200)), [1.0] * n)) == n
-    assert len(toxicity.segments(list(range(n)), [1.0 + 1e-6 * i for i in range(n)])) == 1
+    assert len(toxicity.segments([1.0, -9.0] * n)) == n
+    assert len(toxicity.segments([1.0 + 1e-6 * i for i in range(n)])) == 1
 
 
 def test_passages_are_places_in_the_text():
-    model = toxicity.Model({"idiot": 4.0, "lowe*": 4.0}, 2.3, 0.01, -5.0, 3.0)
-    text = "İİ fine " * 3 + "you IDIOT, you loweich! " + "fine words " * 300 + "idiot"
+    scores = {"idiot": (9.0, 4.0), "lowe*": (9.0, 4.0), "lowel": (12.0, -3.0), "words": (5.0, -0.2)}
+    model = toxicity.Model(scores, -0.05, 2.3, 0.01, -5.0, 3.0)
+    text = "İİ fine " * 3 + "you IDIOT, you loweich! lowel " + "fine words " * 300 + "idiot"
     sums, found = toxicity.evidence(text, model, True)
     assert [text[a:b] for a, b, _ in found] == ["IDIOT, you loweich", "idiot"] and sums > 0
     assert toxicity.probability(sums, model) > 0.5 > toxicity.probability(0.0, model)
@@ -94,10 +94,20 @@ def test_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), odd)).collect() == []
 
 
-def test_query_on_held_out_labels(spark):
-    folder = "/root/testdata/sf0.1"
+def test_log_odds_of_both_signs_and_a_negative_mean(spark):
+    rows, labels = made(600, seed=2)
+    # a word of clean documents only, and one that all share
+    rows = [(i, text + (" plain" if i % 7 else "") + " common") for i, text in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert model.scores["nasty"][1] > 1 and model.scores["plain"][1] < -0.5 and model.rest < 0 < model.rate
+    clean = [model.scores.get(t, (0, model.rest))[1] for i, text in rows if i % 7 for t in text.split()]
+    assert sum(clean) < 0
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.1", "/root/testdata/check_s"])
+def test_query_on_held_out_labels(spark, folder):
     found = named.op9_toxicity(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     held = found.join(labels, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in held}
-    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    assert n[1, 1] >= 0.88 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.012 * n[0, 0]
