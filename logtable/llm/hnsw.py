@@ -10,7 +10,7 @@ merged; scores are then exact inner products in double precision, added in order
 Equal vectors of a shard are one node with all their ids, so a large group of copies neither crowds the
 graph nor loses a member.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; only
+Defined cases: of equal scores the smaller ids come first, among all that the search has found; vectors that are null, empty, zero or hold null or non-finite components take no part; only
 vectors of the query's length are candidates; every row with another id is a candidate, repeated rows each.
 An empty table gives no rows. Extra columns are ignored. The graph depends on the order of rows in their
 file only, so reruns agree.
@@ -150,16 +150,18 @@ def search(index: Arrays, block: Arrays, k: int) -> tuple[np.ndarray, np.ndarray
             best = _beam(nodes, layers[layer], query, at, max(SEARCH_BEAM, 4 * k) if layer == 0 else 1, seen, stamp)
             at = np.array([n for _, n in best])
         exact = in_order(nodes[at], query)
-        left = k
-        for i in np.argsort(-exact, kind="stable"):
+        left, last = k, -np.inf
+        # of equal scores, the node with the smallest id first, and all of them: their ids may interleave
+        for i in np.lexsort((ids[first[at]], -exact)):
+            if left <= 0 and exact[i] < last:
+                break
+            last = exact[i]
             # ids of a node ascend, so later ones than k others can't be among the k
             own = ids[first[at[i]] : first[at[i] + 1]]
             own = own[own != query_id][:k]
             for out, part in zip(found, (np.full(len(own), query_id), own, np.full(len(own), exact[i]))):
                 out.append(part)
             left -= len(own)
-            if left <= 0:
-                break
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return tuple(np.concatenate(x) if x else e for x, e in zip(found, empty))
 

@@ -116,3 +116,13 @@ def test_odd_rows(spark, search):
     none = spark.createDataFrame([], SHAPE)
     empty = shards.clean_vectors(none, "vec_id", "embedding")
     assert search(empty, empty, 5).collect() == []
+
+
+def test_graph_ties_go_to_smaller_ids(spark):
+    """Different vectors with one inner product: the last component alone tells them apart."""
+    draw = np.random.default_rng(4)
+    rows = [(int(i), [1.0, 0.0, float(x)]) for i, x in zip(draw.permutation(60), draw.normal(size=60))]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, vector array<double>").repartition(2)
+    asked = spark.createDataFrame([(1000, [1.0, 0.0, 0.0])], "vec_id bigint, vector array<double>")
+    found = sorted(hnsw.nearest(vectors, asked, 20).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in found] == list(range(20))
