@@ -335,8 +335,9 @@ def statements() -> dict[str, str]:
         "watch_ownership": f"""{adm} SELECT address, tx_hash, log_index, argument_1 AS previous_owner, argument_2 AS new_owner FROM admin WHERE event = 'OwnershipTransferred' AND block_number >= 101
             UNION ALL SELECT emitter, tx_hash, log_index, requester, emitter FROM arrivals WHERE event_type = 'view' AND block_number >= 101""",
     }
-    for name in ("streaming_ingest", "streaming_resume", "late_registrations", "compacted_table"):
+    for name in ("streaming_ingest", "streaming_resume", "compacted_table"):
         sql[name] = flat
+    sql["late_registrations"] = f"{evt} SELECT {_FLAT.removesuffix(', observed_at_us')} FROM evt"
     sql["ingest_publish"], sql["ingest_seeds"] = sent, sql["seed_assets"]
     sql["ingest_counted"], sql["stream_quarantine"] = sql["events_seen"], sql["decode_errors"]
     sql["streaming_fan_out"] = sent
