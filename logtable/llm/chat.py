@@ -11,17 +11,21 @@ Every control string begins with "<|". In roles and texts a backslash is doubled
 Defined cases: a null or empty text is an empty text; a null role is an empty role; turns of the same
 number (repeated rows, null numbers first) are ordered by role and text and all kept; rows of a null
 ``conv_id`` are one conversation; no rows give no conversations. Other columns are ignored.
-A conversation is one value, so it must fit a row, as its output must; nothing else is gathered.
+A conversation is one value, so it must fit a row, as its output must; nothing else is gathered. Work grows
+with its length times the logarithm of its turns, whatever their roles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
-BLOCKS = "array<struct<role:string,texts:array<string>>>"
 SPANS = "array<struct<start:int,length:int>>"
+#: Code points of the pieces in which loss texts are looked up.
+PIECE = 256
 
 
 def escaped(text: Column) -> Column:
@@ -32,51 +36,59 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def _merged(turns: Column) -> Column:
-    """Blocks of adjacent turns with one role."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it in every step of a loop."""
+    return F.transform(F.array(value), body)[0]
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        alone = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-        before = F.slice(blocks, F.lit(1), F.size(blocks) - 1)
-        return F.when(same, F.concat(before, F.array(longer))).otherwise(F.concat(blocks, alone)).cast(BLOCKS)
 
-    return F.aggregate(turns, F.array().cast(BLOCKS), add)
+def _begins(turns: Column, i: Column) -> Column:
+    """Whether turn ``i`` (from 0) begins a block: the one before is missing or has another role."""
+    return F.coalesce(F.get(turns, i - 1)["role"] != F.get(turns, i)["role"], F.lit(True))
+
+
+def _merged(turns: Column) -> Column:
+    """Blocks of adjacent turns with one role: an array of arrays of turns, cut where blocks begin."""
+    places = F.filter(F.transform(turns, lambda _, i: i), lambda i: _begins(turns, i))
+    return _let(
+        places,
+        lambda starts: F.transform(
+            starts,
+            lambda at, n: F.slice(turns, at + 1, F.coalesce(F.get(starts, n + 1), F.size(turns)) - at),
+        ),
+    )
 
 
 def _block_text(block: Column) -> Column:
-    texts = F.array_join(F.transform(block["texts"], escaped), NEXT)
-    return F.concat(F.lit(START), escaped(block["role"]), F.lit(SEP), texts, F.lit(END))
+    texts = F.array_join(F.transform(block, lambda t: escaped(t["text"])), NEXT)
+    return F.concat(F.lit(START), escaped(F.get(block, F.lit(0))["role"]), F.lit(SEP), texts, F.lit(END))
+
+
+def _running_sums(numbers: Column) -> Column:
+    """Inclusive running sums: every pass adds the number twice as far back, so there are log2(size) passes."""
+    steps = F.filter(F.array(*(F.lit(1 << n) for n in range(31))), lambda step: step < F.size(numbers))
+    return F.aggregate(
+        steps,
+        numbers,
+        lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))),
+    )
 
 
-def _loss_spans(blocks: Column, loss_role: str) -> Column:
+def _loss_spans(turns: Column, loss_role: str) -> Column:
     """Start (from 0) and length, in code points of the formatted text, of every text of ``loss_role``."""
-    state = f"struct<at:int,spans:{SPANS}>"
-
-    def add(acc: Column, block: Column) -> Column:
-        head = F.length(escaped(block["role"])) + len(START) + len(SEP)
-        lengths = F.transform(block["texts"], lambda t: F.length(escaped(t)))
-
-        def place(inner: Column, length: Column) -> Column:
-            span = F.array(F.struct(inner["at"].alias("start"), length.alias("length")))
-            return F.struct(
-                (inner["at"] + length + len(NEXT)).alias("at"),
-                F.when(block["role"] == loss_role, F.concat(inner["spans"], span)).otherwise(inner["spans"]).alias("spans"),
-            ).cast(state)
-
-        seed = F.struct((acc["at"] + head).alias("at"), acc["spans"].alias("spans")).cast(state)
-        # after the last text of the block stands END in place of NEXT
-        return F.aggregate(
-            lengths,
-            seed,
-            place,
-            lambda out: F.struct((out["at"] - len(NEXT) + len(END)).alias("at"), out["spans"].alias("spans")).cast(state),
-        )
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")).cast(state)
-    return F.aggregate(blocks, zero, add, lambda out: out["spans"])
+    def width(turn: Column, i: Column) -> Column:
+        opened = F.length(escaped(turn["role"])) + len(START) + len(SEP) + F.when(i == 0, 0).otherwise(len(END))
+        return F.when(_begins(turns, i), opened).otherwise(len(NEXT)) + F.length(escaped(turn["text"]))
+
+    def spans(ends: Column) -> Column:
+        def span(turn: Column, i: Column) -> Column:
+            length = F.length(escaped(turn["text"]))
+            place = F.struct((F.get(ends, i) - length).alias("start"), length.alias("length"))
+            return F.when(turn["role"] == loss_role, place)
+
+        return F.filter(F.transform(turns, span), lambda s: s.isNotNull())
+
+    return _let(_running_sums(F.transform(turns, width)), spans).cast(SPANS)
 
 
 def format_conversations(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -93,35 +105,51 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
         conversations.select("conv_id", turn.alias("one"))
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("one")).alias("turns"))
-        .select("conv_id", _merged(F.col("turns")).alias("blocks"))
-    )
-    return gathered.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", _block_text), "").alias("formatted"),
-        _loss_spans(F.col("blocks"), loss_role).alias("loss_spans"),
     )
 
+    def written(turns: Column) -> Column:
+        text = F.array_join(F.transform(_merged(turns), _block_text), "")
+        return F.struct(text.alias("formatted"), _loss_spans(turns, loss_role).alias("loss_spans"))
+
+    return gathered.select("conv_id", _let(F.col("turns"), written).alias("out")).select("conv_id", "out.*")
+
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text)."""
     blocks = F.filter(F.split(formatted, _quoted(END)), lambda b: b != "")
 
-    def turns(block: Column) -> Column:
-        parts = F.split(F.substring(block, len(START) + 1, 2147483647), _quoted(SEP))
-        role = unescaped(parts[0])
-        return F.transform(
-            F.split(parts[1], _quoted(NEXT)), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text"))
-        )
+    def turns(parts: Column) -> Column:
+        def read(role: Column) -> Column:
+            texts = F.split(F.get(parts, F.lit(1)), _quoted(NEXT))
+            return F.transform(texts, lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
 
-    return F.flatten(F.transform(blocks, turns))
+        return _let(unescaped(F.get(parts, F.lit(0))), read)
+
+    return F.flatten(
+        F.transform(
+            blocks,
+            lambda block: _let(F.split(F.substring(block, len(START) + 1, 2147483647), _quoted(SEP)), turns),
+        )
+    )
 
 
 def read_loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """The texts under the loss mask, unescaped, with nothing between."""
-    # Column.substr takes places that are columns
-    return F.array_join(
-        F.transform(loss_spans, lambda s: unescaped(formatted.substr(s["start"] + 1, s["length"]))), ""
-    )
+    """The texts under the loss mask, unescaped, with nothing between.
+
+    A span is cut out of the few pieces it lies in, as finding a place in a text means walking to it.
+    """
+
+    def read(pieces: Column) -> Column:
+        def cut(span: Column) -> Column:
+            first = F.floor(span["start"] / PIECE).cast("int")
+            last = F.floor((span["start"] + span["length"]) / PIECE).cast("int")
+            near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+            # Column.substr takes places that are columns
+            return unescaped(near.substr(span["start"] - first * PIECE + 1, span["length"]))
+
+        return F.array_join(F.transform(loss_spans, cut), "")
+
+    return _let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), read)
 
 
 def _quoted(mark: str) -> str:

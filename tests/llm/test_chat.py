@@ -74,3 +74,10 @@ def test_no_rows_and_clashing_columns(spark):
     for name in ("turns", "blocks", "formatted", "loss_spans"):
         named = named.withColumn(name, F.lit(1))
     assert chat.format_conversations(named).columns == ["conv_id", "formatted", "loss_spans"]
+
+
+def test_conversations_of_very_many_turns(spark):
+    turns = 100_000
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} \U0001f600<|") for i in range(turns)]
+    rows += [(2, i, "assistant", f"<| part {i}") for i in range(turns)]  # all one block
+    check(spark, rows)
