@@ -190,12 +190,13 @@ def search(index: Arrays, block: Arrays, k: int) -> tuple[np.ndarray, np.ndarray
             among[place >> 6] &= ~(np.uint64(1) << np.uint64(place & 63))
         planes, more = score_slices(slices, query)
         rows = top_rows(planes, among, k)
-        more += int((query * index["low"]).sum())
+        more += sum((query.astype(object) * index["low"]).tolist())
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        scores = np.full(len(rows), more, np.int64)
-        for w, plane in enumerate(planes):
-            scores += ((plane[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-        _take(found, query_id, ids[rows], scores)
+        ones = np.array([(plane[word] >> bit) & np.uint64(1) for plane in planes], np.uint64).reshape(len(planes), len(rows)).T.tolist()
+        # Python's integers: what the planes hold and what is added may lie beyond 64 bits, and their sum too
+        scores = [more + sum(int(one) << w for w, one in enumerate(own)) for own in ones]
+        best = _in_64_bits(query_id, list(zip(scores, ids[rows].tolist())))
+        _take(found, query_id, [i for _, i in best], [s for s, _ in best])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
 

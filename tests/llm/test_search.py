@@ -67,6 +67,18 @@ def test_large_components_are_searched_too(spark):
         bitslice.search(bitslice.build(ids[:2], np.full((2, 1), 1e12)), {"ids": ids[:1], "rows": np.full((1, 1), 1e12)}, 1)
 
 
+def test_scores_beyond_64_bits_are_an_error_and_those_below_are_right():
+    ids, rows = np.arange(3), np.full((3, 4096), 262_143.0)
+    with pytest.raises(OverflowError):
+        bitslice.search(bitslice.build(ids, rows), {"ids": ids[:1], "rows": rows[:1]}, 1)
+    rows[0, 1::2] *= -1  # parts of the sum are far beyond 64 bits, the sum is not
+    rows[1:, ::3] += np.array([[-7.0], [-9.5]])
+    rows[1:, 1] -= 5
+    got = bitslice.search(bitslice.build(ids, rows), {"ids": ids[:1], "rows": rows[:1]}, 2)
+    exact = bitslice.whole_exactly(rows)
+    assert got[2].tolist() == sorted((int(exact[i] @ exact[0]) for i in (1, 2)), reverse=True)
+
+
 @pytest.mark.parametrize("n,k", [(1, 1), (63, 4), (64, 64), (130, 200)])
 def test_one_shard_of_any_size(n, k):
     rows = np.random.default_rng(n).integers(-40, 40, (n, 7)) / 256
