@@ -2,8 +2,9 @@
 
 Large star: every node hands its larger neighbours to its smallest one. Small star: every node hands itself
 and its smaller neighbours to the smallest. Both keep components whole and end in stars around the smallest
-node of each. A node's minimum is a pre-aggregated reduction and the rest are equality joins, so a node that
-touches a third of all edges is neither gathered nor collected. Every step is a written table.
+node of each. A node's minimum is a pre-aggregated reduction. It comes back to the node's edges by an equality
+join, but for hot nodes (``rows.HOT_KEYS`` at most), whose minima are broadcast: their edges stay where they
+are, so no task gets the edges of a node that touches a third of them. Every step is a written table.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtable.llm.rows import joined_by_key
 from logtable.session import shared_dir
 
 
@@ -21,17 +23,23 @@ def _written(frame: DataFrame) -> tuple[DataFrame, tuple]:
     return back, tuple(back.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, whole: int) -> DataFrame:
+    """``a, b, m``: the edges with the smallest of ``a`` and all its ``b``."""
+    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    return joined_by_key(edges, least, ["a"], "n", whole)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b"), F.col("a")))  # edges are distinct, larger node first
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    handed = down.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return handed.union(least.select("a", F.col("m").alias("b"))).distinct()
+    led = _with_least(down, n)
+    # an edge to the smallest stays, one to another node is handed to the smallest
+    handed = led.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+    return handed.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     stars, mark = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        stars, after = _written(_small_star(_large_star(stars)))
+        n = mark[0]
+        stars, after = _written(_small_star(_large_star(stars, n), n))
         if after == mark:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = after
