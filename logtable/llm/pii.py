@@ -8,10 +8,12 @@ ones of least hash, with and without a span apart and a few of each sort per doc
 files nor the length of texts decides which are seen.
 
 A text is decoded in windows that overlap by half. All windows that hold a digit or an at sign are decoded:
-no span of these kinds is without one. The spans of all windows of a text are reconciled together: those cut
-off by a window's edge give way to the neighbour's, equal ones are merged, those that touch a pattern's span
-or fail the check of their kind are dropped, and of the rest the set without overlaps of the highest total
-confidence is taken.
+no span of these kinds is without one. The spans of all windows of a text are reconciled together: one that a
+window's end cuts is the next window's, if it begins there, and else goes on with what the next window holds
+from its first character, so spans may be longer than windows (but for the windows not decoded: 80 characters
+without a digit or an at sign end it). Equal spans are merged, those that touch a pattern's span or fail the
+check of their kind are dropped, and of the rest the set without overlaps of the highest total confidence is
+taken.
 
 Defined cases: null and empty texts have no spans; without a labelled span in the sample only the patterns
 count. Repeated rows and null ids are rows like others. Extra columns are ignored by ``found`` and kept by
@@ -228,8 +230,17 @@ def fit(docs: DataFrame) -> tagger.Weights | None:
     return tagger.train(np.array(parts), np.array(tags), 1 + 2 * len(KINDS), epochs=epochs)
 
 
-def _spans_of(path: np.ndarray, sure: np.ndarray, start: int, end: int) -> Iterator[tuple[float, Span]]:
-    """Whole spans of a decoded window that lies at ``start`` of a text of length ``end``."""
+def _spans_of(
+    path: np.ndarray, sure: np.ndarray, start: int, end: int, cut: list[tuple[int, int, int, list[float]]]
+) -> Iterator[tuple[float, Span]]:
+    """Spans that end in a decoded window, which lies at ``start`` of a text of length ``end``.
+
+    ``cut`` holds the span that the text's previous window had to cut, if any, and then that of this window: its
+    kind, its begin, the window's start and the confidence of its characters.
+    """
+    before = cut.pop() if cut else None
+    if before and (before[2] + STRIDE != start or before[1] > start):
+        before = None
     places = np.flatnonzero(path)
     i = 0
     while i < len(places):
@@ -237,9 +248,19 @@ def _spans_of(path: np.ndarray, sure: np.ndarray, start: int, end: int) -> Itera
         kind = (path[a] - 1) // 2
         while b + 1 < WINDOW and path[b + 1] == 2 + 2 * kind:
             b += 1
-        cut = (a == 0 and start > 0) or (b == WINDOW - 1 and start + WINDOW < end)
-        if path[a] % 2 and not cut and start + b < end:
-            yield float(sure[a : b + 1].mean()), (int(start + a), int(start + b + 1), KINDS[kind])
+        begin, sures = None, sure[a : b + 1].tolist()
+        if a == 0 and start > 0:
+            if before and before[0] == kind:
+                begin, earlier = before[1], before[3]
+                del earlier[start - begin :]
+                earlier += sures
+                sures = earlier
+        elif path[a] % 2:
+            begin = int(start + a)
+        if begin is not None and b == WINDOW - 1 and start + WINDOW < end:
+            cut.append((kind, begin, start, sures))
+        elif begin is not None and start + b < end:
+            yield sum(sures) / len(sures), (begin, int(start + b + 1), KINDS[kind])
         i = np.searchsorted(places, b, "right")
 
 
@@ -281,13 +302,14 @@ def spans_of(texts: list[str | None], model: tagger.Weights | None) -> list[tupl
         return [(b, b) for b in base]
     starts = [_window_starts(t) if t else [] for t in texts]
     offered: list[list] = [[] for _ in texts]
+    cut: list[list] = [[] for _ in texts]
     held: list[tuple[int, int]] = []
     windows: list[np.ndarray] = []
 
     def decode() -> None:
         path, sure = tagger.decode(model, np.concatenate(windows))
         for (i, start), p, s in zip(held, path, sure):
-            offered[i] += _spans_of(p, s, start, len(texts[i]))
+            offered[i] += _spans_of(p, s, start, len(texts[i]), cut[i])
         held.clear()
         windows.clear()
 

@@ -9,12 +9,13 @@ STEPS = 1 << 30
 
 
 def sampled(frame: DataFrame, about: int, *keys: str) -> DataFrame:
-    """About ``about`` rows, never more than twice as many; all, if there are no more than ``about``.
+    """One row of each of about ``about`` distinct keys; of each of all keys, if rows are no more than ``about``.
 
-    The choice hangs on the hash of the key columns, so reruns agree. It needs neither a sort nor a shuffle.
+    The choice hangs on the hash of the key columns, so reruns agree, and repeated rows cannot fill the sample.
+    Every key is taken with one chance, ``about`` over the rows, so the number of keys taken strays from its
+    mean, at most ``about``, by a few square roots of it. What is chosen is shuffled by key, the rest stays.
     """
     rows = frame.count()
-    if rows <= about:
-        return frame
-    kept = F.pmod(F.xxhash64(*keys), F.lit(STEPS)) < int(STEPS * about / rows)
-    return frame.filter(kept).limit(2 * about)
+    if rows > about:
+        frame = frame.filter(F.pmod(F.xxhash64(*keys), F.lit(STEPS)) < int(STEPS * about / rows))
+    return frame.dropDuplicates(list(keys))

@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     chosen = sampled(known, TRAIN_DOCS, "doc_id")
     path = shared_dir(spark, "toxic-sample")
-    # at most 2 * TRAIN_DOCS rows of two numbers are broadcast; of repeated ids one text is learned from
+    # about TRAIN_DOCS rows of two numbers are broadcast; of repeated ids one text is learned from
     docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.max("toxic").alias("toxic")
     ).select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("words")).write.parquet(f"{path}/docs")

@@ -201,7 +201,7 @@ def fit(seen: DataFrame) -> tuple[Labels, np.ndarray]:
     rows = sorted((tuple(r["votes"]), r["n"]) for r in counted)
     patterns = np.array([r[0] for r in rows], np.int64).reshape(-1, len(LABELLERS))
     labels = expectation_maximisation(patterns, np.array([r[1] for r in rows], float))
-    # at most 2 * TRAIN_DOCS lists of bucket numbers
+    # about TRAIN_DOCS lists of bucket numbers
     held = sorted((r["at"], tuple(r["votes"])) for r in sampled(seen, TRAIN_DOCS, "doc_id", "at").collect())
     good = _posteriors(labels, [v for _, v in held])
     return labels, train([np.array(at, np.int64) for at, _ in held], good)

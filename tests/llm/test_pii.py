@@ -1,5 +1,6 @@
 """Personal data: patterns against naive matching, gradients against differences, windows, held-out spans."""
 
+import hashlib
 import random
 import re
 
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtable.llm import pii, tagger
+from logtable.llm.named import op4_pii
+from logtable.llm.sampling import sampled
 
 SHAPE = "doc_id bigint, text string, n_chars bigint"
 NAIVE = {
@@ -93,6 +96,46 @@ def test_every_sign_is_inside_a_window():
         assert starts == sorted(expect)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_that_windows_cut_are_joined(seed):
+    """Tags of a whole text, seen through windows: every span comes back, however long and wherever it lies."""
+    draw = random.Random(seed)
+    for _ in range(150):
+        end = draw.randrange(1, 900)
+        tags, spans, at = np.zeros(end, np.int64), [], 0
+        while (at := at + draw.randrange(0, 60)) < end:
+            stop, kind = min(end, at + draw.choice([1, 5, 39, 40, 41, 78, 79, 80, 81, 200, 500])), draw.randrange(4)
+            tags[at:stop], tags[at] = 2 + 2 * kind, 1 + 2 * kind
+            spans.append((at, stop, pii.KINDS[kind]))
+            at = stop
+        padded, found, cut = np.concatenate([tags, np.zeros(pii.WINDOW, np.int64)]), set(), []
+        for start in range(0, end, pii.STRIDE):
+            path = padded[start : start + pii.WINDOW]
+            sure = np.arange(start, start + pii.WINDOW) / 1000.0
+            for c, s in pii._spans_of(path, sure, start, end, cut):
+                assert abs(c - (s[0] + s[1] - 1) / 2000) < 1e-9
+                found.add(s)
+        assert found == set(spans)
+
+
+def test_a_window_that_is_not_decoded_ends_a_cut_span():
+    path, sure, cut = np.full(pii.WINDOW, 2), np.ones(pii.WINDOW), []
+    path[30] = 1
+    path[:30] = 0
+    assert list(pii._spans_of(path, sure, 0, 1000, cut)) == [] and len(cut) == 1
+    path[:30], path[30:] = 2, 0
+    assert list(pii._spans_of(path, sure, 2 * pii.STRIDE, 1000, cut)) == [] and not cut
+
+
+def test_samples_hold_each_key_once_and_hang_on_keys_only(spark):
+    rows = spark.range(30_000).select((F.col("id") % 20_000).alias("k")).union(spark.range(30_000).select(F.lit(7).alias("k")))
+    picked = [sorted(r.k for r in sampled(f, 3000, "k").collect()) for f in (rows, rows.repartition(7))]
+    assert picked[0] == picked[1] and len(set(picked[0])) == len(picked[0]) and 850 < len(picked[0]) < 1150
+    assert sampled(rows, 100_000, "k").count() == 20_000
+    plan = sampled(rows, 3000, "k")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
+
+
 def test_reconciling():
     text = "x" * 10 + "+1 456 555 2186 or 415 555 2671 9 " + "y" * 10
     base = [(10, 25, "phone")]
@@ -117,7 +160,8 @@ def test_tagger_finds_spans_of_documents_it_has_not_seen(docs, model):
         if not starts:
             continue
         path, sure = tagger.decode(model, pii._windows(row.text, starts))
-        own = {s for i, a in enumerate(starts) for c, s in pii._spans_of(path[i], sure[i], a, len(row.text)) if c >= pii.MIN_CONFIDENCE[s[2]] and pii._plausible(row.text[s[0] : s[1]], s[2])}
+        cut = []
+        own = {s for i, a in enumerate(starts) for c, s in pii._spans_of(path[i], sure[i], a, len(row.text), cut) if c >= pii.MIN_CONFIDENCE[s[2]] and pii._plausible(row.text[s[0] : s[1]], s[2])}
         hit, known, offered = hit + len(own & set(base)), known + len(base), offered + len(own)
     assert known > 100 and hit >= 0.85 * known and hit >= 0.95 * offered
 
@@ -157,3 +201,20 @@ def test_odd_rows_and_redaction(spark, model):
     assert by[3].text == "[EMAIL],[PHONE]" and by[None].text is None and by[None].n_chars is None
     assert pii.fit(frame.limit(0)) is None and pii.fit(frame.filter("doc_id = 2")) is None
     assert [r.spans for r in pii.found(frame.filter("doc_id = 1"), None).collect()] == ["email:120:128"]
+
+
+def test_the_query_against_naive_patterns(spark):
+    """``op4_pii`` over a whole table: its digests are those of naive matching, its counts those of its spans."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = op4_pii(spark, folder).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        base = [f"{kind}:{a}:{b}" for a, b, kind in naive(texts[r.doc_id])]
+        spans = [s for s in r.spans.split(",") if s]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(spans)
+        places = [(int(a), pii.KINDS.index(k)) for k, a, _ in (s.split(":") for s in spans)]
+        assert places == sorted(places)
+        for kind, n in zip(pii.KINDS, (r.n_email, r.n_ip, r.n_card, r.n_phone)):
+            assert n == sum(s.startswith(kind + ":") for s in spans)
