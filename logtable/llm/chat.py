@@ -65,12 +65,16 @@ def _block_text(block: Column) -> Column:
 
 def _running_sums(numbers: Column) -> Column:
     """Inclusive running sums: every pass adds the number twice as far back, so there are log2(size) passes."""
-    steps = F.filter(F.array(*(F.lit(1 << n) for n in range(31))), lambda step: step < F.size(numbers))
-    return F.aggregate(
-        steps,
-        numbers,
-        lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))),
-    )
+    powers = F.array(*(F.lit(1 << n) for n in range(31)))
+
+    def summed(first: Column) -> Column:
+        return F.aggregate(
+            F.filter(powers, lambda step: step < F.size(first)),
+            first,
+            lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))),
+        )
+
+    return _let(numbers, summed)
 
 
 def _loss_spans(turns: Column, loss_role: str) -> Column:
