@@ -10,16 +10,15 @@ merged; scores are then exact inner products in double precision, added in order
 Equal vectors of a shard are one node with all their ids, so a large group of copies neither crowds the
 graph nor loses a member.
 
-Defined cases: of equal scores the smaller ids come first, among all that the search has found; vectors that are null, empty, zero or hold null or non-finite components take no part; only
-vectors of the query's length are candidates; every row with another id is a candidate, repeated rows each.
+Defined cases: of equal scores the smaller ids come first, among all that the search has found; vectors that
+are null, empty, zero or hold null or non-finite components take no part; only vectors of the query's length
+are candidates; every row with another id is a candidate, repeated rows each.
 An empty table gives no rows. Extra columns are ignored. The graph depends on the order of rows in their
 file only, so reruns agree.
 """
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush, heapreplace
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,38 +28,41 @@ from logtable.llm.shards import Arrays
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 256
-LINKS = 16
-BUILD_BEAM = 64
-SEARCH_BEAM = 96
+LINKS = 24
+BUILD_BEAM = 128
+#: Wide, as vectors without clusters, or with norms far apart, have their nearest scattered over the graph.
+SEARCH_BEAM = 320
+STEP = 16
 MAX_LAYERS = 6
 
 
 def _beam(rows, links, query, entries, beam, seen, stamp):
-    """The ``beam`` best nodes of a layer found from ``entries``: a list of (nearness, node), any order."""
-    near = rows[entries] @ query
+    """The ``beam`` best nodes of a layer found from ``entries``: (nodes, nearness), any order.
+
+    The best nodes whose neighbours were not looked at are followed, up to ``STEP`` of them at once, until the
+    neighbours of all in the beam are known.
+    """
     seen[entries] = stamp
-    best = list(zip(near.tolist(), entries.tolist()))
-    heapify(best)
-    ahead = [(-s, n) for s, n in best]
-    heapify(ahead)
-    while ahead:
-        s, node = heappop(ahead)
-        if len(best) >= beam and -s < best[0][0]:
-            break
-        around = links[node]
+    nodes, near, fresh = entries, rows[entries] @ query, np.ones(len(entries), bool)
+    step = min(STEP, beam)
+    while True:
+        ahead = np.flatnonzero(fresh)
+        if not len(ahead):
+            return nodes, near
+        if len(ahead) > step:
+            ahead = ahead[np.argpartition(-near[ahead], step - 1)[:step]]
+        fresh[ahead] = False
+        around = links[nodes[ahead]].ravel()
         around = around[around >= 0]
-        around = around[seen[around] != stamp]
+        around = np.unique(around[seen[around] != stamp])
         if not len(around):
             continue
         seen[around] = stamp
-        for s, n in zip((rows[around] @ query).tolist(), around.tolist()):
-            if len(best) < beam:
-                heappush(best, (s, n))
-                heappush(ahead, (-s, n))
-            elif s > best[0][0]:
-                heapreplace(best, (s, n))
-                heappush(ahead, (-s, n))
-    return best
+        nodes, near = np.concatenate([nodes, around]), np.concatenate([near, rows[around] @ query])
+        fresh = np.concatenate([fresh, np.ones(len(around), bool)])
+        if len(nodes) > beam:
+            best = np.argpartition(-near, beam - 1)[:beam]
+            nodes, near, fresh = nodes[best], near[best], fresh[best]
 
 
 def _chosen(rows, near, nodes, most):
@@ -111,8 +113,7 @@ def build(ids: np.ndarray, rows: np.ndarray) -> Arrays:
         found = np.array([entry])
         for layer in range(height, -1, -1):
             stamp += 1
-            best = _beam(level, layers[layer], query, found, 1 if layer > top else BUILD_BEAM, seen, stamp)
-            near, found = np.array([s for s, _ in best]), np.array([n for _, n in best])
+            found, near = _beam(level, layers[layer], query, found, 1 if layer > top else BUILD_BEAM, seen, stamp)
             if layer > top:
                 continue
             most = 2 * LINKS if layer == 0 else LINKS
@@ -147,8 +148,7 @@ def search(index: Arrays, block: Arrays, k: int) -> tuple[np.ndarray, np.ndarray
         at = index["entry"]
         for layer in range(len(layers) - 1, -1, -1):
             stamp += 1
-            best = _beam(nodes, layers[layer], query, at, max(SEARCH_BEAM, 4 * k) if layer == 0 else 1, seen, stamp)
-            at = np.array([n for _, n in best])
+            at, _ = _beam(nodes, layers[layer], query, at, max(SEARCH_BEAM, 16 * k) if layer == 0 else 1, seen, stamp)
         exact = in_order(nodes[at], query)
         left, last = k, -np.inf
         # of equal scores, the node with the smallest id first, and all of them: their ids may interleave

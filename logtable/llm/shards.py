@@ -1,8 +1,11 @@
 """Vector search over shards: an index per shard, query blocks against every shard, results merged.
 
 A shard is a run of rows of one input partition, so making it needs no shuffle and its size is bounded by a
-parameter. Indexes and query blocks are tables of binary columns. Each block meets each shard through an
-equality on lanes: a shard lies in one lane and a block is sent to every lane.
+parameter. Indexes and query blocks are tables of binary columns. They meet in cells, each a task of its own:
+some lanes of shards times some groups of blocks. A shard is sent to the cells of its lane, a block to those of
+its group. A task holds the blocks of its cell and lets the shards pass by, so its memory is bounded by
+``GROUP_BLOCKS`` blocks and one shard. Lanes follow from the cluster's cores, so what is shuffled grows with
+shards times groups plus blocks times lanes, not with shards times blocks.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ from logtable.session import shared_dir
 
 #: A named tuple of arrays, as an index or a block is stored.
 Arrays = dict[str, np.ndarray]
-BLOB = "shard string, dims int, index binary"
-_BLOB = pa.schema([("shard", pa.string()), ("dims", pa.int32()), ("index", pa.binary())])
+BLOB = "task int, place int, dims int, index binary"
+_BLOB = pa.schema([("task", pa.int32()), ("place", pa.int32()), ("dims", pa.int32()), ("index", pa.binary())])
+#: A cell holds at most so many blocks, and about so many shards pass by it.
+GROUP_BLOCKS, LANE_SHARDS = 64, 64
+#: Cells for every core, so that unequal ones even out.
+CELLS_PER_CORE = 3
 
 
 def packed(arrays: Arrays) -> bytes:
@@ -82,13 +89,16 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
 
 
 def built(vectors: DataFrame, build: Callable[[np.ndarray, np.ndarray], Arrays], limit: int, label: str) -> DataFrame:
-    """A row per shard of at most ``limit`` vectors, written to the shared folder."""
+    """A row per shard of at most ``limit`` vectors, written to the shared folder.
+
+    ``task`` and ``place`` are the input partition and the shard's place in it.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for n, (dims, ids, rows) in enumerate(_groups(batches, limit)):
-            blob = packed(build(ids, rows))
-            yield pa.record_batch([pa.array([f"{task}-{n}"]), pa.array([dims], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOB)
+            row = task, n, dims, packed(build(ids, rows))
+            yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _BLOB)], schema=_BLOB)
 
     path = shared_dir(vectors.sparkSession, label)
     vectors.select("vec_id", "vector").mapInArrow(make, BLOB).write.parquet(path)
@@ -101,30 +111,55 @@ def query_blocks(vectors: DataFrame, limit: int, label: str) -> DataFrame:
     return built(single, lambda ids, rows: {"ids": ids, "rows": rows}, limit, label)
 
 
+def _numbered(blobs: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with a ``number`` of their own, close together if tasks made about as many, and the row count."""
+    tasks, n = blobs.agg(F.coalesce(F.max("task"), F.lit(0)) + 1, F.count("*")).first()
+    number = F.col("place").cast("bigint") * tasks + F.col("task")
+    return blobs.select(number.alias("number"), "dims", "index"), n
+
+
 def searched(
     blocks: DataFrame, shards: DataFrame, search: Callable[[Arrays, Arrays], tuple], score: str, k: int
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: ``search(shard, block)`` of every pair, the best ``k`` kept.
 
-    ``search`` gives three equally long arrays: query ids, vector ids, scores.
+    ``search`` gives three equally long arrays: query ids, vector ids, scores. Blocks meet shards of their length.
     """
-    lanes = max(1, shards.count())
-    there = shards.withColumn("lane", F.pmod(F.xxhash64("shard"), F.lit(lanes)))
-    sent = blocks.select("dims", F.col("index").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    pairs = sent.join(there, ["lane", "dims"]).select("shard", "index", "block")
+    (there, n_shards), (asked, n_blocks) = _numbered(shards), _numbered(blocks)
+    groups = max(1, -(-n_blocks // GROUP_BLOCKS))
+    cores = shards.sparkSession.sparkContext.defaultParallelism
+    lanes = max(1, min(n_shards, max(-(-CELLS_PER_CORE * cores // groups), -(-n_shards // LANE_SHARDS))))
+    lane, group = F.pmod("number", F.lit(lanes)), F.pmod("number", F.lit(groups))
+    each_group, each_lane = F.sequence(F.lit(0), F.lit(groups - 1)), F.sequence(F.lit(0), F.lit(lanes - 1))
+    passing = there.withColumn("cell", F.explode(F.transform(each_group, lambda g: lane * groups + g)))
+    held = asked.withColumn("cell", F.explode(F.transform(each_lane, lambda one: one * groups + group)))
+    cells = (
+        held.withColumn("passes", F.lit(False))
+        .unionByName(passing.withColumn("passes", F.lit(True)))
+        .withColumn("cell", F.col("cell").cast("int"))
+        .repartitionById(lanes * groups, "cell")
+        .sortWithinPartitions("cell", "passes", "number")
+        .select("cell", "passes", "dims", "index")
+    )
     kind = pa.int64() if score == "bigint" else pa.float64()
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, index = None, {}
+        at, waiting = None, []
         for batch in batches:
-            for shard, blob, block in zip(*batch.columns):
-                if shard.as_py() != name:  # the rows of a shard mostly follow one another
-                    name, index = shard.as_py(), unpacked(blob.as_py())
-                found = search(index, unpacked(block.as_py()))
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
-
-    found = pairs.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
+            for cell, passes, dims, blob in zip(*batch.columns):
+                if cell.as_py() != at:
+                    at, waiting = cell.as_py(), []
+                if not passes.as_py():
+                    waiting.append((dims.as_py(), unpacked(blob.as_py())))
+                    continue
+                index = unpacked(blob.as_py())
+                for length, block in waiting:
+                    if length == dims.as_py():
+                        found = search(index, block)
+                        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
+
+    found = cells.mapInArrow(run, f"query_id bigint, vec_id bigint, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -138,3 +138,47 @@ def test_graph_ties_go_to_smaller_ids(spark):
     asked = spark.createDataFrame([(1000, [1.0, 0.0, 0.0])], "vec_id bigint, vector array<double>")
     found = sorted(hnsw.nearest(vectors, asked, 20).collect(), key=lambda r: r.rank)
     assert [r.vec_id for r in found] == list(range(20))
+
+
+def drawn_as(shape, n=4096, dims=64):
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(n, dims))
+    return rows * np.exp(draw.normal(size=(n, 1))) if shape == "norms" else rows
+
+
+@pytest.mark.parametrize("shape", ["gaussian", "norms"])
+def test_graph_recall_without_clusters(shape):
+    """Vectors with nothing to go by: no clusters, and norms that differ by orders."""
+    rows, ids = drawn_as(shape), np.arange(4096)
+    asked = ids[::20]
+    query, found, score = hnsw.search(hnsw.build(ids, rows), {"ids": asked, "rows": rows[asked]}, 20)
+    hits = 0
+    for q in asked:
+        true = [i for i in np.argsort(-(rows @ rows[q]), kind="stable") if i != q][:20]
+        mine = query == q
+        hits += len(set(found[mine][np.argsort(-score[mine], kind="stable")][:20]) & set(true))
+    assert hits / (20 * len(asked)) >= 0.95
+
+
+def test_cells_hold_every_pair_once(spark, monkeypatch):
+    """Few or many cells, of several groups and lanes: each shard meets each block of its length, once."""
+    rows = drawn(400, 5)
+    vectors = shards.clean_vectors(frame(spark, np.arange(400), rows), "vec_id", "embedding")
+    other = spark.range(40).selectExpr("id + 1000 as vec_id", "array(cast(id as double), 1d) as vector")
+    both = vectors.unionByName(other)
+    index = shards.built(both, lambda ids, rows: {"ids": ids}, 30, "cells")
+    blocks = shards.query_blocks(both, 25, "cells-queries")
+
+    def every(shard, block):
+        pairs = np.array([(q, v, 1) for q in block["ids"] for v in shard["ids"]])
+        return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+
+    for group, lane, per_core in ((64, 64, 3), (2, 3, 1), (1, 1, 50)):
+        monkeypatch.setattr(shards, "GROUP_BLOCKS", group)
+        monkeypatch.setattr(shards, "LANE_SHARDS", lane)
+        monkeypatch.setattr(shards, "CELLS_PER_CORE", per_core)
+        found = shards.searched(blocks, index, every, "bigint", 10_000)
+        n, distinct, most = found.agg(
+            F.count("*"), F.countDistinct("query_id", "vec_id"), F.max("rank")
+        ).first()
+        assert n == distinct == 400 * 400 + 40 * 40 and most == 400
