@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from logtable.llm import shards
 from logtable.llm.shards import Arrays
 
-SHARD_ROWS = 4096
+#: Large: a query's way through a graph grows with the logarithm of its rows, but there is one in every shard.
+SHARD_ROWS = 16 * 1024
 BLOCK_ROWS = 256
 LINKS = 24
 BUILD_BEAM = 128
 #: Wide, as vectors without clusters, or with norms far apart, have their nearest scattered over the graph.
-SEARCH_BEAM = 320
-STEP = 16
+SEARCH_BEAM = 480
+STEP = 32
 MAX_LAYERS = 6
 
 
@@ -148,7 +149,7 @@ def search(index: Arrays, block: Arrays, k: int) -> tuple[np.ndarray, np.ndarray
         at = index["entry"]
         for layer in range(len(layers) - 1, -1, -1):
             stamp += 1
-            at, _ = _beam(nodes, layers[layer], query, at, max(SEARCH_BEAM, 16 * k) if layer == 0 else 1, seen, stamp)
+            at, _ = _beam(nodes, layers[layer], query, at, max(SEARCH_BEAM, 24 * k) if layer == 0 else 1, seen, stamp)
         exact = in_order(nodes[at], query)
         left, last = k, -np.inf
         # of equal scores, the node with the smallest id first, and all of them: their ids may interleave
