@@ -4,7 +4,7 @@ Large star: every node hands its larger neighbours to its smallest one. Small st
 and its smaller neighbours to the smallest. Both keep components whole and end in stars around the smallest
 node of each. A node's minimum is a pre-aggregated reduction. It comes back to the node's edges by an equality
 join, but for hot nodes (``rows.HOT_KEYS`` at most), whose minima are broadcast: their edges stay where they
-are, so no task gets the edges of a node that touches a third of them. Every step is a written table.
+are, so no task gets the edges of a node that touches a third of them. Every star is a written table.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ from logtable.llm.rows import joined_by_key
 from logtable.session import shared_dir
 
 
-def _written(frame: DataFrame) -> tuple[DataFrame, tuple]:
+def _written(frame: DataFrame) -> DataFrame:
     path = shared_dir(frame.sparkSession, "stars")
     frame.write.parquet(path)
-    back = frame.sparkSession.read.parquet(path)
-    return back, tuple(back.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _mark(stars: DataFrame) -> tuple:
+    """Row count and a checksum: equal if a step has changed nothing."""
+    return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def _with_least(edges: DataFrame, whole: int) -> DataFrame:
@@ -47,10 +51,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     No edges give no rows. ``root`` is the component's smallest node.
     """
-    stars, mark = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = _mark(stars)
     while True:
-        n = mark[0]
-        stars, after = _written(_small_star(_large_star(stars, n), n))
+        n = mark[0]  # a large star keeps the number of edges
+        # each star looks at its edges several times: it starts from a table, not from the plan of the one before
+        stars = _written(_small_star(_written(_large_star(stars, n)), n))
+        after = _mark(stars)
         if after == mark:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = after
