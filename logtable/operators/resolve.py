@@ -103,35 +103,30 @@ def resolve_asof(
     )
 
 
-def late_changes(stored: DataFrame, new: DataFrame) -> DataFrame:
+def late_changes(stored: DataFrame, new: DataFrame, blocks_per_bucket: int = BLOCKS_PER_BUCKET) -> DataFrame:
     """Stored price events whose asset changes by registrations that arrived after them, with the ``right_asset``.
 
-    ``stored`` has everything, ``new`` the registrations just stored, both in EVENT shape. A registration holds
-    from its place to the next one's of the same aggregator; events are met with the intervals of new ones
-    only, from the earliest of their blocks on.
+    ``stored`` has everything, ``new`` the registrations just stored, both in EVENT shape. An event is ruled by the
+    last registration of its contract before it, and changes if that one is new. Nothing before the first new
+    registration can be ruled by one, and of the rest each row is looked at once, however many registrations a
+    contract has.
     """
-    place = F.struct(*CHAIN_ORDER)
-
-    def registrations(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("kind") == ASSET_REGISTERED).select(
-            F.col("asset_registered.aggregator").alias("line"),
-            place.alias("since"),
-            F.col("asset_registered.asset_id").alias("right_asset"),
-        )
-
-    fresh = registrations(new)
-    first = fresh.agg(F.min("since.block_number")).first()[0]
-    every = registrations(stored).join(fresh.select("line").distinct(), "line", "left_semi").distinct()
-    until = F.lead("since").over(Window.partitionBy("line").orderBy("since"))
-    intervals = every.withColumn("until", until).join(fresh.select("line", "since"), ["line", "since"], "left_semi")
-    prices = stored.filter((F.col("kind") != ASSET_REGISTERED) & (F.col("block_number") >= F.lit(first)))
-    met = prices.join(
-        intervals,
-        (prices["contract_address"] == intervals["line"])
-        & (place > F.col("since"))
-        & (F.col("until").isNull() | (place <= F.col("until"))),
-    )
-    return met.filter(~F.col("asset_id").eqNullSafe(F.col("right_asset"))).drop("line", "since", "until")
+    registered = F.col("kind") == ASSET_REGISTERED
+    place = [F.col(name) for name in CHAIN_ORDER]
+    line = F.col("asset_registered.aggregator").alias("line")
+    fresh = new.filter(registered).select(line, *place, F.lit(True).alias("is_new")).distinct()
+    first = fresh.agg(F.min("block_number")).first()[0]
+    behind = stored.filter(F.col("block_number") >= F.lit(first))
+    every = behind.filter(registered).select("kind", line, *place, F.col("asset_registered.asset_id").alias("right_asset"))
+    ruling = every.distinct().join(fresh, ["line", *CHAIN_ORDER], "left")
+    prices = behind.filter(~registered).withColumn("line", F.col("contract_address"))
+    # contracts without a new registration have nothing to change
+    rows = prices.unionByName(ruling, allowMissingColumns=True).join(fresh.select("line").distinct(), "line", "left_semi")
+    bucket = F.call_function("div", F.col("block_number"), F.lit(blocks_per_bucket).cast("bigint"))
+    update = F.when(registered, F.struct("right_asset", "is_new"))
+    seen = with_previous_value(rows, "line", bucket, CHAIN_ORDER, update, "ruled_by").filter(~registered)
+    changed = seen.filter(F.col("ruled_by.is_new") & ~F.col("asset_id").eqNullSafe(F.col("ruled_by.right_asset")))
+    return changed.withColumn("right_asset", F.col("ruled_by.right_asset")).drop("line", "is_new", "ruled_by")
 
 
 def with_asset(events: DataFrame, asset: Column) -> DataFrame:

@@ -85,6 +85,32 @@ def test_relevant_history_is_enough(spark, assets, low):
     assert relevant.count() <= 3
 
 
+def joined_by_range(frame):
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return any(sign in line for line in plan.splitlines() if "Join" in line for sign in (" > ", " < ", ">=", "<="))
+
+
+@pytest.mark.parametrize("width", [1, 7, 5000])
+def test_late_changes_equal_brute_force_without_a_range_join(spark, width):
+    """Many registrations of one contract, every third of them new: events meet the one that rules them, not all."""
+    rng, rows = random.Random(width), []
+    for block in range(200):
+        asset, contract = "0x" + f"{rng.randrange(3):064x}", rng.choice([NEW_AGG, NEW_AGG, WETH_AGG])
+        kind = rng.choice(["ASSET_REGISTERED", "PRICE_REQUESTED", "PRICE_FULFILLED"])
+        rows.append(event(kind, block=block, asset=None if kind != "ASSET_REGISTERED" and block % 9 == 0 else asset, contract=contract))
+    stored, fresh = events(spark, *rows), {r[4] for r in rows if r[0] == "ASSET_REGISTERED" and r[4] >= 20 and r[4] % 3 == 0}
+    new = stored.filter(F.col("block_number").isin(*fresh) | (F.col("kind") != "ASSET_REGISTERED"))
+    last, expected = {}, {}
+    for row in rows:
+        if row[0] == "ASSET_REGISTERED":
+            last[row[1]] = row
+        elif row[1] in last and last[row[1]][4] in fresh and last[row[1]][6] != row[6]:
+            expected[row[4]] = last[row[1]][6]
+    changes = resolve.late_changes(stored, new, blocks_per_bucket=width)
+    assert {r["block_number"]: r["right_asset"] for r in changes.collect()} == expected and len(expected) > 10
+    assert changes.columns == [*stored.columns, "right_asset"] and not joined_by_range(changes)
+
+
 def test_address_scope(spark, assets):
     frame = raw(spark, request(1), request(2, address=WETH_AGG.upper().replace("0X", "0x")), registration(NEW_ASSET, 3))
     kept = resolve.address_scope(frame, assets, REGISTRY).collect()
