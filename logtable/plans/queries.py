@@ -54,6 +54,8 @@ def default_assets(spark: SparkSession) -> DataFrame:
     return asset_source.assets_frame(spark, asset_source.default_assets())
 
 
+#: Rows of a landed file, about 30 MB of them.
+FILE_ROWS = 400_000
 # Where the tables made of an input lie, by application, table and input files.
 _STORED: dict[tuple, str] = {}
 
@@ -75,25 +77,26 @@ def _once(spark: SparkSession, folder: str, source: str, label: str, write: Call
     return _STORED[key]
 
 
-def _landed(spark: SparkSession, folder: str, source: str, label: str, rows: Callable, order: str) -> DataFrame:
-    """Source rows as they land: a table in files of consecutive rows."""
+def _landed(spark: SparkSession, folder: str, source: str, label: str, rows: Callable) -> DataFrame:
+    """Source rows as they land: a table in files of consecutive rows, which is how the feed gives them."""
 
     def write(path: str) -> None:
-        rows(spark, folder).repartitionByRange(order).write.parquet(path)
+        # files are what tasks read, and a task sorts what it reads
+        rows(spark, folder).write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
     return spark.read.parquet(_once(spark, folder, source, label, write))
 
 
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
-    return _landed(spark, folder, "events", "raw-logs", feed.raw_logs, "block_number")
+    return _landed(spark, folder, "events", "raw-logs", feed.raw_logs)
 
 
 def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
-    return _landed(spark, folder, "orders", "admin-logs", feed.admin_logs, "block_number")
+    return _landed(spark, folder, "orders", "admin-logs", feed.admin_logs)
 
 
 def wide_words(spark: SparkSession, folder: str) -> DataFrame:
-    return _landed(spark, folder, "events", "wide-words", feed.wide_words, "event_id")
+    return _landed(spark, folder, "events", "wide-words", feed.wide_words)
 
 
 def stored_path(spark: SparkSession, folder: str) -> str:

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The JVM leaves larger methods uncompiled; split projections are faster than those.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows of 100 bytes in a file are 700 in a sort; a task's sort stays in memory.
+    "spark.sql.files.maxPartitionBytes": "32m",
     # a batch writes its changes, not its state
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (

@@ -26,6 +26,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _in_order(rows: DataFrame, place: str) -> DataFrame:
+    """Rows in ranges of ``place``. They are moved before they are encoded, as they are much shorter then."""
+    return rows.repartitionByRange(F.expr(place))
+
+
+def _block(number: str) -> str:
+    return f"{FIRST_BLOCK} + {number} div {LOGS_PER_BLOCK}"
+
+
 def _quoted(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -93,7 +102,7 @@ def _first_arrivals(events: DataFrame) -> DataFrame:
     seconds = _number_word("unix_seconds(observed_at)")
     data = f"""case when event_type = 'purchase' then concat('0x', {_number_word("price")}, {seconds})
         when event_type = 'error' and event_id % 4 = 1 then '0x{"00" * 31}' else '0x' end"""
-    block = f"{FIRST_BLOCK} + event_id div {LOGS_PER_BLOCK}"
+    block = _block("event_id")
     return prepared.selectExpr(
         "event_id * 2 as arrival_seq",
         f"if(event_type = 'signup', '{DEFAULT_REGISTRY}', emitter) as address",
@@ -117,8 +126,9 @@ def _delivered(logs: DataFrame, deliveries: str) -> DataFrame:
 
 
 def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """RAW_LOG over ``events``; every fifth log is delivered a second time, twenty events and a
+    """RAW_LOG over ``events``, in ranges of blocks; every fifth log is delivered a second time, twenty events and a
     minute later. Both deliveries come out of one scan."""
+    events = table(spark, folder, "events").select("event_id", "event_type", "ts", "user_id", "value")
     encoded = "address, topics, data"
     first = f"struct(arrival_seq, observed_at, {encoded})"
     again = (
@@ -126,7 +136,7 @@ def raw_logs(spark: SparkSession, folder: str) -> DataFrame:
         f"{encoded})"
     )
     deliveries = f"if(arrival_seq % 10 = 0, array({first}, {again}), array({first}))"
-    return _delivered(_first_arrivals(table(spark, folder, "events")), deliveries)
+    return _delivered(_first_arrivals(_in_order(events, _block("event_id"))), deliveries)
 
 
 def _admin_variants() -> list[tuple[str, str, list[str], list[str]]]:
@@ -152,7 +162,7 @@ def _admin_variants() -> list[tuple[str, str, list[str], list[str]]]:
 
 
 def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """RAW_LOG over ``orders``: one administrative contract event per order."""
+    """RAW_LOG over ``orders``, in ranges of blocks: one administrative contract event per order."""
     emitters = {
         "registry": f"'{DEFAULT_REGISTRY}'",
         "own": _aggregator("o_custkey % 10"),
@@ -165,8 +175,9 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
     topics = " ".join(f"when {n} then {_topics(event, *words)}" for n, (event, _, words, _) in variants)
     data = " ".join(f"when {n} then concat('0x', {', '.join(words)})" for n, (_, _, _, words) in variants if words)
     address = " ".join(f"when {n} then {emitters[emitter]}" for n, (_, emitter, _, _) in variants)
-    block = f"{FIRST_BLOCK} + o_orderkey div {LOGS_PER_BLOCK}"
-    logs = table(spark, folder, "orders").selectExpr(
+    block = _block("o_orderkey")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    logs = _in_order(orders, block).selectExpr(
         "o_orderkey as arrival_seq",
         f"{choice} {address} end as address",
         f"{choice} {topics} end as topics",
@@ -181,9 +192,9 @@ def admin_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wide_words(spark: SparkSession, folder: str) -> DataFrame:
-    """One 256-bit word per event: full-range, 128-bit, 64-bit and zero words in turn."""
+    """One 256-bit word per event, in ranges of events: full-range, 128-bit, 64-bit and zero words in turn."""
     return (
-        table(spark, folder, "events")
+        _in_order(table(spark, folder, "events").select("event_id"), "event_id")
         .selectExpr("event_id", "sha2(concat('word-', event_id), 256) as h")
         .selectExpr(
             "event_id",

@@ -6,7 +6,7 @@ from logtable.operators.ingest import events_from_logs
 from logtable.operators.listing import EventFilter, Position
 from logtable.operators.requests import request_status
 from logtable.schemas import EVENT_COLUMNS
-from logtable.sources import event_table
+from logtable.sources import event_feed, event_table
 from logtable.sources.assets import assets_frame, default_assets
 from logtable.streaming import ingest, status, subscribe
 from pyspark.sql import functions as F
@@ -294,3 +294,16 @@ def test_event_table_prunes(spark, tmp_path):
     plan = rows.select("tx_hash")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan and "GreaterThanOrEqual(block_number,15)" in plan
     assert "ReadSchema: struct<tx_hash:string,block_number:bigint>" in plan
+
+
+def test_source_rows_are_moved_before_they_are_encoded(spark, tmp_path):
+    folder = str(tmp_path)
+    made = spark.range(100).selectExpr(
+        "id as event_id", "timestamp_seconds(id) as ts", "id as user_id", "'click' as event_type", "1.5D as value", "'{}' as props"
+    )
+    made.write.parquet(f"{folder}/events.parquet")
+    rows = event_feed.raw_logs(spark, folder)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert not any("sha2" in line or "props" in line.split("Relation")[0] for line in plan[at:])
+    assert rows.count() == 120
