@@ -625,25 +625,43 @@ def find_submission(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # About how many bytes of source files a micro-batch and a file of it stand for. Small inputs come in MIN_BATCHES.
-BATCH_BYTES, FILE_BYTES, MIN_BATCHES, MIN_FILES = 256 << 20, 32 << 20, 3, 4
+BATCH_BYTES, FILE_BYTES, MIN_BATCHES, MIN_FILES = 512 << 20, 16 << 20, 3, 4
 
 
-def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, late: bool = False) -> tuple[str, int]:
-    """Writes rows as files that become visible in order, one group of files per micro-batch; returns the folder
-    and the files of a group. ``late`` puts the first group last."""
-    path, kept = shared_dir(spark, label), shared_dir(spark, f"{label}-all")
-    rows.write.parquet(kept)
-    rows = spark.read.schema(rows.schema).parquet(kept)
-    held = spark.read.format("binaryFile").load(kept).agg(F.sum("length")).first()[0] or 0
-    batches = max(MIN_BATCHES, -(-held // BATCH_BYTES))
+def _held(rows: DataFrame) -> int:
+    """The bytes of the files that rows are read from."""
+    files = rows.inputFiles()
+    if not files:
+        return 0
+    return rows.sparkSession.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+
+
+def _deliver(rows: DataFrame, order: str, path: str, held: int, least: int = MIN_BATCHES, late: bool = False) -> int:
+    """Writes rows of about ``held`` bytes as files that become visible in order, one group of files per micro-batch,
+    ``least`` groups or more; returns the files of a group. ``late`` puts the first group last.
+
+    Rows are those of a table in that order, so that a group reads its own part of it.
+    """
+    batches = max(least, -(-held // BATCH_BYTES))
     files = max(MIN_FILES, -(-held // batches // FILE_BYTES))
     span = rows.agg(F.min(order), F.max(order)).first()
+    if span[0] is None:
+        rows.limit(0).write.mode("append").parquet(path)
+        return files
     edges = [span[0] + (span[1] + 1 - span[0]) * i // batches for i in range(batches + 1)]
     groups = list(zip(edges, edges[1:]))
+    file = F.pmod(F.xxhash64(order), F.lit(files)).cast("int")
     for low, high in groups[1:] + groups[:1] if late else groups:
         part = rows.filter((F.col(order) >= low) & (F.col(order) < high))
-        part.repartition(files).write.mode("append").parquet(path)
-    return path, files
+        # told by the row, so that no task has to sort its rows before it deals them out
+        part.repartitionById(files, file).write.mode("append").parquet(path)
+    return files
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, order: str, label: str, late: bool = False) -> tuple[str, int]:
+    """The folder that rows of a written table arrive in, and the files of a micro-batch."""
+    path = shared_dir(spark, label)
+    return path, _deliver(rows, order, path, _held(rows), late=late)
 
 
 def _delivered_logs(spark: SparkSession, folder: str, late: bool = False) -> tuple[str, int]:
@@ -729,10 +747,11 @@ def streaming_resume(spark: SparkSession, folder: str) -> DataFrame:
     rows = raw_logs(spark, folder)
     middle = sum(rows.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()) // 2
     incoming, table, checkpoint = (shared_dir(spark, label) for label in ("logs", "table", "checkpoint"))
+    held = _held(rows) // 2
     for part in (F.col("arrival_seq") <= middle, F.col("arrival_seq") > middle):
-        rows.filter(part).write.mode("append").parquet(incoming)
-        _ingest_run(spark, incoming, MIN_FILES, table, checkpoint, "ingest")
-    _ingest_run(spark, incoming, MIN_FILES, table, shared_dir(spark, "checkpoint"), "again")
+        files = _deliver(rows.filter(part), "arrival_seq", incoming, held, least=1)
+        _ingest_run(spark, incoming, files, table, checkpoint, "ingest")
+    _ingest_run(spark, incoming, files, table, shared_dir(spark, "checkpoint"), "again")
     return flat(event_table.read_batches(spark, table))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from logtable.functions.arguments import check_req_id
 from logtable.schemas import CHAIN_ORDER, EVENT_COLUMNS, event_schema
+from logtable.session import small_table
 
 # Filters sized to what a file holds, on the columns looked up by equality.
 _BLOOM_OPTIONS = {
@@ -105,7 +106,8 @@ def read_or_empty(spark: SparkSession, path: str, shape: T.StructType) -> DataFr
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], shape)
+        # known to be empty when a plan is made, so that joins and unions with it cost nothing
+        return small_table(spark, [], shape)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

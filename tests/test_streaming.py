@@ -5,6 +5,7 @@ from logtable.operators.fanout import fan_out
 from logtable.operators.ingest import events_from_logs
 from logtable.operators.listing import EventFilter, Position
 from logtable.operators.requests import request_status
+from logtable.plans import queries
 from logtable.schemas import EVENT_COLUMNS
 from logtable.sources import event_feed, event_table
 from logtable.sources.assets import assets_frame, default_assets
@@ -296,6 +297,51 @@ def test_event_table_prunes(spark, tmp_path):
     assert "ReadSchema: struct<tx_hash:string,block_number:bigint>" in plan
 
 
+def logs_in_order(spark, count):
+    rows = spark.range(count).selectExpr(
+        "id as arrival_seq", "repeat('ab', 21) as address", "array(sha2(string(id), 256)) as topics", "'0x' as data",
+        "id div 8 as block_number", "sha2(string(id div 8), 256) as block_hash", "sha2(concat('t', id), 256) as tx_hash",
+        "int(id % 8) as log_index", "timestamp_seconds(id) as observed_at",
+    )
+    return rows.repartitionByRange(4, "block_number")
+
+
+def test_deliveries_are_read_as_they_lie_and_come_in_order(spark, tmp_path, monkeypatch):
+    """No copy is made first; batches follow from bytes, and a group has the files of a batch."""
+    source, path = str(tmp_path / "landed"), str(tmp_path / "in")
+    logs_in_order(spark, 4000).write.parquet(source)
+    rows = spark.read.parquet(source)
+    held = queries._held(rows)
+    assert held == sum(f.stat().st_size for f in (tmp_path / "landed").glob("*.parquet"))
+    monkeypatch.setattr(queries, "BATCH_BYTES", held // 5 + 1)
+    files = queries._deliver(rows, "arrival_seq", path, held)
+    written = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(written) == 5 * files
+    spans = [spark.read.parquet(*map(str, written[i : i + files])).agg(F.min("arrival_seq"), F.max("arrival_seq")).first() for i in range(0, len(written), files)]
+    assert [tuple(s) for s in spans] == [(800 * i, 800 * i + 799) for i in range(5)]
+    assert [p.name for p in tmp_path.iterdir() if p.name not in ("landed", "in")] == []
+
+
+def test_batches_of_a_resumed_run_follow_from_bytes_not_from_files(spark, monkeypatch):
+    """Forty small files landed are not ten batches a run."""
+    seen, root = [], spark.conf.get("spark.checkpoint.dir", None)
+    source = queries.shared_dir(spark, "landed")
+    logs_in_order(spark, 4000).repartitionByRange(40, "block_number").write.parquet(source)
+    monkeypatch.setattr(queries, "raw_logs", lambda s, f: spark.read.parquet(source))
+    monkeypatch.setattr(queries, "_ingest_run", lambda s, incoming, files, *rest, **options: seen.append((len(spark.read.parquet(incoming).inputFiles()), files)))
+    monkeypatch.setattr(queries.event_table, "read_batches", lambda s, table: events(spark, event()))
+    queries.registered()["streaming_resume"](spark, source)
+    assert [-(-held // files) for held, files in seen] == [1, 2, 2] and (root is None or root == spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_an_empty_table_costs_a_join_nothing(spark, tmp_path):
+    """Before its first batch a table is known to be empty, so rows are not shuffled to meet it."""
+    empty = event_table.read_batches(spark, str(tmp_path / "none"))
+    rows = events(spark, event()).join(empty.select("tx_hash", "log_index"), ["tx_hash", "log_index"], "left_anti")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 1 and "Join" not in plan
+
+
 def test_source_rows_are_moved_before_they_are_encoded(spark, tmp_path):
     folder = str(tmp_path)
     made = spark.range(100).selectExpr(
