@@ -323,15 +323,16 @@ def test_deliveries_are_read_as_they_lie_and_come_in_order(spark, tmp_path, monk
 
 
 def test_batches_of_a_resumed_run_follow_from_bytes_not_from_files(spark, monkeypatch):
-    """Forty small files landed are not ten batches a run."""
+    """A half is three batches by its bytes, however many files it landed in."""
     seen, root = [], spark.conf.get("spark.checkpoint.dir", None)
     source = queries.shared_dir(spark, "landed")
     logs_in_order(spark, 4000).repartitionByRange(40, "block_number").write.parquet(source)
+    monkeypatch.setattr(queries, "BATCH_BYTES", queries._held(spark.read.parquet(source)) // 6 + 1)
     monkeypatch.setattr(queries, "raw_logs", lambda s, f: spark.read.parquet(source))
     monkeypatch.setattr(queries, "_ingest_run", lambda s, incoming, files, *rest, **options: seen.append((len(spark.read.parquet(incoming).inputFiles()), files)))
     monkeypatch.setattr(queries.event_table, "read_batches", lambda s, table: events(spark, event()))
     queries.registered()["streaming_resume"](spark, source)
-    assert [-(-held // files) for held, files in seen] == [1, 2, 2] and (root is None or root == spark.conf.get("spark.checkpoint.dir"))
+    assert [-(-held // files) for held, files in seen] == [3, 6, 6] and (root is None or root == spark.conf.get("spark.checkpoint.dir"))
 
 
 def test_an_empty_table_costs_a_join_nothing(spark, tmp_path):
