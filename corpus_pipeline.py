@@ -1,21 +1,37 @@
 """A corpus from raw documents: five stages, in order, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a table. All but the last return the columns of ``docs``,
-whatever these are: the operators' columns never meet them.
+whatever these are: the operators' columns never meet them. Rows here are whole texts, and Python workers live on
+from stage to stage beside a heap that has grown: stages run in small Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtable.llm import mixing, packing, pii, simhash, toxicity
 from logtable.llm.rows import free_name, numbered
-from logtable.session import shared_dir
+from logtable.session import shared_dir, small_batches
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session with ``small_batches``: what it returns is run later."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents predicted toxic, by labels that are not held out. No row is moved.
 
@@ -26,6 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: that of the smallest id (a null id is the largest).
 
@@ -43,11 +60,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
+@in_small_batches
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts by the names of its kinds. Every row stays."""
     return pii.redacted(docs, pii.fit(docs))
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that sources come near their target weights.
 
@@ -64,12 +83,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(copies.select(row), row).select(docs.columns)
 
 
+@in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token pieces, ids included, with their places in sequences of 1024 tokens."""
     return packing.packed(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
     ("pii", redact_personal_data),

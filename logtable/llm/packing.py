@@ -23,7 +23,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -53,10 +53,8 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _ranked(path: str) -> tiktoken.Encoding | None:
+def _ranked(held: dict) -> tiktoken.Encoding | None:
     """The vocabulary of a byte-level BPE file as ranks, where its merges are in the order of their ids."""
-    with open(path, encoding="utf-8") as file:
-        held = json.load(file)
     cutter, model = held.get("pre_tokenizer") or {}, held["model"]
     usual = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
     if held.get("normalizer") or not usual or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
@@ -76,14 +74,21 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes: those of ``tokenizers`` with ``add_special_tokens=False``.
 
     Where a file's vocabulary can be read as ranks, the same ids are found by ranks, which takes half the time and
-    remembers nothing. Texts that hold an added token, or a very long word or gap, go to the tokenizer itself.
+    remembers nothing. Texts that hold an added token, or a very long word or gap, go to the tokenizer itself,
+    which takes as much memory as the ranks and is read with the first of them.
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        self.added = [t["content"] for t in held["added_tokens"]]
+        self.ranked = _ranked(held)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ranked = _ranked(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return Tokenizer.from_file(self.path)
 
     def _is_plain(self, text: str) -> bool:
         if self.ranked is None or any(a in text for a in self.added):
@@ -97,8 +102,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self._is_plain(t) for t in texts]
-        others = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
-        rest = iter(others)
+        others = [t for t, p in zip(texts, plain) if not p]
+        rest = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else ())
         return [
             np.array(self.ranked.encode_ordinary(t) if p else next(rest).ids, "<u4").tobytes() for t, p in zip(texts, plain)
         ]

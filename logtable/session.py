@@ -12,6 +12,10 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A task with Python has a batch in its worker and two beside the JVM's heap, on their way out and back.
+BATCH_BYTES = 2 << 20
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -55,6 +59,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, the Python tasks of the session get their rows in Arrow batches of about ``BATCH_BYTES``.
+
+    10,000 rows, Spark's own number, are tens of MB where rows hold whole texts. Results don't hang on it.
+    """
+    spark.conf.set(ARROW_BATCH, str(BATCH_BYTES))
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """Driver-side configuration as a table whose size the planner knows, so that joins with it
     are broadcast exactly when it is small enough."""

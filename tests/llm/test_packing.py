@@ -83,6 +83,23 @@ def test_both_ways_of_encoding_give_the_tokenizers_ids(monkeypatch, longest):
     assert {encoder._is_plain(t) for t in texts} == {True, False}
 
 
+def test_plain_texts_need_no_tokenizer(monkeypatch):
+    ids = Tokenizer.from_file(packing.TOKENIZER).encode("two words", add_special_tokens=False).ids
+
+    class Unread:
+        @staticmethod
+        def from_file(path):
+            raise AssertionError(path)
+
+    monkeypatch.setattr(packing, "Tokenizer", Unread)
+    assert packing.Encoder(packing.TOKENIZER).encode(["two words", ""]) == [np.array(ids, "<u4").tobytes(), b""]
+
+
+def test_added_tokens_are_those_of_the_tokenizer():
+    encoder = packing.Encoder(packing.TOKENIZER)
+    assert encoder.added == [t.content for t in encoder.tokenizer.get_added_tokens_decoder().values()] != []
+
+
 def test_many_counts_are_joined_without_broadcast(spark, monkeypatch):
     texts = {i: "word " * (i % 40) for i in range(200)}
     frame = spark.createDataFrame(list(texts.items()), SHAPE).repartition(5)

@@ -3,11 +3,13 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logtable.llm import mixing, pii, simhash, toxicity
+from logtable.session import ARROW_BATCH, BATCH_BYTES
 
 FOLDER = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -111,3 +113,29 @@ def test_run_ends_in_sequences(spark):
 @pytest.mark.parametrize("name", list(STAGES))
 def test_no_documents(spark, docs, name):
     assert stage(spark, name, docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_whole_texts_reach_python_in_small_batches(spark, docs, name):
+    spark.conf.unset(ARROW_BATCH)
+    stage(spark, name, docs.limit(3))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["bytes"])
+
+    texts = spark.range(0, 1500, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    found = [r.bytes for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+    assert sum(found) > 15_000_000 and max(found) <= BATCH_BYTES + 20_000
+
+
+def test_batches_change_no_document(spark, docs):
+    found = []
+    for limit in (100, BATCH_BYTES):
+        rows = docs
+        for name, run in corpus_pipeline.STAGES:
+            rows = run(spark, rows, FOLDER)
+            spark.conf.set(ARROW_BATCH, str(limit))
+            rows = rows.localCheckpoint()
+        found.append(Counter((r.doc_id is None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows.collect()))
+    assert found[0] == found[1] and found[0]
