@@ -626,6 +626,8 @@ def find_submission(spark: SparkSession, folder: str) -> DataFrame:
 
 # About how many bytes of source files a micro-batch and a file of it stand for. Small inputs come in MIN_BATCHES.
 BATCH_BYTES, FILE_BYTES, MIN_BATCHES, MIN_FILES = 512 << 20, 16 << 20, 3, 4
+# So many runs of consecutive rows are dealt to a file, which makes files of about one size.
+FILE_RUNS = 64
 
 
 def _held(rows: DataFrame) -> int:
@@ -650,7 +652,9 @@ def _deliver(rows: DataFrame, order: str, path: str, held: int, least: int = MIN
         return files
     edges = [span[0] + (span[1] + 1 - span[0]) * i // batches for i in range(batches + 1)]
     groups = list(zip(edges, edges[1:]))
-    file = F.pmod(F.xxhash64(order), F.lit(files)).cast("int")
+    # short runs of consecutive rows stay together: what they share is stored once
+    run = max(1, (span[1] + 1 - span[0]) // (batches * files * FILE_RUNS))
+    file = F.pmod(F.xxhash64(F.call_function("div", F.col(order), F.lit(run))), F.lit(files)).cast("int")
     for low, high in groups[1:] + groups[:1] if late else groups:
         part = rows.filter((F.col(order) >= low) & (F.col(order) < high))
         # told by the row, so that no task has to sort its rows before it deals them out

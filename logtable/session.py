@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A task with Python has a batch in its worker and two beside the JVM's heap, on their way out and back.
@@ -25,6 +28,10 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows of 100 bytes in a file are 700 in a sort; a task's sort stays in memory.
     "spark.sql.files.maxPartitionBytes": "32m",
+    # hashes in hex are half as long by it, which no other codec here does
+    "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
     # a batch writes its changes, not its state
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -44,6 +51,21 @@ def local_session(app: str, cores: str = "*", **extra: str) -> SparkSession:
     return spark
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here drop the shuffle files of a batch as soon as it is written. Else they stay until the
+    driver's garbage is collected, those of all batches together."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # a stream has a copy of the session, made when it starts
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach, under the one the cluster names.
 

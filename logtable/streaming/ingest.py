@@ -1,28 +1,33 @@
 """Continuous ingest: a stream of raw logs into the event table, each log stored and published once.
 
-The stream itself knows which logs are new (``first_arrivals``, keyed state), so a batch reads neither the stored
-keys nor the stored rows of its own writer, however long the table has become. A batch's new rows are written
-first and everything else is made of that copy; running a batch again replaces the same folders.
+The stream itself knows which logs are new (``new_keys``, keyed state), so a batch reads neither the stored
+keys nor the stored rows of its own writer, however long the table has become. The state holds keys and no rows:
+a batch's deliveries and new keys are written first and everything else is made of that copy; running a batch
+again replaces the same folders.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from logtable.operators.decode import classify
+from logtable.functions.payloads import kind_name, kind_number
+from logtable.functions.words import canonical_hex
+from logtable.operators.decode import classify, event_columns
 from logtable.operators.fanout import fan_out
-from logtable.operators.ingest import assemble, seed_events, sorted_out
+from logtable.operators.ingest import assemble, judged, seed_events
 from logtable.operators.metrics import ingest_counters, inserted_counters
 from logtable.operators.resolve import late_changes, relevant_history, resolve_asof, with_asset
 from logtable.schemas import ASSET_REGISTERED, CHAIN_ORDER, EVENT_COLUMNS, EVENT_KEY, raw_log_schema
+from logtable.session import dropping_shuffles
 from logtable.sources.event_table import (
     batch_path,
     quarantine_path,
@@ -37,6 +42,11 @@ SEED_WRITER = "seeds"
 #: The name that the counters of inserted rows go by in a query's progress.
 COUNTERS = "inserted"
 
+#: About how many bytes of published files a micro-batch of the feed moves, so that its shuffle does not grow.
+FEED_BYTES = 256 << 20
+#: Where a delivery without ``arrival_seq`` is placed.
+LAST_ARRIVAL = (1 << 63) - 1
+
 Assets = Callable[[SparkSession], DataFrame]
 
 
@@ -82,13 +92,42 @@ def unique_events_within(decoded: DataFrame, delay: str) -> DataFrame:
     return decoded.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(list(EVENT_KEY))
 
 
+def new_keys(rows: DataFrame) -> DataFrame:
+    """The keys that judged rows bring first, with the kind of the first arrival; told as in ``first_arrivals``.
+
+    A key is that of the event, and of a delivery that cannot be stored its place and content besides: it stands for
+    itself, so that a good one may follow. Only fixed numbers are kept of a key, which aggregate without a sort.
+    """
+    now = F.current_timestamp()
+    arrival = F.coalesce("arrival_seq", F.lit(LAST_ARRIVAL))
+    alone = F.when(F.col("content").isNotNull(), arrival).alias("alone")
+    keyed = rows.select(
+        *_event_key(), alone, "content", arrival.alias("arrival"), kind_number(F.col("kind")).alias("number"), now.alias("batch_time")
+    )
+    folded = keyed.groupBy(*EVENT_KEY, "alone", "content").agg(
+        F.min_by("number", "arrival").alias("number"),
+        F.min("batch_time").alias("since"),
+        F.max("batch_time").alias("latest"),
+    )
+    fresh = folded.filter((F.col("since") == now) & (F.col("latest") == now))
+    return fresh.select(*EVENT_KEY, "alone", "content", kind_name(F.col("number")).alias("kind"))
+
+
+def _event_key() -> list[Column]:
+    return [canonical_hex(F.col("tx_hash")).alias("tx_hash"), F.col("log_index")]
+
+
 def arrivals(logs: DataFrame, registry: str) -> DataFrame:
-    """The stream of rows to store: each event's first sound delivery, and every delivery that cannot be stored."""
-    # a delivery that cannot be stored stands for itself, so that a good one may follow
-    rows = sorted_out(logs, registry)
-    alone = F.when(F.col("reason").isNotNull(), F.struct("arrival_seq", F.xxhash64("delivery").alias("content")))
-    new = first_arrivals(rows, *EVENT_KEY, alone.alias("alone"))
-    return new.observe(COUNTERS, *inserted_counters())
+    """The stream that an ingest is made of: every recognised delivery, as it came, and beside them the new keys
+    (``is_key``)."""
+    rows = judged(logs, registry)
+    bad = F.col("reason").isNotNull()
+    rows = rows.withColumn("content", F.when(bad, F.xxhash64(F.struct(*logs.columns))))
+    keys = new_keys(rows)
+    counted = keys.withColumn("reason", F.when(F.col("content").isNotNull(), F.lit("")))
+    counted = counted.observe(COUNTERS, *inserted_counters()).drop("reason")
+    beside = rows.withColumn("is_key", F.lit(False))
+    return beside.unionByName(counted.withColumn("is_key", F.lit(True)), allowMissingColumns=True)
 
 
 # --- one batch -----------------------------------------------------------------------------------------
@@ -111,6 +150,25 @@ def extent(rows: DataFrame) -> Extent:
     return Extent(found["low"] or 0, found["high"] or 0, found["registrations"])
 
 
+def first_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The earliest row of each key. A rank would be taken on the map side too, which sorts rows that hardly repeat."""
+    by_arrival = Window.partitionBy(*keys).orderBy(F.col("arrival_seq").asc_nulls_last())
+    ranked = rows.withColumn("before", F.lag(F.lit(1)).over(by_arrival))
+    return ranked.filter(F.col("before").isNull()).drop("before")
+
+
+def bad_deliveries(deliveries: DataFrame, keys: DataFrame) -> DataFrame:
+    """The deliveries that cannot be stored and are new, once each."""
+    alone = F.coalesce("arrival_seq", F.lit(LAST_ARRIVAL)).alias("alone")
+    bad = deliveries.filter(F.col("content").isNotNull())
+    names = [*EVENT_KEY, "alone", "content"]
+    key = F.struct(*_event_key(), alone, "content").alias("key")
+    once = first_each(bad.withColumn("key", key), "key")
+    new = keys.filter(F.col("content").isNotNull()).select(*(F.col(name).alias(f"new_{name}") for name in names))
+    same = [F.col(f"key.{name}").eqNullSafe(F.col(f"new_{name}")) for name in names]
+    return once.join(new, reduce(and_, same), "left_semi").select(*raw_log_schema().names, "kind", "reason")
+
+
 def ingest_batch(
     new: DataFrame,
     batch: int,
@@ -129,15 +187,19 @@ def ingest_batch(
     """
     spark = new.sparkSession
     copy = f"{table.rstrip('/')}-arriving/writer={writer}"
-    new.write.mode("overwrite").parquet(copy)
-    rows = spark.read.schema(new.schema).parquet(copy)
-    bad = rows.filter(F.col("reason").isNotNull()).select("delivery.*", "kind", "reason")
+    rows = _written(new, f"{copy}/part=arrivals")
+    keys, deliveries = rows.filter(F.col("is_key")), rows.filter(~F.col("is_key"))
+    bad = bad_deliveries(deliveries, keys)
     bad.write.mode("overwrite").parquet(batch_path(quarantine_path(table), writer, batch))
     stored = without_batch(read_batches(spark, table), writer, batch)
+    sound = keys.filter(F.col("content").isNull()).select(*EVENT_KEY)
     # folders of this writer are never opened here: its own keys are in the state
     others = stored.filter((F.col("writer") != writer) & (F.col("writer") != SEED_WRITER)).select(*EVENT_KEY)
-    fresh = rows.filter(F.col("reason").isNull()).drop("reason", "delivery").join(others, list(EVENT_KEY), "left_anti")
-    size = extent(rows.filter(F.col("reason").isNull()))
+    sound = sound.join(others, list(EVENT_KEY), "left_anti")
+    good = deliveries.filter(F.col("reason").isNull())
+    first = first_each(good.select("arrival_seq", "kind", *event_columns()), *EVENT_KEY)
+    fresh = _written(first.join(sound, list(EVENT_KEY), "left_semi"), f"{copy}/part=events")
+    size = extent(fresh)
     history = relevant_history(stored, size.low, size.high)
     write_batch(assemble(resolve_asof(fresh, assets(spark), history)), table, writer, batch)
     mine = read_batches(spark, table).filter((F.col("writer") == writer) & (F.col("batch") == batch))
@@ -149,6 +211,11 @@ def ingest_batch(
         sent.write.mode("overwrite").parquet(batch_path(published_path(table), writer, batch))
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def mend_late(spark: SparkSession, table: str, new: DataFrame, writer: str, batch: int) -> None:
     """Gives events of other batches the assets that the registrations among ``new`` say. Running it again changes
     nothing."""
@@ -226,7 +293,8 @@ def start_ingest(
     store = partial(ingest_batch, table=table, writer=writer, assets=assets, subscriptions=subscriptions)
     writing = arrivals(logs, registry).writeStream.outputMode("update").foreachBatch(store)
     writing = writing.option("checkpointLocation", checkpoint)
-    return (writing.trigger(availableNow=True) if available_now else writing).start()
+    with dropping_shuffles(spark):
+        return (writing.trigger(availableNow=True) if available_now else writing).start()
 
 
 def read_quarantine(spark: SparkSession, table: str) -> DataFrame:
@@ -253,15 +321,19 @@ def start_feed(
     """What is published, as a table that a streaming file sink writes: its log says which files are whole, none
     is ever rewritten, and any number of tails may follow it with ``readStream``.
 
-    Should a batch be published again after a crash, its rows are recognised by event and subscription.
+    Should a batch be published again after a crash, its rows are recognised by event and subscription. Without
+    ``files_per_trigger`` a micro-batch takes about ``FEED_BYTES`` of files.
     """
     shape = spark.read.parquet(published_path(table)).schema
     reader = spark.readStream.schema(shape)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", FEED_BYTES)
     rows = reader.parquet(published_path(table)).dropDuplicates(["sub_id", *EVENT_KEY]).drop("writer", "batch")
     writing = rows.writeStream.format("parquet").option("path", feed).option("checkpointLocation", checkpoint)
-    return (writing.trigger(availableNow=True) if available_now else writing).start()
+    with dropping_shuffles(spark):
+        return (writing.trigger(availableNow=True) if available_now else writing).start()
 
 
 # --- counting --------------------------------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from logtable.operators.decode import decoded_logs
@@ -354,3 +356,75 @@ def test_source_rows_are_moved_before_they_are_encoded(spark, tmp_path):
     at = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
     assert not any("sha2" in line or "props" in line.split("Relation")[0] for line in plan[at:])
     assert rows.count() == 120
+
+
+def test_the_state_of_an_ingest_holds_keys_and_no_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    arrive(spark, f"{folder}/in", made_logs())
+    run(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint")
+    held = spark.read.format("statestore").load(f"{folder}/checkpoint").schema
+    assert {f.dataType.typeName() for f in held["value"].dataType} <= {"integer", "long", "timestamp"}
+    plan = ingest.arrivals(raw(spark, *made_logs()), REGISTRY)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_what_comes_twice_is_kept_once(spark, tmp_path):
+    """Whole rows twice, no place of arrival, no key: in one batch, and again in a later one."""
+    good = log("PriceRequested", 1, REQUESTER, seq=4)
+    placeless = (None, *log("PriceRequested", 2, REQUESTER, tx="0x" + "AB" * 32)[1:])
+    later = (5, *log("PriceRequested", 3, REQUESTER, tx="0x" + "ab" * 32)[1:])
+    keyless = (6, *good[1:6], None, *good[7:])
+    malformed = (None, *log("PriceRequested", 1, tx="0x" + "cc" * 32)[1:])
+    logs = [good, good, placeless, placeless, later, keyless, keyless, malformed, malformed]
+    folder = str(tmp_path)
+    for _ in range(2):
+        arrive(spark, f"{folder}/in", logs)
+    run(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint")
+    rows = event_table.read_batches(spark, f"{folder}/table").collect()
+    assert sorted(r.req_id for r in rows) == ["1", "3"]
+    kept = ingest.read_quarantine(spark, f"{folder}/table").collect()
+    assert sorted((r.reason, r.arrival_seq or 0) for r in kept) == [("malformed", 0), ("missing tx_hash", 6)]
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+    return {name for name in blocks.replace(")", ",").split(",") if "shuffle_" in name}
+
+
+def test_an_ingest_and_its_feed_leave_no_shuffles(spark, tmp_path):
+    """Every other batch shuffles; what it shuffled is dropped when it is written."""
+    folder, cleanup = str(tmp_path), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for part in (made_logs()[:15], made_logs()[15:]):
+        arrive(spark, f"{folder}/in", part)
+    before, setting = shuffle_files(spark), spark.conf.get(cleanup)
+    run(spark, f"{folder}/in", f"{folder}/table", f"{folder}/checkpoint", subscriptions=subscriptions)
+    ingest.start_feed(spark, f"{folder}/table", f"{folder}/feed", f"{folder}/feed-cp", available_now=True).awaitTermination()
+    for _ in range(100):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(cleanup) == setting
+
+
+def test_a_feed_takes_files_by_bytes(spark, tmp_path, monkeypatch):
+    table, feed = str(tmp_path / "t"), str(tmp_path / "feed")
+    for batch in range(3):
+        one_batch(spark, table, made_logs()[9 * batch : 9 * batch + 9], batch, subscriptions=subscriptions)
+    monkeypatch.setattr(ingest, "FEED_BYTES", 1)
+    ingest.start_feed(spark, table, feed, f"{feed}-cp", available_now=True).awaitTermination()
+    assert len([p for p in (tmp_path / "feed-cp" / "commits").iterdir() if p.name.isdigit()]) >= 3
+    sent = ingest.published(spark, table).dropDuplicates(["sub_id", "tx_hash", "log_index"])
+    assert spark.read.parquet(feed).count() == sent.count()
+
+
+def test_delivered_files_hold_runs_of_consecutive_rows(spark, tmp_path):
+    source, path = str(tmp_path / "landed"), str(tmp_path / "in")
+    logs_in_order(spark, 4000).write.parquet(source)
+    rows = spark.read.parquet(source)
+    queries._deliver(rows, "arrival_seq", path, queries._held(rows))
+    together = 0
+    for file in (tmp_path / "in").glob("*.parquet"):
+        held = {r["arrival_seq"] for r in spark.read.parquet(str(file)).select("arrival_seq").collect()}
+        together += sum(n + 1 in held for n in held)
+    assert together > 2400
