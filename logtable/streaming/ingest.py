@@ -195,8 +195,11 @@ def ingest_batch(
     sound = keys.filter(F.col("content").isNull()).select(*EVENT_KEY)
     # folders of this writer are never opened here: its own keys are in the state
     others = stored.filter((F.col("writer") != writer) & (F.col("writer") != SEED_WRITER)).select(*EVENT_KEY)
-    sound = sound.join(others, list(EVENT_KEY), "left_anti")
+    if not others.isEmpty():
+        sound = _written(sound.join(others, list(EVENT_KEY), "left_anti"), f"{copy}/part=keys")
     good = deliveries.filter(F.col("reason").isNull())
+    if sound.isEmpty():  # most often another writer was here before; no row has to be moved then
+        good = good.filter(F.lit(False))
     first = first_each(good.select("arrival_seq", "kind", *event_columns()), *EVENT_KEY)
     fresh = _written(first.join(sound, list(EVENT_KEY), "left_semi"), f"{copy}/part=events")
     size = extent(fresh)

@@ -368,6 +368,16 @@ def test_the_state_of_an_ingest_holds_keys_and_no_rows(spark, tmp_path):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_a_second_writer_moves_no_row_that_is_stored(spark, tmp_path):
+    table = str(tmp_path / "t")
+    one_batch(spark, table, made_logs()[:20], 0)
+    one_batch(spark, table, made_logs(), 0, writer="other")
+    moved = spark.read.parquet(f"{table}-arriving/writer=other/part=events").count()
+    assert 0 < moved == event_table.read_batches(spark, table).filter("writer = 'other'").count()
+    one_batch(spark, table, made_logs(), 1, writer="third")
+    assert spark.read.parquet(f"{table}-arriving/writer=third/part=events").count() == 0
+
+
 def test_what_comes_twice_is_kept_once(spark, tmp_path):
     """Whole rows twice, no place of arrival, no key: in one batch, and again in a later one."""
     good = log("PriceRequested", 1, REQUESTER, seq=4)
